@@ -1,4 +1,7 @@
 from ectolog.functions.columns import (  # noqa: F401
+    MODEL_TO_CARCASS,
+    SEASONS,
+    SKIN_TO_BODY,
     active_flag,
     calibrate_linear,
     clamp_min,

@@ -55,13 +55,16 @@ def topt_pmax(
     keys: Sequence[str] = ("id", "sex", "season"),
     fit: str = "fit",
     tb: str = "tb",
+    digits: int = 9,
 ) -> DataFrame:
     """Optimum temperature and maximum per group: means over the tied arg-max rows.
 
     Rows are first combined per (group, fitted value), so both steps are
-    plain aggregates.
+    plain aggregates. Fitted values that agree to ``digits`` decimals are
+    tied: the last bits of a computed fit depend on the order of summation.
     """
     rows = df.filter(F.col(fit).isNotNull() & ~F.isnan(fit))
+    rows = rows.withColumn(fit, F.round(fit, digits))
     levels = rows.groupBy(*keys, fit).agg(F.sum(tb).alias("_s"), F.count(tb).alias("_n"))
     best = levels.groupBy(*keys).agg(
         F.max_by(F.struct("_s", "_n"), F.col(fit)).alias("_b"), F.max(fit).alias("pmax")

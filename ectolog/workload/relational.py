@@ -465,7 +465,8 @@ def argmax_ties(v):
 @query(
     "topt_pmax",
     f"""SELECT id, sex, season, R{{avg({TB})}} AS topt, R{{avg(ms2)}} AS pmax FROM (
-         SELECT *, max(ms2) OVER (PARTITION BY id, sex, season) AS top FROM seasonlog)
+         SELECT id, sex, season, tsurf, round(ms2, 9) AS ms2,
+                max(round(ms2, 9)) OVER (PARTITION BY id, sex, season) AS top FROM seasonlog)
        WHERE ms2 = top GROUP BY id, sex, season""",
 )
 def topt_pmax(v):

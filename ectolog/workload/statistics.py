@@ -1 +1,235 @@
 """Statistical operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ectolog.stats import anova, compare, ols, survival
+from ectolog.workload.composites import DEV, SURV_MODELS, WEIGHTS
+from ectolog.workload.registry import query
+from ectolog.workload.relational import observed_predicted
+
+_FIT = """I{{n}} AS n, R{{slope}} AS slope, R{{ic}} AS intercept, R{{r2}} AS r2, R{{sxx}} AS sxx,
+    R{{xm}} AS x_mean, R{{x0}} AS x_min, R{{x1}} AS x_max, R{{sg}} AS sigma, R{{sg / sqrt(sxx)}} AS se_slope,
+    R{{sg * sqrt(1.0 / n + xm * xm / sxx)}} AS se_intercept, R{{slope / (sg / sqrt(sxx))}} AS t_slope,
+    R{{ic / (sg * sqrt(1.0 / n + xm * xm / sxx))}} AS t_intercept""".replace("{{", "{").replace("}}", "}")
+
+
+def _fit_cte(y: str, x: str, by: str = "") -> str:
+    keys, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    return f"""sums AS (SELECT {keys}regr_count({y}, {x}) AS n, regr_slope({y}, {x}) AS slope,
+        regr_intercept({y}, {x}) AS ic, regr_r2({y}, {x}) AS r2, regr_sxx({y}, {x}) AS sxx,
+        regr_avgx({y}, {x}) AS xm, min({x}) AS x0, max({x}) AS x1,
+        regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy FROM pairs {group}),
+    fit AS (SELECT *, sqrt(greatest(syy - slope * sxy, 0) / (n - 2)) AS sg FROM sums)"""
+
+
+@query("fit_ols", f"WITH {_fit_cte('y', 'x')} SELECT {_FIT} FROM fit", digits=4)
+def fit_ols(v):
+    return ols.fit_ols(v.pairs, "y", "x")
+
+
+@query("fit_ols_by", f"WITH {_fit_cte('y', 'x', 'id')} SELECT id, {_FIT} FROM fit", digits=4)
+def fit_ols_by(v):
+    return ols.fit_ols(v.pairs, "y", "x", by=["id"])
+
+
+@query("ols_confint")
+def ols_confint(v):
+    return ols.ols_confint(ols.fit_ols(v.pairs, "y", "x", by=["type"], p=True))
+
+
+@query(
+    "ols_band",
+    f"""WITH {_fit_cte('y', 'x', 'id')}
+        SELECT id, R{{x}} AS x, R{{ic + slope * x}} AS fit,
+               R{{sg * sqrt(1.0 / n + (x - xm) * (x - xm) / sxx)}} AS se
+        FROM (SELECT *, x0 + (x1 - x0) * i / 79.0 AS x FROM fit CROSS JOIN (SELECT unnest(range(80)) AS i))""",
+    digits=4,
+)
+def ols_band(v):
+    return ols.ols_band(v.pairs, "y", "x", by=["id"], ci=False)
+
+
+@query("ols_band_limits")
+def ols_band_limits(v):
+    return ols.ols_band(v.pairs, "y", "x")
+
+
+_CELLS = """cell AS (SELECT type, count(y) AS n, avg(y) AS mean, var_pop(y) * count(y) AS ss
+            FROM pairs GROUP BY type),
+    tot AS (SELECT count(*) AS g, sum(n) AS nt, sum(ss) AS ssw,
+            sum(n * mean * mean) - sum(n * mean) * sum(n * mean) / sum(n) AS ssb FROM cell)"""
+
+
+@query(
+    "fit_group_means",
+    f"""WITH {_CELLS} SELECT type, I{{n}} AS n, R{{mean}} AS mean, R{{sqrt(ssw / (nt - g) / n)}} AS se,
+        I{{nt - g}} AS df FROM cell CROSS JOIN tot""",
+)
+def fit_group_means(v):
+    return anova.fit_group_means(v.pairs, "y", "type")
+
+
+@query(
+    "anova_oneway",
+    f"""WITH {_CELLS} SELECT I{{g - 1}} AS df1, I{{nt - g}} AS df2, R{{ssb}} AS ss_between,
+        R{{ssw}} AS ss_within, R{{(ssb / (g - 1)) / (ssw / (nt - g))}} AS f FROM tot""",
+    digits=3,
+)
+def anova_oneway(v):
+    return anova.anova_oneway(v.pairs, "y", "type")
+
+
+@query("anova_oneway_p")
+def anova_oneway_p(v):
+    return anova.anova_oneway(v.pairs, "y", "type", p=True)
+
+
+@query(
+    "anova_regression",
+    """SELECT I{1} AS df1, I{n - 2} AS df2, R{ssm} AS ss_model, R{syy - ssm} AS ss_residual,
+              R{ssm / ((syy - ssm) / (n - 2))} AS f
+       FROM (SELECT regr_count(y, x) AS n, regr_syy(y, x) AS syy,
+                    regr_slope(y, x) * regr_sxy(y, x) AS ssm FROM pairs)""",
+    digits=3,
+)
+def anova_regression(v):
+    return anova.anova_regression(v.pairs, "y", "x")
+
+
+@query(
+    "pairwise_contrasts",
+    f"""WITH {_CELLS}, fit AS (SELECT type, mean, ssw / (nt - g) / n AS v, nt - g AS df FROM cell CROSS JOIN tot)
+        SELECT p.type AS a, q.type AS b, R{{p.mean - q.mean}} AS estimate, R{{sqrt(p.v + q.v)}} AS se,
+               I{{p.df}} AS df, R{{(p.mean - q.mean) / sqrt(p.v + q.v)}} AS t
+        FROM fit p JOIN fit q ON p.type < q.type""",
+)
+def pairwise_contrasts(v):
+    return anova.pairwise_means(anova.fit_group_means(v.pairs, "y", "type"), "type")
+
+
+@query("pairwise_contrasts_p")
+def pairwise_contrasts_p(v):
+    return anova.pairwise_means(anova.fit_group_means(v.pairs, "y", "type"), "type", p=True)
+
+
+@query(
+    "paired_ttest",
+    """SELECT R{avg(a - b)} AS mean_diff, I{count(a - b)} AS n, I{count(a - b) - 1} AS df,
+              R{avg(a - b) * sqrt(count(a - b)) / stddev_samp(a - b)} AS t FROM pairs""",
+)
+def paired_ttest(v):
+    return ols.paired_ttest(v.pairs, "a", "b")
+
+
+@query("paired_ttest_p")
+def paired_ttest_p(v):
+    return ols.paired_ttest(v.pairs, "a", "b", by=["type"], p=True)
+
+
+@query("lr_r2", "SELECT type, I{regr_count(y, x)} AS n, R{regr_r2(y, x)} AS r2_lr FROM pairs GROUP BY type")
+def lr_r2(v):
+    return ols.lr_r2(v.pairs, "y", "x", by=["type"])
+
+
+@query(
+    "obs_vs_pred",
+    """WITH obs AS (SELECT date, hr, avg(te) AS o FROM envlog WHERE type = 'AO' GROUP BY date, hr),
+       pred AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CAST(o_orderkey % 17 + 5 AS INTEGER) AS hr,
+                       o_totalprice / 10000.0 AS p FROM orders),
+       both_t AS (SELECT o, p FROM obs JOIN pred USING (date, hr))
+       SELECT I{regr_count(o, p)} AS n, R{regr_slope(o, p)} AS slope, R{regr_intercept(o, p)} AS intercept,
+              R{regr_r2(o, p)} AS r2, R{avg(o - p)} AS bias, R{sqrt(avg((o - p) * (o - p)))} AS rmse FROM both_t""",
+)
+def obs_vs_pred(v):
+    return ols.obs_vs_pred(observed_predicted(v), "temp_observed", "temp_predicted")
+
+
+@query(
+    "residual_summary",
+    """WITH fit AS (SELECT type, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM pairs GROUP BY type),
+       res AS (SELECT type, y - i - s * x AS r FROM pairs JOIN fit USING (type))
+       SELECT type, R{quantile_cont(r, 0.0)} AS q0, R{quantile_cont(r, 0.25)} AS q25, R{quantile_cont(r, 0.5)} AS q50,
+              R{quantile_cont(r, 0.75)} AS q75, R{quantile_cont(r, 1.0)} AS q100 FROM res GROUP BY type""",
+)
+def residual_summary(v):
+    return ols.residual_summary(v.pairs, "y", "x", by=["type"])
+
+
+_MODELS = {"null": [], "type": ["type"], "id": ["id"], "type_id": ["type", "id"]}
+
+
+def _model_sql(name: str, keys: list[str]) -> str:
+    group = f"GROUP BY {', '.join(keys)}" if keys else ""
+    return f"""SELECT '{name}' AS model, sum(n) AS n, count(*) AS k, sum(ss) AS dev FROM
+        (SELECT count(y) AS n, var_pop(y) * count(y) AS ss FROM pairs {group})"""
+
+
+_FITS = f"""fits AS ({' UNION ALL '.join(_model_sql(m, k) for m, k in _MODELS.items())}),
+    aics AS (SELECT model, n - k AS rdf, dev, n * ln(2 * pi() * dev / n) + n + 2 * (k + 1) AS aic FROM fits),
+    base AS (SELECT rdf AS rdf0, dev AS dev0 FROM aics WHERE model = 'null')"""
+
+
+@query(
+    "model_compare",
+    f"""WITH {_FITS} SELECT model, I{{rdf}} AS resid_df, R{{dev}} AS resid_dev, I{{rdf0 - rdf}} AS delta_df,
+        R{{dev0 - dev}} AS delta_dev, R{{aic}} AS aic, R{{aic - min(aic) OVER ()}} AS delta_aic,
+        R{{100 * (1 - dev / dev0)}} AS dev_expl FROM aics CROSS JOIN base""",
+    digits=3,
+)
+def model_compare(v):
+    fits = compare.cell_models(v.pairs, "y", _MODELS, ["type", "id"])
+    return compare.model_compare(fits, "null")
+
+
+@query("model_compare_p", digits=3)
+def model_compare_p(v):
+    fits = compare.cell_models(v.pairs, "y", _MODELS, ["type", "id"])
+    return compare.model_compare(fits, "null", p=True)
+
+
+@query("aicc_weights", f"WITH {SURV_MODELS.replace('sex', 'grp')} SELECT model, {WEIGHTS} FROM lik")
+def aicc_weights(v):
+    return compare.aicc_weights(survival.survival_models(v.survlog, "survived", "grp"))
+
+
+@query(
+    "survival_rate",
+    f"""SELECT grp, sex, I{{n}} AS n, I{{s}} AS survivors, R{{s / n}} AS rate, R{{{DEV}}} AS deviance
+        FROM (SELECT grp, sex, CAST(count(*) AS DOUBLE) AS n,
+                     CAST(sum(CASE WHEN survived THEN 1 ELSE 0 END) AS DOUBLE) AS s
+              FROM survlog GROUP BY grp, sex)""",
+)
+def survival_rate(v):
+    return survival.survival_rate(v.survlog, "survived", ["grp", "sex"])
+
+
+def _terms():
+    return {
+        "intercept": F.lit(1.0),
+        "male": F.when(F.col("sex") == "ZZm", 1.0).otherwise(0.0),
+        "trait": F.col("trait"),
+    }
+
+
+@query("survival_glm")
+def survival_glm(v):
+    fit = survival.survival_glm(v.survlog, "survived", _terms())
+    return fit.tables(v.spark)["coefficients"]
+
+
+@query("survival_glm_sine")
+def survival_glm_sine(v):
+    fit = survival.survival_glm(v.survlog, "survived", {"trait": F.col("trait")}, link="sine")
+    return fit.tables(v.spark)["coefficients"]
+
+
+@query("survival_curve")
+def survival_curve(v):
+    fit = survival.survival_glm(v.survlog, "survived", _terms())
+    span = v.survlog.groupBy("sex").agg(F.min("trait").alias("lo"), F.max("trait").alias("hi"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(100))).alias("i")
+    at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / 100.0
+    grid = span.select("*", step).select("sex", at.alias("trait"))
+    return survival.survival_curve(grid, fit, _terms())
