@@ -2,7 +2,8 @@
 
 from pyspark import cloudpickle
 
-from ectolog.stats import tails
+from ectolog.stats import blocks, tails
 
 # Ship task code with the task, so executors need not have the package.
 cloudpickle.register_pickle_by_value(tails)
+cloudpickle.register_pickle_by_value(blocks)

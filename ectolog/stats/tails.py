@@ -12,8 +12,19 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(lgamma, otypes=[float])
-_erf = np.vectorize(erf, otypes=[float])
+
+def _each(fn, a) -> np.ndarray:
+    a = np.asarray(a, float)
+    return np.array([fn(v) for v in a.ravel()]).reshape(a.shape)
+
+
+def _lgamma(a) -> np.ndarray:
+    return _each(lgamma, a)
+
+
+def _erf(a) -> np.ndarray:
+    return _each(erf, a)
+
 
 
 def _beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -87,20 +98,36 @@ def chi2_sf(x, k) -> np.ndarray:
     return np.where(x <= 0, 1.0, out)
 
 
+def _norm_ppf(p: float) -> float:
+    """Normal quantile for p > 0.5 by bisection on the error function."""
+    lo, hi = 0.0, 40.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if 0.5 * (1 + erf(mid / 2**0.5)) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
 def _t_ppf(p: float, df: float) -> float:
-    """Quantile of t by bisection on its two-sided tail, for p > 0.5."""
+    """Quantile of t for p > 0.5: Newton steps kept inside a bracket."""
     if not df > 0 or np.isnan(p):
         return float("nan")
-    lo, hi = 0.0, 1.0
     tail = 2 * (1 - p)
+    t = _norm_ppf(p)
+    lo, hi = 0.0, max(2 * t, 1.0)
     while t_two_sided(hi, df) > tail and hi < 1e12:
-        hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if t_two_sided(mid, df) > tail else (lo, mid)
-        if hi - lo < 1e-13 * max(1.0, hi):
-            break
-    return (lo + hi) / 2
+        lo, hi = hi, hi * 2
+    const = lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * np.log(df * np.pi)
+    t = min(max(t, lo), hi)
+    for _ in range(100):
+        miss = float(t_two_sided(t, df)) - tail
+        lo, hi = (t, hi) if miss > 0 else (lo, t)
+        slope = 2 * np.exp(const - (df + 1) / 2 * np.log1p(t * t / df))
+        step = t + miss / slope
+        new = step if lo < step < hi else (lo + hi) / 2
+        if abs(new - t) < 1e-13 * max(1.0, t):
+            return new
+        t = new
+    return t
 
 
 def _norm_cdf(z: np.ndarray) -> np.ndarray:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ectolog.stats import anova, compare, ols, survival
+from ectolog.functions import SEASONS
+from ectolog.stats import anova, compare, mixed, ols, survival
 from ectolog.workload.composites import DEV, SURV_MODELS, WEIGHTS
 from ectolog.workload.registry import query
-from ectolog.workload.relational import observed_predicted
+from ectolog.workload.relational import observed_predicted, prediction_grid
 
 _FIT = """I{{n}} AS n, R{{slope}} AS slope, R{{ic}} AS intercept, R{{r2}} AS r2, R{{sxx}} AS sxx,
     R{{xm}} AS x_mean, R{{x0}} AS x_min, R{{x1}} AS x_max, R{{sg}} AS sigma, R{{sg / sqrt(sxx)}} AS se_slope,
@@ -233,3 +234,93 @@ def survival_curve(v):
     at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / 100.0
     grid = span.select("*", step).select("sex", at.alias("trait"))
     return survival.survival_curve(grid, fit, _terms())
+
+
+# ---- mixed and additive models ---------------------------------------------
+
+FACTORS = {"sex": ["ZWf", "ZZm"], "season": list(SEASONS)}
+BOTH = [("season", "sex")]
+
+
+def _intercept_fit(v):
+    return mixed.fit_random_intercept(v.seasonlog, "tsurf", FACTORS, interactions=BOTH)
+
+
+@query(
+    "fit_random_intercept_cells",
+    """SELECT id, sex, season, I{count(tsurf)} AS n, R{avg(tsurf)} AS mean, R{var_pop(tsurf) * count(tsurf)} AS ss
+       FROM seasonlog WHERE sex <> 'ZZf' GROUP BY id, sex, season""",
+)
+def fit_random_intercept_cells(v):
+    rows = v.seasonlog.filter(F.col("sex").isin(*FACTORS["sex"]))
+    return mixed.model_cells(rows, "tsurf", ["id", "sex", "season"])
+
+
+@query("fit_random_intercept")
+def fit_random_intercept(v):
+    tables = _intercept_fit(v).tables(v.spark)
+    coef = tables["coefficients"]
+    info = tables["summary"].select(
+        F.col("name").alias("term"), F.col("value").alias("estimate"), F.lit(None).cast("double").alias("se")
+    )
+    return coef.unionByName(info)
+
+
+@query("anova_mixed")
+def anova_mixed(v):
+    return mixed.anova_mixed(v.spark, _intercept_fit(v))
+
+
+@query("marginal_means")
+def marginal_means(v):
+    return mixed.marginal_means(v.spark, _intercept_fit(v), ["season", "sex"])
+
+
+@query("pairwise_marginal_means")
+def pairwise_marginal_means(v):
+    fit = _intercept_fit(v)
+    seasons = mixed.pairwise_contrasts(v.spark, fit, "season")
+    return seasons.unionByName(mixed.pairwise_contrasts(v.spark, fit, "sex", within="season"))
+
+
+def _smooth_fit(v, **options):
+    return mixed.fit_smooth(v.seasonlog, "ms2", "tsurf", FACTORS, BOTH, id="id", **options)
+
+
+@query("fit_smooth")
+def fit_smooth(v):
+    return _smooth_fit(v).tables(v.spark)["coefficients"]
+
+
+@query("smooth_terms")
+def smooth_terms(v):
+    return mixed.smooth_terms(v.spark, _smooth_fit(v))
+
+
+@query("predict_fit")
+def predict_fit(v):
+    return mixed.predict_fit(v.seasonlog, _smooth_fit(v, id_curves=True), "ms2")
+
+
+@query("predict_grid_mean")
+def predict_grid_mean(v):
+    grid = prediction_grid(v).withColumnRenamed("temp", "tsurf")
+    rows = mixed.predict_fit(v.seasonlog, _smooth_fit(v, id_curves=True), "ms2", new=grid)
+    return mixed.predict_grid_mean(rows, ["tsurf", "sex", "season"], x="tsurf")
+
+
+@query("smooth_curve")
+def smooth_curve(v):
+    return mixed.smooth_curve(v.spark, _smooth_fit(v), ["sex", "season"])
+
+
+@query("model_compare_smooth")
+def model_compare_smooth(v):
+    log = v.seasonlog
+    fits = {
+        "temp": mixed.fit_smooth(log, "ms2", "tsurf"),
+        "sex": mixed.fit_smooth(log, "ms2", "tsurf", {"sex": FACTORS["sex"]}, by="sex", id="id"),
+        "season_sex": mixed.fit_smooth(log, "ms2", "tsurf", FACTORS, id="id"),
+        "season_sex_id": mixed.fit_smooth(log, "ms2", "tsurf", FACTORS, BOTH, id="id", id_curves=True),
+    }
+    return compare.model_compare(mixed.fits_table(v.spark, fits), "temp", "null_dev", p=True)
