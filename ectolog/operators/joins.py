@@ -14,12 +14,25 @@ MAX_BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Equi-join that matches NULL keys with each other.
+
+    The keys are packed into one struct: struct equality treats NULL fields as
+    equal and stays hashable, so this is still a hash or merge join.
+    """
+    key = F.struct(*[F.col(c) for c in on]).alias("_key")
+    rest = [c for c in right.columns if c not in on]
+    packed = right.select(key, *rest)
+    return left.withColumn("_key", key).join(packed, ["_key"], how).drop("_key")
+
+
 def attach(
     fact: DataFrame,
     dim: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS,
+    max_rows: int | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join a computed lookup table to a large table.
 
@@ -32,16 +45,28 @@ def attach(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"attach keeps the large side; {how!r} does not")
     dim = settle(dim)
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return fact.join(F.broadcast(dim), list(on), how)
-    return salted_join(fact, dim, on, how)
+    limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    if dim.limit(limit + 1).count() <= limit:
+        return _equi_join(fact, F.broadcast(dim), on, how, null_safe)
+    return salted_join(fact, dim, on, how, null_safe)
 
 
-def salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+def _equi_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, null_safe: bool
+) -> DataFrame:
+    join = null_safe_join if null_safe else lambda a, b, k, h: a.join(b, list(k), h)
+    return join(left, right, on, how)
+
+
+def salted_join(
+    fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str, null_safe: bool = False
+) -> DataFrame:
     """Shuffle join that spreads every key of the large side over salts."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(SALTS))
-    spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-    return fact.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(SALTS).cast("long"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")
+    spread = dim.select("*", salts.alias("_salt"))
+    salted = fact.withColumn("_salt", salt)
+    return _equi_join(salted, spread, [*on, "_salt"], how, null_safe).drop("_salt")
 
 
 # ---- set-point bands -------------------------------------------------------
@@ -173,7 +198,7 @@ def join_obs_pred(
 
 def bind_columns(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
     """Put the columns of two tables side by side, matched by key."""
-    return first.join(second, list(on), "inner")
+    return null_safe_join(first, second, on, "inner")
 
 
 def grid_cross(

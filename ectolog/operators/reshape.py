@@ -47,7 +47,7 @@ def argmax_ties(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
     top = rows.groupBy(*keys).agg(F.max(value).alias(value))
-    return attach(rows, top, [*keys, value], "left_semi")
+    return attach(rows, top, [*keys, value], "left_semi", null_safe=True)
 
 
 def topt_pmax(
@@ -88,7 +88,7 @@ def group_ci(
         spread = spread.withColumn(
             "_t", t_quantile(F.lit(0.5 + level / 2), (F.col("_n") - 1).cast("double"))
         )
-    out = attach(df, spread, keys)
+    out = attach(df, spread, keys, null_safe=True)
     if ci:
         out = out.withColumns(
             {

@@ -13,8 +13,9 @@ from ectolog.functions import (
     in_range_flag,
     month_name,
     round_half_even,
+    setpoint_deviation,
 )
-from ectolog.operators import aggregate, clean, joins
+from ectolog.operators import clean, joins
 
 
 def calibrated(
@@ -37,8 +38,28 @@ def habitat(
 ) -> DataFrame:
     """Calibrated temperature, deviation and in-range share for every band.
 
-    One scan serves all sexes: each reading is exploded over the bands.
+    Every band's means are taken in one aggregation of the readings; the rows
+    are turned into one per band only after they have been reduced.
     """
-    rows = joins.band_deviation_all(calibrated(env, before), "te", bands, lo_origin=lo_origin)
-    rows = rows.withColumn("ex", in_range_flag(F.col("de")))
-    return aggregate.habitat_quality(rows).withColumn("month", month_name(F.col("date")))
+    rows = calibrated(env, before)
+    origins = lo_origin or {}
+    aggs = []
+    for i, (name, (lo, hi)) in enumerate(bands.items()):
+        dev = setpoint_deviation(F.col("te"), lo, hi, origins.get(name))
+        aggs += [F.avg(dev).alias(f"_de{i}"), F.avg(in_range_flag(dev)).alias(f"_ex{i}")]
+    keys = ["date", "type", "model_id", "hr", "season"]
+    wide = rows.groupBy(*keys).agg(F.avg("te").alias("_te"), *aggs)
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(f"de_{name}").alias("analysis"),
+                F.col(f"_de{i}").alias("de"),
+                F.col(f"_ex{i}").alias("ex"),
+            )
+            for i, name in enumerate(bands)
+        ]
+    )
+    long = wide.select(*keys, F.col("_te").alias("te"), F.explode(each).alias("_b"))
+    return long.select(*keys, "_b.analysis", "te", "_b.de", "_b.ex").withColumn(
+        "month", month_name(F.col("date"))
+    )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ectolog.operators.joins import null_safe_join
 from ectolog.stats.tails import f_pvalue, tukey_pvalue
 
 
@@ -38,7 +39,7 @@ def fit_group_means(df: DataFrame, y: str, group: str, by: Sequence[str] = ()) -
         F.try_divide("ss_within", F.nullif(F.col("n_total") - F.col("groups"), F.lit(0))).alias("_v"),
         (F.col("n_total") - F.col("groups")).alias("df"),
     )
-    return cells.join(pooled, ["_one", *by]).select(
+    return null_safe_join(cells, pooled, ["_one", *by], "inner").select(
         *by, group, "n", "mean", F.sqrt(F.col("_v") / F.col("n")).alias("se"), "df"
     )
 

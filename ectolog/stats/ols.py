@@ -137,7 +137,7 @@ def residuals(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFram
     """Each row with the residual from its (group's) regression line."""
     fit = fit_ols(df, y, x, by).select(*by, "intercept", "slope")
     if by:
-        joined = attach(df, fit, list(by))
+        joined = attach(df, fit, list(by), null_safe=True)
         line = F.col("intercept") + F.col("slope") * F.col(x)
         return joined.withColumn("residual", F.col(y) - line).drop("intercept", "slope")
     line = fit.select(F.struct("intercept", "slope")).scalar()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ectolog import functions as X
 from ectolog import sources
 from ectolog.functions.columns import MODEL_TO_CARCASS
-from ectolog.operators import reshape
+from ectolog.operators import joins
 from ectolog.operators.joins import PUBLISHED_BANDS as BANDS
 from ectolog.plans import activity, effectiveness, field, habitat, performance, tset
 from ectolog.session import scratch_path
@@ -120,6 +120,42 @@ def pipe_effectiveness(v):
     return effectiveness.effectiveness(field.deviations(with_tb(v.seasonlog)), quality(v))
 
 
+_CUT, _FROM = joins.TRUNCATED_BANDS, joins.TRUNCATED_ORIGINS
+
+
+def _cut_by_sex(x: str) -> str:
+    arms = " ".join(
+        f"WHEN '{s}' THEN ({deviation_sql(x, *b, _FROM[s])})" for s, b in _CUT.items()
+    )
+    return f"CASE sex {arms} END"
+
+
+_PUBLISHED_TE = _TE.split("devs AS")[0] + f"""devs AS ({' UNION ALL '.join(
+    f"SELECT *, 'de_{s}' AS analysis, {deviation_sql('te', *b, _FROM[s])} AS de FROM cal"
+    for s, b in _CUT.items())}),
+    quality AS (SELECT date, type, model_id, hr, season, analysis, avg(de) AS de FROM devs
+                GROUP BY date, type, model_id, hr, season, analysis)"""
+
+
+@query(
+    "pipe_effectiveness_published",
+    f"""WITH {_PUBLISHED_TE},
+        day AS (SELECT id, date, season, sex, avg({TB}) AS tb FROM seasonlog WHERE sex <> 'ZZf'
+                GROUP BY id, date, season, sex),
+        seen AS (SELECT DISTINCT id, date, hr FROM seasonlog),
+        hour_tb AS (SELECT * FROM day JOIN seen USING (id, date)),
+        de AS (SELECT analysis, season, round_even(avg(de), 2) AS de_season FROM quality GROUP BY analysis, season),
+        db AS (SELECT id, season, sex, avg({_cut_by_sex('tb')}) AS db_mean FROM hour_tb GROUP BY id, season, sex)
+        SELECT db.sex, db.season, id, R{{db_mean}} AS db_mean, R{{de_season}} AS de_season,
+               R{{CASE WHEN de_season <> 0 THEN 1 - db_mean / de_season END}} AS e_index
+        FROM db JOIN de ON de.analysis = 'de_' || db.sex AND de.season = db.season""",
+)
+def pipe_effectiveness_published(v):
+    db = field.deviations(with_tb(v.seasonlog), _CUT, _FROM, grain="day")
+    de = habitat.habitat(v.envlog, "2001-09-01", _CUT, _FROM)
+    return effectiveness.effectiveness(db, de, decimals=2)
+
+
 # ---- activity, performance, set-points -------------------------------------
 
 

@@ -206,34 +206,96 @@ def survival_rate(v):
     return survival.survival_rate(v.survlog, "survived", ["grp", "sex"])
 
 
-def _terms():
-    return {
-        "intercept": F.lit(1.0),
-        "male": F.when(F.col("sex") == "ZZm", 1.0).otherwise(0.0),
-        "trait": F.col("trait"),
-    }
+# Newton steps written out, each one pass over the trials.
+_SINE_STEPS = 12
+_LOGIT_STEPS = 8
+
+
+def _sine_sql() -> str:
+    ctes = ["b0 AS (SELECT CAST(0.0 AS DOUBLE) AS b)"]
+    for i in range(_SINE_STEPS):
+        ctes.append(
+            f"""b{i + 1} AS (SELECT any_value(b) + sum(trait * (y - (sin(b * trait) + 1) / 2) * 2 / cos(b * trait))
+                / sum(trait * trait) AS b FROM trial CROSS JOIN b{i})"""
+        )
+    return (
+        "WITH trial AS (SELECT trait, CASE WHEN survived THEN 1.0 ELSE 0.0 END AS y FROM survlog), "
+        + ", ".join(ctes)
+        + f"""SELECT 'trait' AS term, R{{b}} AS estimate, R{{1 / sqrt((SELECT sum(trait * trait) FROM trial))}} AS se
+              FROM b{_SINE_STEPS}"""
+    )
+
+
+def _logit_ctes() -> str:
+    ctes = ["b0 AS (SELECT CAST(0.0 AS DOUBLE) AS b0, CAST(0.0 AS DOUBLE) AS b1)"]
+    mu = "(1 / (1 + exp(-(b0 + b1 * trait))))"
+    for i in range(_LOGIT_STEPS):
+        ctes.append(
+            f"""m{i} AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, sum(y - {mu}) AS u0,
+                sum((y - {mu}) * trait) AS u1, sum({mu} * (1 - {mu})) AS i00,
+                sum({mu} * (1 - {mu}) * trait) AS i01, sum({mu} * (1 - {mu}) * trait * trait) AS i11
+                FROM trial CROSS JOIN b{i}),
+            b{i + 1} AS (SELECT b0 + (i11 * u0 - i01 * u1) / (i00 * i11 - i01 * i01) AS b0,
+                b1 + (i00 * u1 - i01 * u0) / (i00 * i11 - i01 * i01) AS b1 FROM m{i})"""
+        )
+    last = _LOGIT_STEPS
+    ctes.append(
+        f"""info AS (SELECT sum({mu} * (1 - {mu})) AS i00, sum({mu} * (1 - {mu}) * trait) AS i01,
+            sum({mu} * (1 - {mu}) * trait * trait) AS i11 FROM trial CROSS JOIN b{last}),
+        fit AS (SELECT b0, b1, i11 / (i00 * i11 - i01 * i01) AS v00, -i01 / (i00 * i11 - i01 * i01) AS v01,
+            i00 / (i00 * i11 - i01 * i01) AS v11 FROM b{last} CROSS JOIN info)"""
+    )
+    return (
+        "WITH trial AS (SELECT trait, CASE WHEN survived THEN 1.0 ELSE 0.0 END AS y FROM survlog), "
+        + ", ".join(ctes)
+    )
+
+
+def _line_terms():
+    return {"intercept": F.lit(1.0), "trait": F.col("trait")}
 
 
-@query("survival_glm")
+@query(
+    "survival_glm",
+    _logit_ctes()
+    + """ SELECT 'intercept' AS term, R{b0} AS estimate, R{sqrt(v00)} AS se FROM fit
+          UNION ALL SELECT 'trait', R{b1}, R{sqrt(v11)} FROM fit""",
+)
 def survival_glm(v):
-    fit = survival.survival_glm(v.survlog, "survived", _terms())
-    return fit.tables(v.spark)["coefficients"]
+    return survival.survival_glm(v.survlog, "survived", _line_terms()).tables(v.spark)["coefficients"]
 
 
-@query("survival_glm_sine")
+@query("survival_glm_sine", _sine_sql())
 def survival_glm_sine(v):
     fit = survival.survival_glm(v.survlog, "survived", {"trait": F.col("trait")}, link="sine")
     return fit.tables(v.spark)["coefficients"]
 
 
-@query("survival_curve")
+@query("survival_glm_by_sex")
+def survival_glm_by_sex(v):
+    terms = _line_terms() | {"male": F.when(F.col("sex") == "ZZm", 1.0).otherwise(0.0)}
+    fit = survival.survival_glm(v.survlog, "survived", terms)
+    return fit.tables(v.spark)["summary"]
+
+
+@query(
+    "survival_curve",
+    _logit_ctes()
+    + """, span AS (SELECT sex, min(trait) AS lo, max(trait) AS hi FROM survlog GROUP BY sex),
+         grid AS (SELECT sex, lo + (hi - lo) * i / 100.0 AS x FROM span CROSS JOIN (SELECT unnest(range(101)) AS i)),
+         eta AS (SELECT sex, x, b0 + b1 * x AS e, sqrt(v00 + 2 * x * v01 + x * x * v11) AS w FROM grid CROSS JOIN fit)
+         SELECT sex, R{x} AS trait, R{1 / (1 + exp(-e))} AS survival,
+                R{w * (1 / (1 + exp(-e))) * (1 - 1 / (1 + exp(-e)))} AS se,
+                R{1 / (1 + exp(-(e - 1.959963984540054 * w)))} AS lci,
+                R{1 / (1 + exp(-(e + 1.959963984540054 * w)))} AS uci FROM eta""",
+)
 def survival_curve(v):
-    fit = survival.survival_glm(v.survlog, "survived", _terms())
+    fit = survival.survival_glm(v.survlog, "survived", _line_terms())
     span = v.survlog.groupBy("sex").agg(F.min("trait").alias("lo"), F.max("trait").alias("hi"))
     step = F.explode(F.sequence(F.lit(0), F.lit(100))).alias("i")
     at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / 100.0
     grid = span.select("*", step).select("sex", at.alias("trait"))
-    return survival.survival_curve(grid, fit, _terms())
+    return survival.survival_curve(grid, fit, _line_terms())
 
 
 # ---- mixed and additive models ---------------------------------------------
@@ -256,6 +318,27 @@ def fit_random_intercept_cells(v):
     return mixed.model_cells(rows, "tsurf", ["id", "sex", "season"])
 
 
+# y ~ 1 + (1 | id): the criterion of every penalty on the final grid.
+_REML_NULL = """WITH ind AS (SELECT id, CAST(count(*) AS DOUBLE) AS n, sum(tsurf - 25) AS s,
+        sum((tsurf - 25) * (tsurf - 25)) AS q FROM seasonlog WHERE sex <> 'ZZf' GROUP BY id),
+    rho AS (SELECT i / 64.0 AS theta, pow(10, i / 64.0) AS r FROM (SELECT unnest(range(-256, 577)) AS i)),
+    sums AS (SELECT theta, r, sum(n) AS nn, count(*) AS g, sum(n) - sum(n * n / (n + r)) AS h,
+        sum(s) - sum(n * s / (n + r)) AS u, sum(q) - sum(s * s / (n + r)) AS z, sum(ln(n + r)) AS ld
+        FROM ind CROSS JOIN rho GROUP BY theta, r),
+    crit AS (SELECT *, 25 + u / h AS mu, (z - u * u / h) / (nn - 1) AS s2,
+        (nn - 1) * ln((z - u * u / h) / (nn - 1)) + ld + ln(h) - g * ln(r) AS c FROM sums),
+    best AS (SELECT * FROM crit ORDER BY c LIMIT 1)
+    SELECT R{mu} AS mean, R{sqrt(s2 / h)} AS se, R{s2} AS sigma2, R{s2 / r} AS var_id FROM best"""
+
+
+@query("fit_random_intercept_null", _REML_NULL)
+def fit_random_intercept_null(v):
+    rows = v.seasonlog.filter(F.col("sex").isin(*FACTORS["sex"]))
+    fit = mixed.fit_random_intercept(rows, "tsurf", {})
+    values = (float(fit.beta[0]), float(fit.cov[0, 0] ** 0.5), float(fit.sigma2), float(fit.var_id))
+    return v.spark.createDataFrame([values], "mean double, se double, sigma2 double, var_id double")
+
+
 @query("fit_random_intercept")
 def fit_random_intercept(v):
     tables = _intercept_fit(v).tables(v.spark)
