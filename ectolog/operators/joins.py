@@ -63,7 +63,7 @@ def salted_join(
 ) -> DataFrame:
     """Shuffle join that spreads every key of the large side over salts."""
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(SALTS).cast("long"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")
+    salts = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))
     spread = dim.select("*", salts.alias("_salt"))
     salted = fact.withColumn("_salt", salt)
     return _equi_join(salted, spread, [*on, "_salt"], how, null_safe).drop("_salt")

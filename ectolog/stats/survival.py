@@ -109,6 +109,7 @@ def survival_glm(
 
     Rows are first merged per covariate pattern; every step is then one
     aggregate of (1 + p + p(p+1)/2) sums, and only those reach the driver.
+    Errors come from the observed information.
     The sine link ``S = (sin(η) + 1) / 2`` has several optima: scoring starts
     at 0 and so finds the one nearest to no effect.
     """
@@ -124,7 +125,9 @@ def survival_glm(
     )
     total = patterns.agg(F.sum("n")).first()[0]
 
-    def evaluate(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def evaluate(
+        beta: np.ndarray, observed: bool = False
+    ) -> tuple[float, np.ndarray, np.ndarray]:
         eta = sum((F.col(x) * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0))
         mu = F.least(F.greatest(_mean(eta, link), F.lit(1e-15)), F.lit(1 - 1e-15))
         n, s = F.col("n"), F.col("s")
@@ -132,6 +135,8 @@ def survival_glm(
             pull, weight = s - n * mu, n * mu * (F.lit(1.0) - mu)
         else:
             pull, weight = (s - n * mu) * _slope(eta, link) / (mu * (F.lit(1.0) - mu)), n
+            if observed:
+                weight = n - (s - n * mu) * F.sin(eta) / (mu * (F.lit(1.0) - mu)) / 2.0
         dev = F.lit(-2.0) * (s * F.ln(mu) + (n - s) * F.ln(F.lit(1.0) - mu))
         pairs = [(i, j) for i in range(p) for j in range(i, p)]
         row = patterns.agg(
@@ -157,6 +162,8 @@ def survival_glm(
         dev, score, info = trial
         if abs(moved) < tol * (abs(dev) + tol):
             break
+    if link != "logit":
+        info = evaluate(beta, observed=True)[2]
     return GlmFit(names, beta, np.linalg.inv(info), dev, int(total), link)
 
 

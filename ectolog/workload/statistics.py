@@ -221,8 +221,9 @@ def _sine_sql() -> str:
     return (
         "WITH trial AS (SELECT trait, CASE WHEN survived THEN 1.0 ELSE 0.0 END AS y FROM survlog), "
         + ", ".join(ctes)
-        + f"""SELECT 'trait' AS term, R{{b}} AS estimate, R{{1 / sqrt((SELECT sum(trait * trait) FROM trial))}} AS se
-              FROM b{_SINE_STEPS}"""
+        + f""", info AS (SELECT any_value(b) AS b, sum(trait * trait * (1 - 2 * (y - (sin(b * trait) + 1) / 2)
+                * sin(b * trait) / (cos(b * trait) * cos(b * trait)))) AS i FROM trial CROSS JOIN b{_SINE_STEPS})
+            SELECT 'trait' AS term, R{{b}} AS estimate, R{{1 / sqrt(i)}} AS se FROM info"""
     )
 
 
