@@ -39,7 +39,7 @@ def quantile_by(
     keys: Sequence[str],
     value: Column | str,
     probs: Mapping[str, float],
-    means: Mapping[str, Column] | None = None,
+    means: Mapping[str, Column | tuple[Column, Column]] | None = None,
     spread: bool = True,
     weight: Column | None = None,
 ) -> DataFrame:
@@ -48,7 +48,8 @@ def quantile_by(
     NULL and NaN values are left out of the quantiles; a group of nothing
     else keeps its row with NULL quantiles. ``spread=False`` uses the
     built-in aggregate and is meant for groups that are small by definition.
-    ``weight`` counts rows that were already grouped by value.
+    ``weight`` counts rows that were already grouped by value; a mean is then
+    given as its (sum, count) columns.
     """
     value = F.col(value) if isinstance(value, str) else value
     clean = F.when(~F.isnan(value), value.cast("double"))
@@ -58,14 +59,19 @@ def quantile_by(
         group.alias("_g"),
         clean.alias("_v"),
         (F.lit(1) if weight is None else weight).cast("long").alias("_w"),
-        *[expr.cast("double").alias(f"_m_{name}") for name, expr in means.items()],
+        *[c for name, expr in means.items() for c in _parts(name, expr)],
     )
     out = _spread(rows, probs, list(means)) if spread else _builtin(rows, probs, list(means))
     return out.select(*([F.col("_g.*")] if keys else []), *probs, *means)
 
 
-def _mean(name: str) -> Column:
-    return F.try_divide(F.sum(f"_s_{name}"), F.sum(f"_k_{name}"))
+def _parts(name: str, expr: Column | tuple[Column, Column]) -> list[Column]:
+    """Sum and count columns of a mean."""
+    if isinstance(expr, tuple):
+        total, count = expr
+    else:
+        total, count = expr, F.when(expr.isNotNull(), 1).otherwise(0)
+    return [total.cast("double").alias(f"_s_{name}"), count.cast("long").alias(f"_k_{name}")]
 
 
 def _builtin(rows: DataFrame, probs: Mapping[str, float], means: list[str]) -> DataFrame:
@@ -74,7 +80,7 @@ def _builtin(rows: DataFrame, probs: Mapping[str, float], means: list[str]) -> D
         rows.groupBy("_g")
         .agg(
             F.percentile("_v", wanted, F.col("_w")).alias("_q"),
-            *[F.avg(f"_m_{m}").alias(m) for m in means],
+            *[F.try_divide(F.sum(f"_s_{m}"), F.sum(f"_k_{m}")).alias(m) for m in means],
         )
         .select(
             "_g", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)], *means
@@ -88,16 +94,17 @@ def _spread(rows: DataFrame, probs: Mapping[str, float], means: list[str]) -> Da
         .groupBy("_g", "_b", "_v")
         .agg(
             F.sum(F.when(F.col("_v").isNotNull(), F.col("_w")).otherwise(0)).alias("_c"),
-            *[F.sum(f"_m_{m}").alias(f"_s_{m}") for m in means],
-            *[F.count(f"_m_{m}").alias(f"_k_{m}") for m in means],
+            *[F.sum(f"_{t}_{m}").alias(f"_{t}_{m}") for m in means for t in "sk"],
         )
     )
     cells = counted.groupBy("_g", "_b").agg(
         F.sum("_c").alias("_c"),
         *[F.sum(f"_{t}_{m}").alias(f"_{t}_{m}") for m in means for t in "sk"],
     )
-    whole = Window.partitionBy("_g")
-    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Both frames share one order, so one window operator serves them.
+    by_cell = Window.partitionBy("_g").orderBy("_b")
+    upto = by_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = by_cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = cells.select(
         "_g",
         "_b",
@@ -123,8 +130,12 @@ def _spread(rows: DataFrame, probs: Mapping[str, float], means: list[str]) -> Da
         for rank in ranks(p):
             holds = holds | ((rank >= F.col("_start")) & (rank < end))
     hit = placed.filter(holds).drop("_c")
-    # Alias one side: both come from the same counted table.
-    inside = counted.select("_g", "_b", "_v", "_c")
+    # Always true, but it names every column: both readers of the counted table
+    # then ask for the same ones, and its shuffle is done once and reused.
+    whole_row = F.lit(False)
+    for m in means:
+        whole_row = whole_row | (F.col(f"_k_{m}") >= 0) | F.col(f"_s_{m}").isNull()
+    inside = (counted.filter(whole_row) if means else counted).select("_g", "_b", "_v", "_c")
     ranked = hit.join(inside, ["_g", "_b"], "inner")
     within = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow

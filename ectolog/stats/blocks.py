@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ectolog.session import settle
+
 
 @dataclass
 class Sums:
@@ -62,6 +64,15 @@ def whole_ids(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFram
         yield rest.reset_index(drop=True)
 
 
+def by_individual(cells: DataFrame, id_col: str) -> DataFrame:
+    """Put each individual's cells together, once, for all later passes.
+
+    The checkpoint keeps the partitions as written, so a search over many
+    penalties needs no further shuffle.
+    """
+    return settle(cells.repartition(id_col).sortWithinPartitions(id_col))
+
+
 def block_parts(pdf: pd.DataFrame):
     """Per-individual cross products of a batch of whole individuals."""
     x = np.vstack(pdf["_x"].to_numpy())
@@ -83,7 +94,10 @@ def block_sums(
     z_cols: Sequence[Column],
     penalties: Sequence[np.ndarray],
 ) -> list[Sums]:
-    """One pass over the cells; a list of :class:`Sums`, one per penalty."""
+    """One pass over the cells; a list of :class:`Sums`, one per penalty.
+
+    With blocks, the cells must come from :func:`by_individual`.
+    """
     p = len(x_cols)
     rows = cells.select(
         (F.col(id_col) if id_col else F.lit(0)).alias("_id"),
@@ -93,9 +107,6 @@ def block_sums(
         F.col("sy").alias("_sy"),
         F.col("syy").alias("_syy"),
     )
-    if z_cols:
-        # A set number of tasks is not needed: cells of one individual are few.
-        rows = rows.repartition("_id").sortWithinPartitions("_id")
     has_blocks = bool(z_cols)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,6 +190,7 @@ def predict_cells(
     """Fitted value and standard error of every cell, its own block included.
 
     Cells with ``n = 0`` add nothing to a block and are only predicted.
+    ``cells`` must hold each individual's rows together, sorted by individual.
     """
     rows = cells.select(
         F.col(id_col).alias("_id"),
@@ -188,7 +200,6 @@ def predict_cells(
         F.col("sy").alias("_sy"),
         *keep,
     )
-    rows = rows.repartition("_id").sortWithinPartitions("_id")
     types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["fit double", "se double"])
 

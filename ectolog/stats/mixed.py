@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ectolog.session import settle
-from ectolog.stats.blocks import Sums, block_sums, predict_cells, predict_fixed
+from ectolog.stats.blocks import Sums, block_sums, by_individual, predict_cells, predict_fixed
 from ectolog.stats.design import Design, curvature, spline_columns
 from ectolog.stats.tails import chi2_sf, f_sf, range_sf, t_two_sided
 
@@ -37,6 +37,7 @@ class Fit:
     smooth_penalty: float
     id_col: str | None = None
     kind: str | None = None
+    cells: DataFrame | None = None
     block_penalty: np.ndarray | None = None
     block_edf: float = 0.0
 
@@ -128,12 +129,13 @@ def _fit(
     id_col: str | None,
     kind: str | None,
     rounds: int,
-) -> tuple[Fit, DataFrame]:
+) -> Fit:
     keys = [c for c in dict.fromkeys([id_col, design.x, *design.factors]) if c]
     rows = df
     for f, levels in design.factors.items():
         rows = rows.filter(F.col(f).isin(*levels))
-    cells = settle(model_cells(rows, y, keys))
+    cells = model_cells(rows, y, keys)
+    cells = by_individual(cells, id_col) if kind else settle(cells)
     n, center = cells.agg(F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")).first()
     if design.x is not None:
         design.lo, design.hi = map(float, cells.agg(F.min(design.x), F.max(design.x)).first())
@@ -197,13 +199,12 @@ def _fit(
         block_edf = s.ids * len(z_cols) - s.tr - float(np.trace(hinv @ s.cpc))
         penalties += float(s.zpz - 2 * beta @ s.cpz + beta @ s.cpc @ beta)
     edf = len(beta) - float(np.trace(hinv @ pen)) + block_edf
-    fit = Fit(
+    return Fit(
         design=design, names=design.names(), coef=beta, hinv=hinv, sigma2=got["sigma2"],
         n=int(n), ids=int(s.ids), reml=got["reml"], edf=edf, rss=got["pss"] - penalties,
         null_dev=float(null_dev), center=float(center), smooth_penalty=lam, id_col=id_col,
-        kind=kind, block_penalty=block(theta) if z_cols else None, block_edf=block_edf,
+        kind=kind, cells=cells, block_penalty=block(theta) if z_cols else None, block_edf=block_edf,
     )
-    return fit, cells
 
 
 def fit_random_intercept(
@@ -221,7 +222,7 @@ def fit_random_intercept(
     one Spark job over the cells, and individuals are never collected.
     """
     design = Design({k: list(v) for k, v in factors.items()}, [tuple(i) for i in interactions])
-    return _fit(df, y, design, id, "intercept", rounds)[0]
+    return _fit(df, y, design, id, "intercept", rounds)
 
 
 def fit_smooth(
@@ -249,7 +250,7 @@ def fit_smooth(
         [tuple(i) for i in interactions], x=x, by=by, size=size,
     )
     kind = None if id is None else ("curve" if id_curves else "intercept")
-    return _fit(bin_x(df, x, step), y, design, id, kind, rounds)[0]
+    return _fit(bin_x(df, x, step), y, design, id, kind, rounds)
 
 
 def bin_x(df: DataFrame, x: str, step: float = 1.0) -> DataFrame:
@@ -260,31 +261,23 @@ def bin_x(df: DataFrame, x: str, step: float = 1.0) -> DataFrame:
 # ---- predictions -----------------------------------------------------------
 
 
-def predict_fit(
-    df: DataFrame, fit: Fit, y: str, step: float = 1.0, new: DataFrame | None = None
-) -> DataFrame:
+def predict_fit(fit: Fit, new: DataFrame | None = None) -> DataFrame:
     """Fitted value and standard error per data cell (or per row of ``new``).
 
-    ``df`` is the data the model was fitted to: an individual's own term comes
-    from its cells there. ``new`` holds rows (id, x, factors) to predict.
+    An individual's own term comes from the cells the model was fitted to.
+    ``new`` holds rows (id, x, factors) to predict.
     """
     d = fit.design
     keys = [c for c in dict.fromkeys([fit.id_col, d.x, *d.factors]) if c]
-    rows = bin_x(df, d.x, step) if d.x else df
-    for f, levels in d.factors.items():
-        rows = rows.filter(F.col(f).isin(*levels))
-    cells = model_cells(rows, y, keys).select(
-        *keys, "n", (F.col("n") * (F.col("mean") - F.lit(fit.center))).alias("sy"),
-        F.lit(new is None).alias("_show"),
-    )
+    if fit.kind is None:
+        rows = fit.cells if new is None else new
+        return predict_fixed(rows.select(*keys), d.columns(), fit.beta, fit.cov, keys)
+    cells = fit.cells.select(*keys, "n", "sy", F.lit(new is None).alias("_show"))
     if new is not None:
         asked = new.select(
             *keys, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sy"), F.lit(True).alias("_show")
         )
-        cells = cells.unionByName(asked)
-    if fit.kind is None:
-        shown = cells.filter("_show")
-        return predict_fixed(shown, d.columns(), fit.beta, fit.cov, keys)
+        cells = cells.unionByName(asked).repartition(fit.id_col).sortWithinPartitions(fit.id_col)
     if fit.kind == "curve":
         z_cols = spline_columns(F.col(d.x).cast("double"), d.lo, d.hi, d.size)
     else:

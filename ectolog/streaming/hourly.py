@@ -37,9 +37,8 @@ def close_hours(counts: DataFrame) -> DataFrame:
     """Finished hours: exact 95th percentile of movement and mean temperature."""
     keys = ["start", "end", "id"]
     rows = counts.select("window.start", "window.end", "id", "v", "c", "s", "k")
-    p95 = quantile_by(rows, keys, "v", {"p95": 0.95}, weight=F.col("c"))
-    means = rows.groupBy(*keys).agg(F.try_divide(F.sum("s"), F.sum("k")).alias("tb"))
-    return p95.join(means, keys)
+    tb = {"tb": (F.col("s"), F.col("k"))}
+    return quantile_by(rows, keys, "v", {"p95": 0.95}, means=tb, weight=F.col("c"))
 
 
 def stream_hourly(feed: DataFrame, out_path: str, checkpoint: str, **options) -> None:

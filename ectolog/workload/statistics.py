@@ -383,13 +383,13 @@ def smooth_terms(v):
 
 @query("predict_fit")
 def predict_fit(v):
-    return mixed.predict_fit(v.seasonlog, _smooth_fit(v, id_curves=True), "ms2")
+    return mixed.predict_fit(_smooth_fit(v, id_curves=True))
 
 
 @query("predict_grid_mean")
 def predict_grid_mean(v):
     grid = prediction_grid(v).withColumnRenamed("temp", "tsurf")
-    rows = mixed.predict_fit(v.seasonlog, _smooth_fit(v, id_curves=True), "ms2", new=grid)
+    rows = mixed.predict_fit(_smooth_fit(v, id_curves=True), new=grid)
     return mixed.predict_grid_mean(rows, ["tsurf", "sex", "season"], x="tsurf")
 
 

@@ -97,7 +97,7 @@ def test_smooth_equals_dense_solution(df, data, options):
     assert fit.rss == pytest.approx(((y - fitted) ** 2).sum(), rel=1e-6)
     assert fit.edf == pytest.approx(np.trace(np.linalg.solve(h, m.T @ m)), abs=1e-5)
 
-    pred = mixed.predict_fit(df, fit, "y").toPandas()
+    pred = mixed.predict_fit(fit).toPandas()
     se = np.sqrt(fit.sigma2 * np.einsum("ij,jk,ik->i", m, np.linalg.inv(h), m))
     dense = data.assign(want=fitted + fit.center, want_se=se)
     keys = [c for c in pred.columns if c in data.columns]
@@ -109,8 +109,8 @@ def test_smooth_equals_dense_solution(df, data, options):
 
 def test_predicting_new_rows_equals_predicting_data(df):
     fit = mixed.fit_smooth(df, "y", "temp", FACTORS, id="id", id_curves=True, rounds=1)
-    seen = mixed.predict_fit(df, fit, "y").orderBy("id", "temp", "sex", "season")
-    asked = mixed.predict_fit(df, fit, "y", new=seen.drop("fit", "se"))
+    seen = mixed.predict_fit(fit).orderBy("id", "temp", "sex", "season")
+    asked = mixed.predict_fit(fit, new=seen.drop("fit", "se"))
     a = seen.toPandas()
     b = asked.orderBy("id", "temp", "sex", "season").toPandas()
     assert a["fit"].to_numpy() == pytest.approx(b["fit"].to_numpy())
