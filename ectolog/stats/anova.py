@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ectolog.operators.joins import null_safe_join
+from ectolog.session import settle
 from ectolog.stats.tails import f_pvalue, tukey_pvalue
 
 
@@ -32,16 +33,21 @@ def _totals(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def fit_group_means(df: DataFrame, y: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """Group means with the common (pooled) standard error."""
-    cells = group_sums(df, y, [*by, group]).withColumn("_one", F.lit(1))
-    pooled = _totals(cells, ["_one", *by]).select(
-        "_one",
+    # One row per level: computed once, then read for the rows and the pool.
+    cells = settle(group_sums(df, y, [*by, group]))
+    free = F.col("n_total") - F.col("groups")
+    pooled = _totals(cells, by).select(
         *by,
-        F.try_divide("ss_within", F.nullif(F.col("n_total") - F.col("groups"), F.lit(0))).alias("_v"),
-        (F.col("n_total") - F.col("groups")).alias("df"),
-    )
-    return null_safe_join(cells, pooled, ["_one", *by], "inner").select(
-        *by, group, "n", "mean", F.sqrt(F.col("_v") / F.col("n")).alias("se"), "df"
+        F.struct(
+            F.try_divide("ss_within", F.nullif(free, F.lit(0))).alias("v"), free.alias("df")
+        ).alias("_p"),
     )
+    if by:
+        rows = null_safe_join(cells, pooled, by, "inner")
+    else:
+        rows = cells.withColumn("_p", pooled.scalar())
+    se = F.sqrt(F.col("_p.v") / F.col("n")).alias("se")
+    return rows.select(*by, group, "n", "mean", se, F.col("_p.df").alias("df"))
 
 
 def anova_oneway(

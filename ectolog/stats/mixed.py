@@ -118,6 +118,15 @@ def _solve(s: Sums, pen: np.ndarray, unpenalised: int, block_logdet: float) -> d
     return {"beta": beta, "hinv": hinv, "sigma2": sigma2, "reml": float(reml), "pss": pss}
 
 
+def _smooth_grid(s: Sums, shape: np.ndarray) -> np.ndarray:
+    """Smoothing penalties to try: from nearly none to a straight line at this n."""
+    if not shape.any():
+        return np.array([0.0])
+    used = np.diag(shape) > 0
+    scale = np.log10(max(np.diag(s.xx)[used].sum() / np.diag(shape).sum(), 1.0))
+    return 10 ** np.arange(-3.0, scale + 6.1, 0.25)
+
+
 def _logdet(m: np.ndarray | None) -> float:
     return 0.0 if m is None else float(np.linalg.slogdet(m)[1])
 
@@ -136,14 +145,14 @@ def _fit(
         rows = rows.filter(F.col(f).isin(*levels))
     cells = model_cells(rows, y, keys)
     cells = by_individual(cells, id_col) if kind else settle(cells)
-    n, center = cells.agg(F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")).first()
-    if design.x is not None:
-        design.lo, design.hi = map(float, cells.agg(F.min(design.x), F.max(design.x)).first())
+    span = [F.min(design.x), F.max(design.x)] if design.x is not None else []
+    center, *ends = cells.agg(F.sum(F.col("n") * F.col("mean")) / F.sum("n"), *span).first()
+    if ends:
+        design.lo, design.hi = map(float, ends)
     off = F.col("mean") - F.lit(float(center))
     cells = cells.withColumns(
         {"sy": F.col("n") * off, "syy": F.col("ss") + F.col("n") * off * off}
     )
-    null_dev = cells.agg(F.sum("syy")).first()[0]
 
     x_cols, size = design.columns(), design.size
     if kind == "curve":
@@ -152,8 +161,8 @@ def _fit(
         def block(theta: Sequence[float]) -> np.ndarray:
             return 10 ** theta[0] * curvature(size) + 10 ** theta[1] * np.eye(size)
 
-        grid = [(a, b) for a in np.arange(-1.0, 5.1, 1.5) for b in np.arange(-1.0, 4.1, 1.25)]
-        step = np.array([1.5, 1.25])
+        grid = [(a, b) for a in np.arange(-1.0, 9.1, 2.0) for b in np.arange(-1.0, 8.1, 1.5)]
+        step = np.array([2.0, 1.5])
     elif kind == "intercept":
         z_cols = [F.lit(1.0)]
 
@@ -169,11 +178,11 @@ def _fit(
             return np.zeros((1, 1))
 
     shape = design.penalty()
-    smooths = [10**v for v in np.arange(-3.0, 7.1, 0.25)] if design.x is not None else [0.0]
     null_space = shape.shape[0] - int(np.linalg.matrix_rank(shape))
     best = None
     for _ in range(rounds):
         sums = block_sums(cells, id_col, x_cols, z_cols, [block(t) for t in grid])
+        smooths = _smooth_grid(sums[0], shape)
         for theta, s in zip(grid, sums, strict=True):
             logdet = _logdet(block(theta)) if z_cols else 0.0
             for lam in smooths:
@@ -201,8 +210,8 @@ def _fit(
     edf = len(beta) - float(np.trace(hinv @ pen)) + block_edf
     return Fit(
         design=design, names=design.names(), coef=beta, hinv=hinv, sigma2=got["sigma2"],
-        n=int(n), ids=int(s.ids), reml=got["reml"], edf=edf, rss=got["pss"] - penalties,
-        null_dev=float(null_dev), center=float(center), smooth_penalty=lam, id_col=id_col,
+        n=int(s.n), ids=int(s.ids), reml=got["reml"], edf=edf, rss=got["pss"] - penalties,
+        null_dev=float(s.yy), center=float(center), smooth_penalty=lam, id_col=id_col,
         kind=kind, cells=cells, block_penalty=block(theta) if z_cols else None, block_edf=block_edf,
     )
 
