@@ -46,7 +46,7 @@ def attach(
         raise ValueError(f"attach keeps the large side; {how!r} does not")
     dim = settle(dim)
     limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    if dim.limit(limit + 1).count() <= limit:
+    if dim.count() <= limit:
         return _equi_join(fact, F.broadcast(dim), on, how, null_safe)
     return salted_join(fact, dim, on, how, null_safe)
 
@@ -219,7 +219,9 @@ def grid_cross(
     out = levels
     for name, values in factors.items():
         out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    out = out.join(F.broadcast(ranges) if on in factors else ranges, [on])
+    # One row per listed value: as many rows as the caller listed.
+    spans = F.broadcast(ranges.filter(F.col(on).isin(*factors[on])))
+    out = out.join(spans, [on])
     step = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i")
     at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_i") / F.lit(float(steps - 1))
     return out.select("*", step).withColumn(x, at).drop("_i", "lo", "hi")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 
 from ectolog.operators import clean, quantiles, reshape
+from ectolog.stats import mixed
 
 
 def binned_curve(
@@ -20,3 +23,15 @@ def binned_curve(
 def performance(curve: DataFrame) -> DataFrame:
     """Optimum temperature and maximum per individual, season and sex."""
     return reshape.topt_pmax(curve, fit="p95")
+
+
+def fitted_optima(
+    curve: DataFrame,
+    factors: Mapping[str, Sequence[str]],
+    interactions: Sequence[tuple[str, ...]] = (("season", "sex"),),
+    y: str = "p95",
+    x: str = "temp",
+) -> DataFrame:
+    """Optimum and maximum from an additive model with a curve per individual."""
+    fit = mixed.fit_smooth(curve, y, x, factors, interactions, id="id", id_curves=True)
+    return reshape.topt_pmax(mixed.predict_fit(fit), fit="fit", tb=x)

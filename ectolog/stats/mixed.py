@@ -146,7 +146,10 @@ def _fit(
     cells = model_cells(rows, y, keys)
     cells = by_individual(cells, id_col) if kind else settle(cells)
     span = [F.min(design.x), F.max(design.x)] if design.x is not None else []
-    center, *ends = cells.agg(F.sum(F.col("n") * F.col("mean")) / F.sum("n"), *span).first()
+    owners = F.approx_count_distinct(id_col) if id_col else F.lit(1)
+    center, per_id, *ends = cells.agg(
+        F.sum(F.col("n") * F.col("mean")) / F.sum("n"), F.sum("n") / owners, *span
+    ).first()
     if ends:
         design.lo, design.hi = map(float, ends)
     off = F.col("mean") - F.lit(float(center))
@@ -161,8 +164,10 @@ def _fit(
         def block(theta: Sequence[float]) -> np.ndarray:
             return 10 ** theta[0] * curvature(size) + 10 ** theta[1] * np.eye(size)
 
-        grid = [(a, b) for a in np.arange(-1.0, 9.1, 2.0) for b in np.arange(-1.0, 8.1, 1.5)]
-        step = np.array([2.0, 1.5])
+        # From free curves to straight lines (to none) at this many readings each.
+        top = np.log10(max(float(per_id), 1.0)) + 4.0
+        grid = [(a, b) for a in np.linspace(-1.0, top, 5) for b in np.linspace(-1.0, top, 5)]
+        step = np.array([(top + 1.0) / 4] * 2)
     elif kind == "intercept":
         z_cols = [F.lit(1.0)]
 

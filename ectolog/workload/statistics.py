@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ectolog.functions import SEASONS
+from ectolog.operators import aggregate, clean, joins
+from ectolog.plans import performance, tables
 from ectolog.stats import anova, compare, mixed, ols, survival
 from ectolog.workload.composites import DEV, SURV_MODELS, WEIGHTS
 from ectolog.workload.registry import query
-from ectolog.workload.relational import observed_predicted, prediction_grid
+from ectolog.workload.composites import quality
+from ectolog.workload.relational import curve, minutes, observed_predicted, prediction_grid, with_tb
 
 _FIT = """I{{n}} AS n, R{{slope}} AS slope, R{{ic}} AS intercept, R{{r2}} AS r2, R{{sxx}} AS sxx,
     R{{xm}} AS x_mean, R{{x0}} AS x_min, R{{x1}} AS x_max, R{{sg}} AS sigma, R{{sg / sqrt(sxx)}} AS se_slope,
@@ -408,3 +411,43 @@ def model_compare_smooth(v):
         "season_sex_id": mixed.fit_smooth(log, "ms2", "tsurf", FACTORS, BOTH, id="id", id_curves=True),
     }
     return compare.model_compare(mixed.fits_table(v.spark, fits), "temp", "null_dev", p=True)
+
+
+# ---- tables over several models --------------------------------------------
+
+
+@query("anova_table")
+def anova_table(v):
+    db = aggregate.individual_db(joins.band_deviation(with_tb(v.seasonlog), "tb"))
+    de = quality(v).groupBy("model_id", "season", "type", "analysis").agg(F.avg("de").alias("de"))
+    te_factors = {"analysis": [f"de_{s}" for s in FACTORS["sex"]], "season": FACTORS["season"]}
+    fits = {
+        "Tb": mixed.fit_random_intercept(db, "tb", FACTORS, interactions=BOTH),
+        "db": mixed.fit_random_intercept(db, "individual_db", FACTORS, interactions=BOTH),
+        "de": mixed.fit_random_intercept(
+            de, "de", te_factors, id="model_id", interactions=[("season", "analysis")]
+        ),
+    }
+    return tables.effects_table(v.spark, fits)
+
+
+@query("season_means")
+def season_means(v):
+    tb = mixed.fit_random_intercept(with_tb(v.seasonlog), "tb", FACTORS, interactions=BOTH)
+    by_model = v.envlog.groupBy("season", "model_id").agg(F.avg("te").alias("te"))
+    te = mixed.fit_random_intercept(by_model, "te", {"season": FACTORS["season"]}, id="model_id")
+    return tables.season_means(v.spark, tb, te)
+
+
+@query("activity_contrasts")
+def activity_contrasts(v):
+    """Seasonal contrasts of log(1 + activity) per individual."""
+    act = aggregate.activity_by_id(minutes(v)).withColumn("y", F.log1p("movement_hr"))
+    fit = mixed.fit_random_intercept(act, "y", FACTORS, interactions=BOTH)
+    return tables.contrast_table(v.spark, fit, "season")
+
+
+@query("fitted_optima")
+def fitted_optima(v):
+    rows = clean.filter_category(curve(v), "sex", drop=["ZZf"])
+    return performance.fitted_optima(rows, FACTORS, BOTH)

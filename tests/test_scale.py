@@ -172,3 +172,23 @@ def test_single_row_spread_is_null(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 1.0), (2, 3.0)], "id long, x double")
     got = {r["id"]: r["se"] for r in aggregate.mean_se(df, "x", ["id"]).collect()}
     assert got[1] is None and got[2] == pytest.approx(1.0)
+
+
+def test_sketch_quantiles_are_close(spark):
+    df = spark.range(20000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    exact = {r["g"]: r["p"] for r in quantiles.quantile_by(df, ["g"], "x", {"p": 0.95}).collect()}
+    near = {r["g"]: r["p"] for r in quantiles.approx_quantile_by(df, ["g"], "x", {"p": 0.95}).collect()}
+    for g, v in exact.items():
+        assert abs(near[g] - v) <= 20000 / 10_000 * 3
+
+
+def test_no_cross_join_in_the_grid(spark, capsys):
+    ids = spark.createDataFrame([(1,), (2,)], "id long")
+    span = spark.createDataFrame([("a", 0.0, 9.0), ("b", 5.0, 6.0), ("zz", 0.0, 1.0)], "season string, lo double, hi double")
+    grid = joins.grid_cross(ids, span, "season", {"sex": ["x", "y"], "season": ["a", "b"]}, steps=10)
+    rows = grid.collect()
+    assert len(rows) == 2 * 2 * 2 * 10
+    assert sorted({r["temp"] for r in rows if r["season"] == "a"}) == [float(i) for i in range(10)]
+    grid.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
