@@ -176,13 +176,19 @@ def level_rank(x: Column, levels: Sequence[str] = SEASONS) -> Column:
 
 def p_label(p: Column) -> Column:
     """``<0.01`` or the p value with three decimals."""
-    return F.when(p < 0.01, "<0.01").when(p.isNotNull(), F.format_string("%.3f", p))
+    shown = F.format_string("%.3f", round_half_even(p, 3))
+    return F.when(p < 0.01, "<0.01").when(p.isNotNull(), shown)
 
 
 def mean_se_text(mean: Column, se: Column, digits: int = 2) -> Column:
-    """A table cell such as ``30.39 (0.52)``."""
+    """A table cell such as ``30.39 (0.52)``.
+
+    Values are rounded as stored doubles before they are written, as C's
+    printf does; the JVM formats their decimal text.
+    """
     shown = f"%.{digits}f"
-    return F.format_string(f"{shown} ({shown})", mean, se)
+    cells = [round_half_even(x, digits) for x in (mean, se)]
+    return F.format_string(f"{shown} ({shown})", *cells)
 
 
 def code_list(*parts: Column) -> Column:

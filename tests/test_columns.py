@@ -94,3 +94,9 @@ def test_band_forms_agree(spark, data):
     for r in both.collect():
         lo, hi = joins.PUBLISHED_BANDS[r["sex"]]
         assert r["db"] >= 0 and (r["db"] == 0) == (lo <= r["tb"] <= hi)
+
+
+def test_cell_text_rounds_the_stored_double(spark):
+    df = spark.createDataFrame([(26.305, 0.585), (2.675, 0.125)], "m double, s double")
+    got = [r[0] for r in df.select(X.mean_se_text(F.col("m"), F.col("s"))).collect()]
+    assert got == ["%.2f (%.2f)" % (26.305, 0.585), "%.2f (%.2f)" % (2.675, 0.125)]
