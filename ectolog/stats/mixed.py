@@ -314,7 +314,8 @@ def predict_grid_mean(
     """Grid predictions averaged over individuals.
 
     ``round_x="after"`` rounds the grid temperature to whole degrees after
-    predicting, ``"never"`` keeps it. ``clamp`` raises negative means to 0.
+    predicting, ``"never"`` keeps it; to round before predicting, pass the grid
+    through :func:`bin_x`. ``clamp`` raises negative means to 0.
     """
     rows = predicted.withColumn(x, F.rint(x) + F.lit(0.0)) if round_x == "after" else predicted
     mean = F.avg(fit)

@@ -114,57 +114,147 @@ def survival_glm(
     at 0 and so finds the one nearest to no effect.
     """
     names = list(terms)
-    p = len(names)
-    xs = [f"x{i}" for i in range(p)]
+    patterns = _patterns(df, survived, terms)
+    first = [0.0] * len(names) if start is None else list(start)
+    return _score(patterns, names, link, [first], tol, max_iter)[0]
+
+
+def survival_optima(
+    df: DataFrame,
+    survived: str,
+    term: str,
+    column: Column,
+    starts: Sequence[float],
+    link: str = "sine",
+) -> list[GlmFit]:
+    """Distinct optima of a one-covariate model reached from several starts.
+
+    The trials are merged once and all starts advance together, one pass per
+    step; the fits come back by distance of their
+    coefficient from 0, so the first is what :func:`survival_glm` reports.
+    """
+    patterns = _patterns(df, survived, {term: column})
+    found: list[GlmFit] = []
+    for fit in _score(patterns, [term], link, [[v] for v in starts], 1e-10, 60):
+        if all(abs(fit.coef[0] - f.coef[0]) > 1e-4 * (1 + abs(f.coef[0])) for f in found):
+            found.append(fit)
+    return sorted(found, key=lambda f: abs(f.coef[0]))
+
+
+def _patterns(df: DataFrame, survived: str, terms: Mapping[str, Column]) -> DataFrame:
+    """Trials merged per covariate pattern: x0.., trials n, survivors s."""
+    xs = [f"x{i}" for i in range(len(terms))]
     rows = df.select(
         F.col(survived).cast("int").alias("_y"),
-        *[terms[t].cast("double").alias(x) for t, x in zip(names, xs, strict=True)],
+        *[c.cast("double").alias(x) for c, x in zip(terms.values(), xs, strict=True)],
     ).na.drop("any")
-    patterns = settle(
-        rows.groupBy(*xs).agg(F.count("_y").alias("n"), F.sum("_y").alias("s"))
-    )
-    total = patterns.agg(F.sum("n")).first()[0]
+    return settle(rows.groupBy(*xs).agg(F.count("_y").alias("n"), F.sum("_y").alias("s")))
 
-    def evaluate(
-        beta: np.ndarray, observed: bool = False
-    ) -> tuple[float, np.ndarray, np.ndarray]:
-        eta = sum((F.col(x) * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0))
-        mu = F.least(F.greatest(_mean(eta, link), F.lit(1e-15)), F.lit(1 - 1e-15))
-        n, s = F.col("n"), F.col("s")
-        if link == "logit":
-            pull, weight = s - n * mu, n * mu * (F.lit(1.0) - mu)
-        else:
-            pull, weight = (s - n * mu) * _slope(eta, link) / (mu * (F.lit(1.0) - mu)), n
-            if observed:
-                weight = n - (s - n * mu) * F.sin(eta) / (mu * (F.lit(1.0) - mu)) / 2.0
-        dev = F.lit(-2.0) * (s * F.ln(mu) + (n - s) * F.ln(F.lit(1.0) - mu))
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        row = patterns.agg(
-            F.sum(dev),
-            *[F.sum(pull * F.col(x)) for x in xs],
-            *[F.sum(weight * F.col(xs[i]) * F.col(xs[j])) for i, j in pairs],
-        ).first()
+
+def _evaluate(
+    patterns: DataFrame, betas: np.ndarray, link: str, observed: bool = False
+) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Deviance, score and information at several coefficient vectors, in one pass.
+
+    The vectors are a literal array exploded next to each pattern, so every
+    step runs the same generated code.
+    """
+    p = betas.shape[1]
+    tries = F.array(
+        *[
+            F.struct(F.lit(j).alias("j"), *[F.lit(float(v)).alias(f"b{i}") for i, v in enumerate(b)])
+            for j, b in enumerate(betas)
+        ]
+    )
+    rows = patterns.select("*", F.explode(tries).alias("_t"))
+    eta = F.lit(0.0)
+    for i in range(p):
+        eta = eta + F.col(f"x{i}") * F.col(f"_t.b{i}")
+    mu = F.least(F.greatest(_mean(eta, link), F.lit(1e-15)), F.lit(1 - 1e-15))
+    n, s = F.col("n"), F.col("s")
+    spread = mu * (F.lit(1.0) - mu)
+    if link == "logit":
+        pull, weight = s - n * mu, n * spread
+    else:
+        pull, weight = (s - n * mu) * _slope(eta, link) / spread, n.cast("double")
+        if observed:
+            weight = n - (s - n * mu) * F.sin(eta) / spread / 2.0
+    dev = F.lit(-2.0) * (s * F.ln(mu) + (n - s) * F.ln(F.lit(1.0) - mu))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = (
+        rows.select(
+            F.col("_t.j").alias("_j"), dev.alias("_d"), pull.alias("_u"), weight.alias("_w"),
+            *[f"x{i}" for i in range(p)],
+        )
+        .groupBy("_j")
+        .agg(
+            F.sum("_d"),
+            *[F.sum(F.col("_u") * F.col(f"x{i}")) for i in range(p)],
+            *[F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs],
+        )
+        .collect()
+    )
+    out: list = [None] * len(betas)
+    for row in sums:
         info = np.zeros((p, p))
-        for v, (i, j) in zip(row[1 + p :], pairs, strict=True):
+        for v, (i, j) in zip(row[2 + p :], pairs, strict=True):
             info[i, j] = info[j, i] = v
-        return float(row[0]), np.array(row[1 : 1 + p], float), info
+        out[row[0]] = (float(row[1]), np.array(row[2 : 2 + p], float), info)
+    return out
 
-    beta = np.zeros(p) if start is None else np.asarray(start, float)
-    dev, score, info = evaluate(beta)
+
+def _score(
+    patterns: DataFrame,
+    names: list[str],
+    link: str,
+    starts: Sequence[Sequence[float]],
+    tol: float,
+    max_iter: int,
+) -> list[GlmFit]:
+    """Fisher scoring from every start; a step that raises the deviance is halved."""
+    total = patterns.agg(F.sum("n")).first()[0]
+    betas = np.array([list(map(float, b)) for b in starts])
+    state = _evaluate(patterns, betas, link)
+    active = list(range(len(betas)))
+    halves = 0.5 ** np.arange(1, 13)
     for _ in range(max_iter):
-        step = np.linalg.solve(info, score)
-        for _ in range(20):
-            trial = evaluate(beta + step)
-            if trial[0] <= dev + 1e-12 * abs(dev):
-                break
-            step = step / 2
-        beta, moved = beta + step, dev - trial[0]
-        dev, score, info = trial
-        if abs(moved) < tol * (abs(dev) + tol):
+        if not active:
             break
+        steps = {k: np.linalg.solve(state[k][2], state[k][1]) for k in active}
+        moved = {}
+        tried = _evaluate(patterns, np.array([betas[k] + steps[k] for k in active]), link)
+        worse = []
+        for k, got in zip(active, tried, strict=True):
+            if got[0] <= state[k][0] + 1e-12 * abs(state[k][0]):
+                moved[k] = (betas[k] + steps[k], got)
+            else:
+                worse.append(k)
+        if worse:
+            at = np.array([betas[k] + h * steps[k] for k in worse for h in halves])
+            tried = _evaluate(patterns, at, link)
+            for i, k in enumerate(worse):
+                for j in range(len(halves)):
+                    got = tried[i * len(halves) + j]
+                    if got[0] <= state[k][0]:
+                        moved[k] = (at[i * len(halves) + j], got)
+                        break
+        left = []
+        for k in active:
+            if k not in moved:
+                continue
+            gain = state[k][0] - moved[k][1][0]
+            betas[k], state[k] = moved[k]
+            if abs(gain) >= tol * (abs(state[k][0]) + tol):
+                left.append(k)
+        active = left
     if link != "logit":
-        info = evaluate(beta, observed=True)[2]
-    return GlmFit(names, beta, np.linalg.inv(info), dev, int(total), link)
+        infos = [got[2] for got in _evaluate(patterns, betas, link, observed=True)]
+    else:
+        infos = [got[2] for got in state]
+    return [
+        GlmFit(names, betas[k], np.linalg.inv(infos[k]), state[k][0], int(total), link)
+        for k in range(len(betas))
+    ]
 
 
 def survival_curve(

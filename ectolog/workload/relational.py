@@ -486,7 +486,19 @@ def group_ci(v):
     return reshape.group_ci(bins, ["sex"], "m", ci=False)
 
 
-@query("group_ci_limits")
+# 0.975 quantile of t with 49 degrees of freedom: one bin per whole l_quantity.
+_T49 = 2.0095752371292397
+
+
+@query(
+    "group_ci_limits",
+    f"""WITH {_BINS}, spread AS (SELECT sex, stddev_samp(m) / sqrt(count(*)) AS se, count(*) AS n
+                                  FROM bins GROUP BY sex)
+        SELECT sex, R{{tsurf}} AS tsurf, R{{m}} AS m, R{{se}} AS se,
+               R{{CASE WHEN n = 50 THEN m - {_T49} * se END}} AS lower_ci,
+               R{{CASE WHEN n = 50 THEN m + {_T49} * se END}} AS upper_ci
+        FROM bins JOIN spread USING (sex)""",
+)
 def group_ci_limits(v):
     bins = v.seasonlog.groupBy("sex", "tsurf").agg(F.avg("ms2").alias("m"))
     return reshape.group_ci(bins, ["sex"], "m")

@@ -275,6 +275,15 @@ def survival_glm_sine(v):
     return fit.tables(v.spark)["coefficients"]
 
 
+@query("survival_glm_optima")
+def survival_glm_optima(v):
+    fits = survival.survival_optima(
+        v.survlog, "survived", "trait", F.col("trait"), [-12.0, -6.0, 0.0, 6.0, 12.0]
+    )
+    rows = [(float(f.coef[0]), float(f.deviance)) for f in fits]
+    return v.spark.createDataFrame(rows, "estimate double, deviance double")
+
+
 @query("survival_glm_by_sex")
 def survival_glm_by_sex(v):
     terms = _line_terms() | {"male": F.when(F.col("sex") == "ZZm", 1.0).otherwise(0.0)}

@@ -96,3 +96,15 @@ def test_logit_agrees_with_spark_ml(histories):
     assert ours.coef[0] == pytest.approx(model.intercept, rel=1e-5)
     assert list(ours.coef[1:]) == pytest.approx(list(model.coefficients), rel=1e-5)
     assert ours.deviance == pytest.approx(model.summary.deviance, rel=1e-8)
+
+
+def test_other_optima_of_the_sine_link(histories):
+    """The likelihood has lower optima far from 0; the reported one is the nearest."""
+    fits = survival.survival_optima(
+        histories, "survived", "pmax", F.col("pmax"), [0.0, 120.0, 200.0, 215.0, 230.0]
+    )
+    assert fits[0].coef[0] == pytest.approx(26.1, abs=0.1)
+    assert fits[0].deviance == pytest.approx(34.36, abs=0.006)
+    best = min(fits, key=lambda f: f.deviance)
+    assert best.coef[0] == pytest.approx(213.9, abs=0.1)
+    assert best.deviance == pytest.approx(27.06, abs=0.006)
