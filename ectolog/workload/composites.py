@@ -17,10 +17,8 @@ from ectolog.streaming.hourly import stream_hourly as run_stream
 from ectolog.workload.basic import _HISTORY, _round3_sql, deviation_sql
 from ectolog.workload.registry import query
 from ectolog.workload.relational import (
-    _DAYS,
     _PROFILE,
     CURVE,
-    DB_SQL,
     FLAG,
     MIN_DAYS,
     TB,
