@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from ectolog.llm.rows import id_and_text, pieces
 
 #: Text of one block; memory in a task is a small multiple of it.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Ranks that share one list of waiting positions.
 RANKS_PER_BUCKET = 64
 
