@@ -10,39 +10,51 @@ the different letters that stand before a gram (grams that begin a word have no
 such letter and keep their plain counts). All levels are tables joined on the
 gram; nothing of the corpus is collected.
 
-Scoring: the finished model is split by a hash of the history's last two
-letters into shards of bounded size. Each shard is sent to the tasks, which add
-up the letters whose history belongs to it; the partial sums of a document are
-added afterwards. A model within the bound is one shard, and then no rows are
-shuffled at all.
+Scoring: the finished model is split by the hash of a gram into shards of
+bounded size, which are broadcast. A task lists the distinct words of a block of
+documents and joins their grams with one shard after the other, so that it holds
+one shard and one block at a time; no document is shuffled.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+import operator
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ectolog.llm.rows import pieces
 from ectolog.session import settle
 
-BEGIN, END = "\x02", "\x03"
-#: Rows of a model that one task holds at a time.
-SHARD_ROWS = 1_500_000
+BEGIN, END, AGAIN = "\x02", "\x03", "\x04"
+#: Rows of a model (12 bytes each) that one task holds at a time.
+SHARD_ROWS = 6_000_000
+#: A model beyond this is refused: its shards together fill an executor's disk cache.
+MOST_ROWS = 100_000_000
+#: Text, and words among it, that are scored together.
+BLOCK_BYTES = 4 << 20
+WORDS_AT_ONCE = 50_000
 #: Distinct words counted or scored before a task hands them on and begins anew.
-WORDS_HELD = 400_000
+WORDS_HELD = 250_000
 #: Letters of a word that are read one by one; longer words are cut into words of this size.
 WORD_LETTERS = 256
 
 
 def words_of(text: str) -> list[str]:
-    """Words between white space; overlong ones in sections, so that no letter is left out."""
+    """Words between white space; overlong ones in sections, so that no letter is left out.
+
+    A word that says the one before it again stands as ``AGAIN``, so that a model
+    learns how rare that is.
+    """
     words = text.split()
+    if any(map(operator.eq, words, words[1:])):
+        words[1:] = [AGAIN if a == b else b for a, b in zip(words, words[1:])]
     if len(text) > WORD_LETTERS and any(len(w) > WORD_LETTERS for w in words):
         words = [
             w[a : a + WORD_LETTERS] for w in words for a in range(0, len(w), WORD_LETTERS)
@@ -95,7 +107,7 @@ def top_counts(texts: DataFrame, order: int) -> DataFrame:
     return counted.groupBy("kind", "gram").agg(F.sum("n").alias("n"))
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+def discounts(counts: DataFrame) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from the counts of counts; 0.75 where they say nothing."""
     row = counts.agg(*(F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in range(1, 5)))
     n = [float(x or 0) for x in row.first()]
@@ -127,7 +139,7 @@ def level(counts: DataFrame, lower: DataFrame | None, n_letters: int) -> DataFra
     ``lower`` has ``gram`` and ``p`` of the level below; a gram that it lacks
     has probability 1 / ``n_letters`` there.
     """
-    d = _discounts(counts)
+    d = discounts(counts)
     n = F.col("n")
     own = counts.withColumn("h", history(F.col("gram")))
     sums = own.groupBy("h").agg(
@@ -172,98 +184,188 @@ def shared_levels(top: DataFrame, order: int) -> tuple[list[DataFrame], int]:
     return levels, n_letters
 
 
-def shard_of(letters: str, shards: int) -> int:
-    """Shard of a history by its last two letters."""
-    code = 0
-    for c in letters[-2:]:
-        code = (code * 8191 + ord(c)) % 2147483647
-    return code * 48271 % 2147483647 % shards
+def pooled_model(top: DataFrame, order: int) -> tuple[DataFrame, int]:
+    """``gram``, ``p``, ``h``, ``back`` of every level, and the number of letters plus one.
+
+    ``top`` has ``gram`` and ``n``, one row for each gram.
+    """
+    levels, n_letters = shared_levels(top, order)
+    longest = top.where(F.length("gram") == order).select("gram", "n")
+    levels.append(level(longest, levels[-1] if levels else None, n_letters))
+    whole = levels[0]
+    for one in levels[1:]:
+        whole = whole.union(one)
+    return whole, n_letters
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_HISTORY = np.uint64(0xA0761D6478BD642F)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Letters:
+    """The letters of words one after the other, and 64-bit keys of the grams that end at each."""
+
+    def __init__(self, words: list[str], order: int):
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        text = "".join(words).encode("utf-32-le", "surrogatepass")
+        code = np.frombuffer(text, np.uint32)
+        start = np.cumsum(size) - size
+        self.word = np.repeat(np.arange(len(words)), size)
+        self.place = np.arange(len(code)) - np.repeat(start, size)
+        letter = _mixed(code.astype(np.uint64) + _MIX)
+        self.by_length = [np.zeros(len(code), np.uint64)]
+        weight = np.uint64(1)
+        for k in range(order):
+            moved = np.zeros(len(code), np.uint64)
+            moved[k:] = letter[: len(code) - k]
+            with np.errstate(over="ignore"):
+                self.by_length.append(self.by_length[-1] + moved * weight)
+                weight = weight * _STEP
+
+    def gram(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self._key(at, length, np.uint64(0))
+
+    def history(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Key of the history of the gram of this length that ends here."""
+        return self._key(at - 1, length - 1, _HISTORY)
+
+    def _key(self, at: np.ndarray, length: np.ndarray, mark: np.uint64) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for k in np.unique(length).tolist():
+            some = length == k
+            with np.errstate(over="ignore"):
+                out[some] = _mixed(self.by_length[k][at[some]] + mark + np.uint64(k) * _MIX)
+        return out
+
+
+class Tables:
+    """The shards of a model as a task sees them, one in memory at a time."""
+
+    def __init__(self, sent: list):
+        self.sent = sent
+        self.held = None
+        self.number = -1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, NaN where the model has none."""
+        out = np.full(len(keys), np.nan)
+        shard = (keys >> np.uint64(33)) % np.uint64(len(self.sent))
+        for number in range(len(self.sent)):
+            own = np.flatnonzero(shard == number) if len(self.sent) > 1 else slice(None)
+            wanted = keys[own]
+            if self.number != number:
+                self.held = None
+                self.held, self.number = self.sent[number]._value_of_file(), number
+            known, value = self.held
+            if len(known) and len(wanted):
+                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                out[own] = np.where(known[at] == wanted, value[at], np.nan)
+        return out
+
+
+class _Sent:
+    """A broadcast that is read anew each time, so that a worker doesn't keep every shard."""
+
+    def __init__(self, broadcast):
+        self.broadcast = broadcast
+
+    def _value_of_file(self) -> tuple[np.ndarray, np.ndarray]:
+        value = self.broadcast.value
+        key, v = np.frombuffer(value[0], np.uint64), np.frombuffer(value[1], np.float32)
+        del self.broadcast._value
+        return key, v
+
+
+def send(model: DataFrame, order: int, shard_rows: int = SHARD_ROWS) -> list[_Sent]:
+    """Broadcast a model (``what`` 0 gram or 1 history, ``gram``, ``v``) shard by shard."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            what = batch.column(0).to_numpy()
+            grams = batch.column(1).to_pylist()
+            # A mark after each gram stands for the letter that a history precedes.
+            letters = Letters([g + END for g in grams], order + 1)
+            size = np.fromiter(map(len, grams), np.int64, len(grams))
+            end = np.cumsum(size + 1) - 1
+            keys = np.where(
+                what == 0, letters.gram(end - 1, size), letters.history(end, size + 1)
+            )
+            yield pa.record_batch(
+                [pa.array(keys.view(np.int64)), batch.column(2).cast(pa.float32())], ["key", "v"]
+            )
 
-def shard_column(h: Column, shards: int) -> Column:
-    """The same as ``shard_of`` for a column."""
-    tail = F.substring(h, -2, 2)
-    first, second = F.ascii(F.substring(tail, 1, 1)), F.ascii(F.substring(tail, 2, 1))
-    first, second = first.cast("long"), second.cast("long")
-    code = F.when(F.length(tail) == 0, F.lit(0)).when(F.length(tail) == 1, first)
-    code = code.otherwise((first * 8191 + second) % 2147483647)
-    return (code * 48271 % 2147483647 % shards).cast("int")
+    spark = model.sparkSession
+    keyed = settle(
+        model.where("v IS NOT NULL").select("what", "gram", F.col("v").cast("double")).mapInArrow(
+            run, "key long, v float"
+        )
+    )
+    rows = keyed.count()
+    if rows > MOST_ROWS:
+        raise ValueError(f"{rows} rows of a model; lower the order or raise MOST_ROWS")
+    shards = max(1, math.ceil(rows / shard_rows))
+    shard = F.shiftrightunsigned(F.col("key"), 33) % shards
+    sent = []
+    for number in range(shards):
+        found = keyed.where(shard == number).toArrow()
+        key = found["key"].to_numpy().view(np.uint64)
+        by = np.argsort(key)
+        v = found["v"].to_numpy()[by].astype(np.float32)
+        sent.append(_Sent(spark.sparkContext.broadcast((key[by].tobytes(), v.tobytes()))))
+    return sent
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 def sums_over(
     docs: DataFrame,
-    model: DataFrame,
+    sent: list[_Sent],
     order: int,
-    scorer: Callable[[dict, dict, int], Callable[[str], float]],
+    score: Callable[[Letters, Tables], tuple[np.ndarray, np.ndarray]],
     keep: str,
-    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """Columns of ``keep``, ``total`` and ``n``: sums of letter scores by row of ``docs``.
+    """Columns of ``keep``, ``total`` and ``n``: sums over the words of each row of ``docs``.
 
-    ``model`` has ``gram`` or a history, ``v`` (double) and ``what`` (0 gram, 1
-    history). ``scorer(grams, histories, shard, shards)`` gives the score of a
-    word's letters that belong to the shard. ``docs`` has the columns of the
-    schema ``keep`` and ``text`` last.
+    ``score(letters, tables)`` gives the value and the size of each word of a
+    block, marks included. ``docs`` has the columns of the schema ``keep``, and
+    ``text`` last. A word is scored once in a block of documents.
     """
-    spark = docs.sparkSession
     kept = [c.split()[0] for c in keep.split(", ")]
-    n_rows = model.count()
-    shards = max(1, math.ceil(n_rows / shard_rows))
-    h = F.when(F.col("what") == 1, F.col("gram")).otherwise(history(F.col("gram")))
-    tagged = model.withColumn("shard", shard_column(h, shards))
-    parts = []
-    for shard in range(shards):
-        # Grams of one and two letters are few and looked up from every history.
-        own = tagged.where((F.col("shard") == shard) | (F.length("gram") <= 2))
-        found = own.select("what", "gram", "v").toArrow()
-        sent = spark.sparkContext.broadcast(
-            tuple(
-                dict(zip(found["gram"].filter(mask).to_pylist(), found["v"].filter(mask).to_pylist()))
-                for mask in (pc.equal(found["what"], w) for w in (0, 1))
-            )
-        )
-
-        def run(batches, sent=sent, shard=shard) -> Iterator[pa.RecordBatch]:
-            score = scorer(*sent.value, shard, shards)
-            known: dict[str, tuple[float, int]] = {}
-            for batch in batches:
-                for part in pieces(batch):
-                    sums, sizes = [], []
-                    for text in part.column(part.num_columns - 1).to_pylist():
-                        total, size = 0.0, 0
-                        for word in words_of(text):
-                            got = known.get(word)
-                            if got is None:
-                                got = known[word] = score(word)
-                            total += got[0]
-                            size += got[1]
-                        sums.append(total)
-                        sizes.append(size)
-                    if len(known) > WORDS_HELD:
-                        known.clear()
-                    yield pa.record_batch(
-                        [*part.columns[:-1], pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())],
-                        [*kept, "total", "n"],
-                    )
-
-        parts.append(docs.mapInArrow(run, f"{keep}, total double, n long"))
-    if shards == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    return whole.groupBy(*kept).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
-
-def pooled_model(top: DataFrame, order: int) -> tuple[DataFrame, int]:
-    """``gram``, ``p``, ``h``, ``back`` of every level, and the number of letters plus one.
-
-    ``top`` has ``gram`` and ``n``, one row for each gram.
-    """
-    levels, n_letters = shared_levels(top, order)
-    longest = top.where(F.length("gram") == order).select("gram", "n")
-    levels.append(level(longest, levels[-1] if levels else None, n_letters))
-    whole = levels[0]
-    for one in levels[1:]:
-        whole = whole.union(one)
-    return whole, n_letters
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(sent)
+        numbers = _Numbers()
+        value, size = np.zeros(0), np.zeros(0, np.int64)
+        for batch in batches:
+            for part in pieces(batch, BLOCK_BYTES):
+                if len(numbers) > WORDS_HELD:
+                    numbers.clear()
+                    value, size = np.zeros(0), np.zeros(0, np.int64)
+                docs = [
+                    np.fromiter(map(numbers.__getitem__, words_of(text)), np.int64)
+                    for text in part.column(part.num_columns - 1).to_pylist()
+                ]
+                fresh = list(itertools.islice(numbers, len(value), None))
+                for a in range(0, len(fresh), WORDS_AT_ONCE):
+                    words = [BEGIN + w + END for w in fresh[a : a + WORDS_AT_ONCE]]
+                    v, n = score(Letters(words, order), tables)
+                    value, size = np.append(value, v), np.append(size, n)
+                sums = [float(value[d].sum()) for d in docs]
+                sizes = [int(size[d].sum()) for d in docs]
+                yield pa.record_batch(
+                    [*part.columns[:-1], pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())],
+                    [*kept, "total", "n"],
+                )
+
+    return docs.mapInArrow(run, f"{keep}, total double, n long")

@@ -5,20 +5,21 @@ its perplexity per letter, and is rejected when that exceeds the threshold of
 its language. A threshold comes from quantiles of the trusted documents of that
 language: the median of the log perplexity plus ``spread`` times the distance
 from the median to the upper quantile, so that it lies well outside of what
-trusted text shows, whatever the language.
+trusted text shows, whatever the language. As means of few letters scatter, a
+slack that shrinks with the root of the length is added.
 
 Defined cases: null and empty texts have a null perplexity and are accepted
 (nothing speaks against them); a language without trusted documents, null
 included, uses the quantiles of all languages; without any trusted text
 everything is accepted. Repeated rows give repeated results; a trusted id that
-occurs in several rows counts each of them. A document whose model is split in
-shards gives one row for all rows with its id, language and text length.
+occurs in several rows counts each of them.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,12 @@ UPPER = 0.9
 SPREAD = 5.0
 #: Least distance of a threshold from the median, as a log perplexity.
 LEAST = 0.15
+#: A short text may exceed the threshold by this much, divided by the root of its letters.
+SLACK = 4.0
 #: Accuracy of the quantiles (percentile_approx).
 QUANTILE_ACCURACY = 10_000
 
-_KEEP = "doc_id long, lang string, size long"
+_KEEP = "doc_id long, lang string"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -42,7 +45,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
-        F.octet_length(text).cast("long").alias("size"),
         text.alias("text"),
     )
 
@@ -62,32 +64,24 @@ def train(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, int]:
 
 
 def _scorer(order: int, n_letters: int):
-    def make(grams: dict, histories: dict, shard: int, shards: int):
-        unseen = -math.log(n_letters)
-
-        def score(word: str) -> tuple[float, int]:
-            s = kn.BEGIN + word + kn.END
-            total, size = 0.0, 0
-            for i in range(1, len(s)):
-                a = max(0, i - order + 1)
-                if shards > 1 and kn.shard_of(s[a:i], shards) != shard:
-                    continue
-                size += 1
-                while True:
-                    p = grams.get(s[a : i + 1])
-                    if p is not None:
-                        total += p
-                        break
-                    if a == i:
-                        total += unseen + histories.get("", 0.0)
-                        break
-                    total += histories.get(s[a:i], 0.0)
-                    a += 1
-            return total, size
-
-        return score
-
-    return make
+    def score(letters: kn.Letters, tables: kn.Tables) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(letters.place > 0)
+        total = np.zeros(len(letters.place))
+        length = np.minimum(letters.place[at] + 1, order)
+        while len(at):
+            p = tables.find(letters.gram(at, length))
+            known = ~np.isnan(p)
+            total[at[known]] += p[known]
+            at, length = at[~known], length[~known]
+            back = tables.find(letters.history(at, length))
+            total[at] += np.nan_to_num(back, nan=0.0)
+            total[at[length == 1]] -= math.log(n_letters)
+            at, length = at[length > 1], length[length > 1] - 1
+        words = int(letters.word[-1]) + 1 if len(letters.word) else 0
+        size = np.bincount(letters.word, minlength=words) - 1
+        return np.bincount(letters.word, weights=total, minlength=words), size
+
+    return score
 
 
 def perplexities(
@@ -97,10 +91,11 @@ def perplexities(
     order: int = ORDER,
     shard_rows: int = kn.SHARD_ROWS,
 ) -> DataFrame:
-    """``doc_id``, ``lang``, ``size``, ``log_perplexity`` of each document."""
-    sums = kn.sums_over(_rows(docs), model, order, _scorer(order, n_letters), _KEEP, shard_rows)
+    """``doc_id``, ``lang``, ``n`` (letters), ``log_perplexity`` of each document."""
+    sent = kn.send(model, order, shard_rows)
+    sums = kn.sums_over(_rows(docs), sent, order, _scorer(order, n_letters), _KEEP)
     mean = F.when(F.col("n") > 0, -F.col("total") / F.col("n"))
-    return sums.select("doc_id", "lang", "size", mean.alias("log_perplexity"))
+    return sums.select("doc_id", "lang", "n", mean.alias("log_perplexity"))
 
 
 def thresholds(scored: DataFrame, upper: float = UPPER, spread: float = SPREAD) -> DataFrame:
@@ -133,6 +128,7 @@ def classify(
     every = limits.where("every").first()["limit"]
     joined = scored.join(limits.where("NOT every").select("lang", "limit"), "lang", "left")
     limit = F.coalesce("limit", F.lit(every).cast("double"))
+    limit = limit + SLACK / F.sqrt(F.greatest("n", F.lit(1)))
     accepted = F.coalesce(F.col("log_perplexity") <= limit, F.lit(True))
     return joined.select(
         "doc_id",

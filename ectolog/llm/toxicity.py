@@ -4,7 +4,7 @@ Letters within words are counted for toxic and for ordinary labelled texts.
 Each class discounts its own counts and hands the rest to the model of both
 together, which backs off to shorter histories (``kneser_ney``): a rare spelling
 is judged by what it shares with others. A document's value is the difference of
-the two log-likelihoods per letter. Rows of one fold are left out of the counts;
+the two log-likelihoods per word. Rows of one fold are left out of the counts;
 on them a logistic curve from value to score is fitted.
 
 Learning uses rows whose ``crc32(doc_id as text) % 5`` is not 0: remainders 1 to
@@ -14,13 +14,14 @@ score.
 Defined cases: null and empty texts have value 0; without labels of both classes
 every score is the share of toxic rows, or 0.5 without any; a null label is no
 label; several labels of a document count each; repeated rows give repeated
-results (one for all when the model is split in shards).
+results.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,11 @@ from ectolog.llm import kneser_ney as kn
 from ectolog.llm.rows import id_and_text
 from ectolog.session import settle
 
-ORDER = 6
+ORDER = 7
+#: Counts' worth of trust that a class gives the model of both classes, besides the discounts.
+TRUST = 10.0
+#: Share of toxic words in a toxic text; the rest of its words are ordinary.
+SHARE = 0.01
 FOLDS = 5
 CURVE_FOLD = 4
 #: Bins of the value in which the curve's rows are counted before the curve is fitted.
@@ -40,7 +45,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """Model rows (``what``, ``gram``, ``v``) of rows with ``kind`` (1 toxic) and ``text``."""
+    """Model rows (``what``, ``gram``, ``v``) of rows with ``kind`` (1 toxic) and ``text``.
+
+    ``v`` is the difference of the log probabilities. Histories that only one
+    class has seen tell nothing and have no rows.
+    """
     counts = settle(kn.top_counts(labelled, order))
     n = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)]
     both = settle(counts.groupBy("gram").agg(*n))
@@ -48,53 +57,54 @@ def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     own = both.withColumn("h", kn.history(F.col("gram")))
     rest = {}
     for k in (0, 1):
-        d = kn._discounts(counts.where(F.col("kind") == k))
+        d = kn.discounts(counts.where(F.col("kind") == k))
         c = F.col(f"n{k}")
         cut = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
         rest[k] = F.greatest(c - cut, F.lit(0.0))
-    sums = own.groupBy("h").agg(
-        *(F.sum(f"n{k}").alias(f"t{k}") for k in (0, 1)),
-        *(F.sum(rest[k]).alias(f"r{k}") for k in (0, 1)),
+    sums = (
+        own.groupBy("h")
+        .agg(
+            *(F.sum(f"n{k}").alias(f"t{k}") for k in (0, 1)),
+            *(F.sum(rest[k]).alias(f"r{k}") for k in (0, 1)),
+        )
+        .where("t0 > 0 AND t1 > 0")
     )
-    back = {
-        k: F.when(F.col(f"t{k}") > 0, 1 - F.col(f"r{k}") / F.col(f"t{k}")).otherwise(1.0)
-        for k in (0, 1)
-    }
+    whole = {k: F.col(f"t{k}") + TRUST for k in (0, 1)}
+    back = {k: (F.col(f"t{k}") - F.col(f"r{k}") + TRUST) / whole[k] for k in (0, 1)}
     joined = own.join(sums, "h").join(pooled.select("gram", "p"), "gram")
-    p = {
-        k: F.when(F.col(f"t{k}") > 0, rest[k] / F.col(f"t{k}")).otherwise(0.0) + back[k] * F.col("p")
-        for k in (0, 1)
-    }
+    p = {k: rest[k] / whole[k] + back[k] * F.col("p") for k in (0, 1)}
     grams = joined.select(F.lit(0).alias("what"), "gram", (F.log(p[1]) - F.log(p[0])).alias("v"))
-    weight = F.log(F.greatest(back[1], F.lit(1e-9))) - F.log(F.greatest(back[0], F.lit(1e-9)))
+    weight = F.log(back[1]) - F.log(back[0])
     histories = sums.select(F.lit(1).alias("what"), F.col("h").alias("gram"), weight.alias("v"))
     return settle(grams.union(histories))
 
 
 def _scorer(order: int):
-    def make(grams: dict, histories: dict, shard: int, shards: int):
-        def score(word: str) -> tuple[float, int]:
-            s = kn.BEGIN + word + kn.END
-            total, size = 0.0, 0
-            for i in range(1, len(s)):
-                h = s[max(0, i - order + 1) : i]
-                if shards > 1 and kn.shard_of(h, shards) != shard:
-                    continue
-                size += 1
-                v = grams.get(h + s[i])
-                total += histories.get(h, 0.0) if v is None else v
-            return total, size
-
-        return score
+    def score(letters: kn.Letters, tables: kn.Tables) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(letters.place > 0)
+        length = np.minimum(letters.place[at] + 1, order)
+        v = tables.find(letters.gram(at, length))
+        unknown = np.flatnonzero(np.isnan(v))
+        v[unknown] = np.nan_to_num(
+            tables.find(letters.history(at[unknown], length[unknown])), nan=0.0
+        )
+        words = int(letters.word[-1]) + 1 if len(letters.word) else 0
+        ratio = np.bincount(letters.word[at], weights=v, minlength=words)
+        return np.logaddexp(math.log1p(-SHARE), math.log(SHARE) + ratio), np.ones(words, np.int64)
 
-    return make
+    return score
 
 
 def values(
     docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS
 ) -> DataFrame:
-    """``doc_id`` and ``value``: toxic minus ordinary log-likelihood per letter."""
-    sums = kn.sums_over(id_and_text(docs), model, order, _scorer(order), "doc_id long", shard_rows)
+    """``doc_id`` and ``value``: toxic minus ordinary log-likelihood per word.
+
+    A toxic text draws a share of its words from the toxic model and the others
+    from the ordinary one, so that its ordinary words weigh next to nothing.
+    """
+    sent = kn.send(model, order, shard_rows)
+    sums = kn.sums_over(id_and_text(docs), sent, order, _scorer(order), "doc_id long")
     return sums.select(
         "doc_id", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("value")
     )
