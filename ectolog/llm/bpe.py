@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from ectolog.llm.rows import id_and_text, pieces
 
 #: Text of one block; memory in a task is a small multiple of it.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Ranks that share one list of waiting positions.
 RANKS_PER_BUCKET = 64
 
@@ -288,7 +288,7 @@ def encode(
             for ids in encode_texts(v, find, texts):
                 out.append(ids)
                 held += len(ids)
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield _ids_batch(keys[: len(out)], out)
                     keys, out, held = keys[len(out) :], [], 0
             if out:
@@ -323,7 +323,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocabulary(path).token
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, BLOCK_BYTES):
                 out = [
                     b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist()))
                     for x in part.column(1).to_pylist()
