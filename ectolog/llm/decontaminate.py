@@ -33,16 +33,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ectolog.llm.rows import id_and_text
+from ectolog.llm.rows import bounded, id_and_text
 from ectolog.session import settle
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 15
 BLOCK_BITS = 16
-#: Rows of a lookup that may be broadcast (16 to 40 bytes each); beyond it both sides are shuffled.
-BROADCAST_ROWS = 200_000
-
 
 def words(text: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
@@ -57,11 +54,6 @@ def shingles(w: Column, k: int) -> Column:
     return F.when(F.size(w) >= k, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """The lookup with a broadcast hint if its size allows; it has been computed before."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def simhash(counts: DataFrame, key: list[str]) -> DataFrame:
     """``key`` and ``fp`` from rows with ``h`` and its count ``c``, and ``size``, the sum of counts.
 
@@ -136,12 +128,12 @@ def _matches(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     # An outer explode: a filter inferred from an inner one would be pushed below the words
     # and cut the text anew for each shingle.
     hits = seen.select("row", "n", F.posexplode_outer("hs").alias("p", "h"))
-    hits = hits.join(_bounded(hashes), "h", "left_semi").join(_bounded(places), "h")
+    hits = hits.join(bounded(hashes), "h", "left_semi").join(bounded(places), "h")
     # Inside the document; a shorter document is its own window.
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("n") - F.col("length")))
     windows = settle(hits.select("row", start.alias("start"), "length").distinct())
     by_row = settle(windows.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("ws")))
-    held = docs.join(_bounded(by_row), "row").select("row", "doc_id", "ws", words(F.col("text")).alias("w"))
+    held = docs.join(bounded(by_row), "row").select("row", "doc_id", "ws", words(F.col("text")).alias("w"))
     held = held.select("row", "doc_id", "ws", shingles(F.col("w"), k).alias("hs"))
     cut = F.transform(
         "ws",
@@ -219,5 +211,5 @@ def kept_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     bad = settle(matches(docs, items).select(F.col("doc_id").alias("__doc_id")).distinct())
     return docs.join(
-        _bounded(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")), "left_anti"
+        bounded(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")), "left_anti"
     )

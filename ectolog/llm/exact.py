@@ -25,7 +25,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ectolog.llm.rows import id_and_text, one_space
+from ectolog.llm.rows import bounded, id_and_text, one_space
 from ectolog.session import scratch_path, settle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -164,7 +164,8 @@ def _apart(rows: DataFrame, state: DataFrame, differ: DataFrame) -> DataFrame:
 
 def kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = dedup(spark, docs).where("kept").select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(
-        stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")), "left_semi"
-    )
+    gone = dedup(spark, docs).where("NOT kept").select(F.col("doc_id").alias("__doc_id"), "digest")
+    gone = settle(gone.withColumnRenamed("digest", "__digest").distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id"))
+    text = one_space(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(bounded(gone), same & (sha256(text) == F.col("__digest")), "left_anti")

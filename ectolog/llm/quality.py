@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ectolog.llm import kneser_ney as kn
+from ectolog.llm.rows import bounded
 from ectolog.session import settle
 
 ORDER = 5
@@ -84,20 +85,6 @@ def _scorer(order: int, n_letters: int):
     return score
 
 
-def perplexities(
-    docs: DataFrame,
-    model: DataFrame,
-    n_letters: int,
-    order: int = ORDER,
-    shard_rows: int = kn.SHARD_ROWS,
-) -> DataFrame:
-    """``doc_id``, ``lang``, ``n`` (letters), ``log_perplexity`` of each document."""
-    sent = kn.send(model, order, shard_rows)
-    sums = kn.sums_over(_rows(docs), sent, order, _scorer(order, n_letters), _KEEP)
-    mean = F.when(F.col("n") > 0, -F.col("total") / F.col("n"))
-    return sums.select("doc_id", "lang", "n", mean.alias("log_perplexity"))
-
-
 def thresholds(scored: DataFrame, upper: float = UPPER, spread: float = SPREAD) -> DataFrame:
     """``lang``, ``limit`` from rows of trusted documents; the row of all has ``every`` true."""
     q = lambda p: F.percentile_approx("log_perplexity", F.lit(p), F.lit(QUANTILE_ACCURACY))
@@ -111,29 +98,67 @@ def thresholds(scored: DataFrame, upper: float = UPPER, spread: float = SPREAD)
     )
 
 
-def classify(
-    docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS
-) -> DataFrame:
-    """``doc_id``, ``lang``, ``perplexity``, ``limit``, ``accepted`` of each document.
-
-    ``trusted_ids`` has the ``doc_id`` of trusted documents among ``docs``.
-    """
+def _trained(docs: DataFrame, trusted_ids: DataFrame, order: int, shard_rows: int):
+    """Shards of the model, its scorer, and the limits by language (null: all languages)."""
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(
         ids, "doc_id", "left_semi"
     )
     model, n_letters = train(trusted, order)
-    scored = settle(perplexities(docs, model, n_letters, order, shard_rows))
-    limits = settle(thresholds(scored.join(ids, "doc_id", "left_semi")))
+    sent, scorer = kn.send(model, order, shard_rows), _scorer(order, n_letters)
+    limits = settle(thresholds(_perplexities(_rows(trusted), sent, order, scorer, _KEEP)))
+    return sent, scorer, limits
+
+
+def _perplexities(rows: DataFrame, sent: list, order: int, scorer, keep: str) -> DataFrame:
+    sums = kn.sums_over(rows, sent, order, scorer, keep)
+    mean = F.when(F.col("n") > 0, -F.col("total") / F.col("n"))
+    return sums.select(*(c for c in sums.columns if c != "total"), mean.alias("log_perplexity"))
+
+
+def _judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
+    """``scored`` with ``own_limit`` (a log) and ``accepted``."""
     every = limits.where("every").first()["limit"]
-    joined = scored.join(limits.where("NOT every").select("lang", "limit"), "lang", "left")
+    own = limits.where("NOT every").select(F.col("lang").alias("of_lang"), "limit")
+    joined = scored.join(own, scored["lang"] == own["of_lang"], "left")
     limit = F.coalesce("limit", F.lit(every).cast("double"))
     limit = limit + SLACK / F.sqrt(F.greatest("n", F.lit(1)))
     accepted = F.coalesce(F.col("log_perplexity") <= limit, F.lit(True))
-    return joined.select(
+    return joined.select(*scored.columns, limit.alias("own_limit"), accepted.alias("accepted"))
+
+
+def classify(
+    docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS
+) -> DataFrame:
+    """``doc_id``, ``lang``, ``perplexity``, ``limit``, ``accepted`` of each document.
+
+    ``trusted_ids`` has the ``doc_id`` of trusted documents among ``docs``.
+    """
+    sent, scorer, limits = _trained(docs, trusted_ids, order, shard_rows)
+    scored = _perplexities(_rows(docs), sent, order, scorer, _KEEP)
+    return _judged(scored, limits).select(
         "doc_id",
         "lang",
         F.exp("log_perplexity").alias("perplexity"),
-        F.exp(limit).alias("limit"),
-        accepted.alias("accepted"),
+        F.exp("own_limit").alias("limit"),
+        "accepted",
     )
+
+
+def kept_rows(
+    docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS
+) -> DataFrame:
+    """The rows of ``docs`` that are accepted, with all their columns.
+
+    Rejected rows are named by what they say, so that rows without an id or with
+    the same one are told apart.
+    """
+    sent, scorer, limits = _trained(docs, trusted_ids, order, shard_rows)
+    named = _rows(docs).withColumn("row", F.xxhash64("doc_id", "lang", "text"))
+    scored = _perplexities(
+        named.select("row", "lang", "text"), sent, order, scorer, "row long, lang string"
+    )
+    bad = _judged(scored, limits).where("NOT accepted").select(F.col("row").alias("__row")).distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text)
+    return docs.join(bounded(settle(bad)), own == F.col("__row"), "left_anti")

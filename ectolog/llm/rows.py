@@ -25,6 +25,15 @@ def one_space(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
 
 
+#: Rows of a lookup that may be broadcast (16 to 40 bytes each); beyond it both sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A computed lookup, with a broadcast hint if its size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def pieces(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most_bytes`` each, one row at least."""
     if batch.num_rows == 0:

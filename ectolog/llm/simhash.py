@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ectolog.llm.rows import id_and_text, pieces
+from ectolog.llm.rows import bounded, id_and_text, pieces
 from ectolog.session import settle
 
 SHINGLE_WORDS = 3
@@ -236,11 +236,13 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that give their component its id, with all their columns."""
-    stay = (
-        groups(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("__doc_id"))
-        .distinct()
-    )
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")), "left_semi")
+    """The rows of ``docs`` that give their component its id, with all their columns.
+
+    Rows that repeat a ``doc_id`` are one document, and go only if all of them do.
+    """
+    found = groups(docs)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.groupBy(F.col("doc_id").alias("__doc_id")).agg(F.max(stays).alias("stays"))
+    gone = settle(gone.where("NOT stays").select("__doc_id"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id"))
+    return docs.join(bounded(gone), same, "left_anti")
