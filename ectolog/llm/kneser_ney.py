@@ -224,7 +224,7 @@ class Letters:
         weight = np.uint64(1)
         for k in range(order):
             moved = np.zeros(len(code), np.uint64)
-            moved[k:] = letter[: len(code) - k]
+            moved[k:] = letter[: max(0, len(code) - k)]
             with np.errstate(over="ignore"):
                 self.by_length.append(self.by_length[-1] + moved * weight)
                 weight = weight * _STEP

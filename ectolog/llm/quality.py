@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ectolog.llm import kneser_ney as kn
@@ -38,15 +38,21 @@ SLACK = 4.0
 #: Accuracy of the quantiles (percentile_approx).
 QUANTILE_ACCURACY = 10_000
 
-_KEEP = "doc_id long, lang string"
+_KEEP = "row long, doc_id long, lang string"
+
+
+def _row(docs: DataFrame) -> Column:
+    """A name for what a row says."""
+    doc_id, lang = docs["doc_id"].cast("long"), docs["lang"].cast("string")
+    return F.xxhash64(doc_id, lang, F.coalesce(docs["text"], F.lit("")))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
+        _row(docs).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
-        text.alias("text"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
 
 
@@ -98,29 +104,21 @@ def thresholds(scored: DataFrame, upper: float = UPPER, spread: float = SPREAD)
     )
 
 
-def _trained(docs: DataFrame, trusted_ids: DataFrame, order: int, shard_rows: int):
-    """Shards of the model, its scorer, and the limits by language (null: all languages)."""
-    ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(
-        ids, "doc_id", "left_semi"
-    )
-    model, n_letters = train(trusted, order)
-    sent, scorer = kn.send(model, order, shard_rows), _scorer(order, n_letters)
-    limits = settle(thresholds(_perplexities(_rows(trusted), sent, order, scorer, _KEEP)))
-    return sent, scorer, limits
-
+def _judged(docs: DataFrame, trusted_ids: DataFrame, order: int, shard_rows: int) -> DataFrame:
+    """``row``, ``doc_id``, ``lang``, ``n``, ``log_perplexity``, ``own_limit``, ``accepted``.
 
-def _perplexities(rows: DataFrame, sent: list, order: int, scorer, keep: str) -> DataFrame:
-    sums = kn.sums_over(rows, sent, order, scorer, keep)
+    Everything is scored once; the limits come from the trusted ones among it.
+    """
+    ids = settle(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    rows = _rows(docs)
+    model, n_letters = train(rows.join(bounded(ids), "doc_id", "left_semi"), order)
+    sent = kn.send(model, order, shard_rows)
+    sums = kn.sums_over(rows, sent, order, _scorer(order, n_letters), _KEEP)
     mean = F.when(F.col("n") > 0, -F.col("total") / F.col("n"))
-    return sums.select(*(c for c in sums.columns if c != "total"), mean.alias("log_perplexity"))
-
-
-def _judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
-    """``scored`` with ``own_limit`` (a log) and ``accepted``."""
+    scored = settle(sums.select("row", "doc_id", "lang", "n", mean.alias("log_perplexity")))
+    limits = settle(thresholds(scored.join(ids, "doc_id", "left_semi")))
     every = limits.where("every").first()["limit"]
-    own = limits.where("NOT every").select(F.col("lang").alias("of_lang"), "limit")
-    joined = scored.join(own, scored["lang"] == own["of_lang"], "left")
+    joined = scored.join(limits.where("NOT every").select("lang", "limit"), "lang", "left")
     limit = F.coalesce("limit", F.lit(every).cast("double"))
     limit = limit + SLACK / F.sqrt(F.greatest("n", F.lit(1)))
     accepted = F.coalesce(F.col("log_perplexity") <= limit, F.lit(True))
@@ -134,9 +132,7 @@ def classify(
 
     ``trusted_ids`` has the ``doc_id`` of trusted documents among ``docs``.
     """
-    sent, scorer, limits = _trained(docs, trusted_ids, order, shard_rows)
-    scored = _perplexities(_rows(docs), sent, order, scorer, _KEEP)
-    return _judged(scored, limits).select(
+    return _judged(docs, trusted_ids, order, shard_rows).select(
         "doc_id",
         "lang",
         F.exp("log_perplexity").alias("perplexity"),
@@ -153,12 +149,6 @@ def kept_rows(
     Rejected rows are named by what they say, so that rows without an id or with
     the same one are told apart.
     """
-    sent, scorer, limits = _trained(docs, trusted_ids, order, shard_rows)
-    named = _rows(docs).withColumn("row", F.xxhash64("doc_id", "lang", "text"))
-    scored = _perplexities(
-        named.select("row", "lang", "text"), sent, order, scorer, "row long, lang string"
-    )
-    bad = _judged(scored, limits).where("NOT accepted").select(F.col("row").alias("__row")).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text)
-    return docs.join(bounded(settle(bad)), own == F.col("__row"), "left_anti")
+    judged = _judged(docs, trusted_ids, order, shard_rows)
+    bad = settle(judged.where("NOT accepted").select(F.col("row").alias("__row")).distinct())
+    return docs.join(bounded(bad), _row(docs) == F.col("__row"), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ectolog.llm import kneser_ney as kn
-from ectolog.llm.rows import id_and_text
+from ectolog.llm.rows import bounded, id_and_text
 from ectolog.session import settle
 
 ORDER = 7
@@ -157,9 +157,9 @@ def score(
     known = labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("kind")
     ).where("kind IN (0, 1)")
-    learnt = known.where(~fold(F.col("doc_id")).isin(0, CURVE_FOLD))
+    learnt = settle(known.where(~fold(F.col("doc_id")).isin(0, CURVE_FOLD)))
     texts = id_and_text(docs)
-    model = train(texts.join(learnt, "doc_id").select("kind", "text"), order)
+    model = train(texts.join(bounded(learnt), "doc_id").select("kind", "text"), order)
     scored = settle(values(docs, model, order, shard_rows))
     shown = known.where(fold(F.col("doc_id")) == CURVE_FOLD)
     a, b = curve(scored.join(shown, "doc_id").select("value", "kind"))
