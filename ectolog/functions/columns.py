@@ -192,5 +192,5 @@ def mean_se_text(mean: Column, se: Column, digits: int = 2) -> Column:
 
 
 def code_list(*parts: Column) -> Column:
-    """Space-separated text row closed by a semicolon."""
-    return F.concat(F.concat_ws(" ", *[p.cast("string") for p in parts]), F.lit(";"))
+    """Tab-separated text row closed by a semicolon."""
+    return F.concat(F.concat_ws("\t", *[p.cast("string") for p in parts]), F.lit(";"))

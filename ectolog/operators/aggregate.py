@@ -57,6 +57,13 @@ def sample_sizes(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def sample_sizes_and_total(df: DataFrame, key: str, total: str = "All") -> DataFrame:
+    """Rows per value of ``key`` and of the whole table, from one scan."""
+    counted = df.rollup(key).agg(F.grouping(key).alias("_all"), F.count(F.lit(1)).alias("n"))
+    name = F.when(F.col("_all") == 1, total).otherwise(F.col(key))
+    return counted.select(name.alias(key), "n")
+
+
 def tracking_days(df: DataFrame, by: str = "id", date: str = "date") -> DataFrame:
     """Days with data per individual.
 
@@ -69,16 +76,19 @@ def tracking_days(df: DataFrame, by: str = "id", date: str = "date") -> DataFram
 def carry_unique(df: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
     """One row per group with attributes that must not vary inside it.
 
-    A group whose attribute has two values raises when the row is computed.
+    A group whose attribute has two values raises when the row is computed; NULL
+    beside a value counts as two.
     """
+    known = [F.count(c).alias(f"_n_{c}") for c in carried]
     lows = [F.min(c).alias(f"_lo_{c}") for c in carried]
     highs = [F.max(c).alias(f"_hi_{c}") for c in carried]
-    out = df.groupBy(*keys).agg(*lows, *highs)
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *known, *lows, *highs)
     checked = []
     for c in carried:
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         differs = F.raise_error(F.lit(f"{c} differs inside a group"))
-        checked.append(F.when(lo.eqNullSafe(hi), lo).otherwise(differs).alias(c))
+        whole = F.col(f"_n_{c}").isin(F.lit(0), F.col("_n"))
+        checked.append(F.when(lo.eqNullSafe(hi) & whole, lo).otherwise(differs).alias(c))
     return out.select(*keys, *checked)
 
 

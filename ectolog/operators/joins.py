@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from ectolog.functions import setpoint_deviation
 from ectolog.session import settle
 
+#: Rows of a lookup that are broadcast, and bytes of them by the size of their types.
 MAX_BROADCAST_ROWS = 200_000
-SALTS = 32
+MAX_BROADCAST_BYTES = 32 << 20
+#: Rows of one key that may go to one task, and the most tasks that a key is spread over.
+ROWS_OF_A_KEY = 2_000_000
+MAX_SALTS = 1024
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
@@ -36,17 +40,18 @@ def attach(
 ) -> DataFrame:
     """Join a computed lookup table to a large table.
 
-    The lookup is computed once (checkpointed) and counted. Up to
-    ``max_rows`` rows it is broadcast and the large side does not move.
-    Beyond that both sides are shuffled on (key, salt): the salt comes from
-    the large row's own content, so it is the same on every retry, and one
-    hot key is spread over ``SALTS`` tasks.
+    The lookup is computed once (checkpointed) and measured. Up to
+    ``max_rows`` rows and ``MAX_BROADCAST_BYTES`` it is broadcast and the large
+    side does not move. Beyond that both sides are shuffled; keys with many rows
+    are spread, see :func:`salted_join`.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"attach keeps the large side; {how!r} does not")
     dim = settle(dim)
     limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    if dim.count() <= limit:
+    strings = [F.coalesce(F.sum(F.length(f.name)), F.lit(0)) for f in dim.schema if f.dataType.typeName() == "string"]
+    rows, *sizes = dim.agg(F.count(F.lit(1)), *strings).first()
+    if rows <= limit and 16 * len(dim.columns) * rows + sum(sizes) <= MAX_BROADCAST_BYTES:
         return _equi_join(fact, F.broadcast(dim), on, how, null_safe)
     return salted_join(fact, dim, on, how, null_safe)
 
@@ -59,13 +64,30 @@ def _equi_join(
 
 
 def salted_join(
-    fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str, null_safe: bool = False
+    fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str, null_safe: bool = False,
+    rows_of_a_key: int | None = None,
 ) -> DataFrame:
-    """Shuffle join that spreads every key of the large side over salts."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(SALTS).cast("long"))
-    salts = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))
-    spread = dim.select("*", salts.alias("_salt"))
-    salted = fact.withColumn("_salt", salt)
+    """Shuffle join that spreads the hot keys of the large side, and no others.
+
+    Rows are counted by key first (each task counts its own). A key with more
+    than ``rows_of_a_key`` rows gets as many salts as its rows need; its lookup
+    rows are repeated for them, and all other lookup rows stay single. The salt
+    comes from the row's own content, so it is the same on every retry.
+    """
+    most = ROWS_OF_A_KEY if rows_of_a_key is None else rows_of_a_key
+    counted = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    needed = F.least(F.ceil(F.col("_n") / most), F.lit(MAX_SALTS)).cast("long")
+    hot = settle(counted.select(*on, needed.alias("_salts")))
+    if hot.isEmpty():
+        return _equi_join(fact, dim, on, how, null_safe)
+    # At most the rows of the table over ``most``: a bounded share of them.
+    few = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_ROWS else hot
+    content = [c for c, t in fact.dtypes if not t.startswith("map") and "map<" not in t]
+    one = F.coalesce("_salts", F.lit(1).cast("long"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in content]), one)
+    salted = null_safe_join(fact, few, on, "left").withColumn("_salt", salt).drop("_salts")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("_salt")
+    spread = null_safe_join(dim, few, on, "left").select(*dim.columns, salts)
     return _equi_join(salted, spread, [*on, "_salt"], how, null_safe).drop("_salt")
 
 

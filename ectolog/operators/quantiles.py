@@ -216,9 +216,14 @@ def p95_hourly(
     value: str = "ms2",
     tb: str = "tb",
     keys: Sequence[str] = ("id", "hr", "date", "month", "sex", "season"),
-    spread: bool = True,
+    spread: bool = False,
 ) -> DataFrame:
-    """95th percentile of movement and mean body temperature per hour."""
+    """95th percentile of movement and mean body temperature per hour.
+
+    An hour of one individual holds as many readings as its logger takes, so the
+    built-in aggregate serves (one shuffle). With keys that leave out the date or
+    the individual, pass ``spread=True``.
+    """
     return quantile_by(df, keys, value, {"p95": 0.95}, means={tb: F.col(tb)}, spread=spread)
 
 
@@ -228,9 +233,12 @@ def p95_binned(
     keys: Sequence[str] = ("id", "season", "sex"),
     lo: float = -4.0,
     hi: float = 49.0,
-    spread: bool = True,
+    spread: bool = False,
 ) -> DataFrame:
-    """Second pass: p95 of the hourly p95 and mean of means per whole degree."""
+    """Second pass: p95 of the hourly p95 and mean of means per whole degree.
+
+    Hours of one individual at one degree: few by definition.
+    """
     binned = hourly.withColumn("temp", F.rint(tb) + F.lit(0.0))
     out = quantile_by(
         binned, [*keys, "temp"], "p95", {"p95": 0.95}, means={tb: F.col(tb)}, spread=spread

@@ -29,9 +29,19 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def history_rows(
     survived: Column, groups: Sequence[Column], covariates: Sequence[Column], digits: int = 3
 ) -> Column:
-    """Encounter-history text: history, group dummies, rounded covariates, ``;``."""
-    history = F.when(survived, "10").otherwise("11")
-    shown = [F.format_string(f"%.{digits}f", round_half_even(c, digits)) for c in covariates]
+    """Encounter-history text: history, group dummies, rounded covariates, ``;``.
+
+    Covariates are written without trailing zeros. A row whose survival is not
+    known raises: it has no history.
+    """
+    unknown = F.raise_error(F.lit("survival is not known"))
+    history = F.when(survived, "10").when(~survived, "11").otherwise(unknown)
+    shown = [
+        F.regexp_replace(
+            F.format_string(f"%.{digits}f", round_half_even(c, digits)), r"\.?0+$", ""
+        )
+        for c in covariates
+    ]
     return code_list(history, *groups, *shown)
 
 

@@ -21,13 +21,27 @@ def group_sums(df: DataFrame, y: str, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def centred(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Cells with ``_d``, the distance of their mean from the common mean of their ``by`` group.
+
+    Sums of squares are taken of these distances: the difference of two large
+    sums would lose the digits that matter when the mean is far from 0.
+    """
+    common = (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m")
+    if by:
+        rows = null_safe_join(cells, cells.groupBy(*by).agg(common), by, "inner")
+    else:
+        rows = cells.withColumn("_m", cells.agg(common).scalar())
+    return rows.withColumn("_d", F.col("mean") - F.col("_m")).drop("_m")
+
+
 def _totals(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    n, m = F.col("n"), F.col("mean")
-    return cells.groupBy(*by).agg(
+    """Of computed cells: groups, n, sums of squares within and between."""
+    return centred(cells, by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("groups"),
         F.sum("n").alias("n_total"),
         F.sum("ss").alias("ss_within"),
-        (F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / F.sum(n)).alias("ss_between"),
+        F.sum(F.col("n") * F.col("_d") * F.col("_d")).alias("ss_between"),
     )
 
 
@@ -54,7 +68,7 @@ def anova_oneway(
     df: DataFrame, y: str, group: str, by: Sequence[str] = (), p: bool = False
 ) -> DataFrame:
     """Sums of squares, degrees of freedom and F of ``y ~ group``."""
-    t = _totals(group_sums(df, y, [*by, group]), by)
+    t = _totals(settle(group_sums(df, y, [*by, group])), by)
     out = t.select(
         *by,
         (F.col("groups") - 1).alias("df1"),
@@ -91,11 +105,24 @@ def anova_regression(df: DataFrame, y: str, x: str, p: bool = False) -> DataFram
     return out
 
 
-def pairwise_means(means: DataFrame, group: str, p: bool = False) -> DataFrame:
-    """All pairs of :func:`fit_group_means` rows, Tukey-adjusted.
+#: Levels of a factor whose pairs are listed (half a million pairs).
+MAX_LEVELS = 1000
+
+
+def pairwise_means(
+    means: DataFrame, group: str, p: bool = False, by: Sequence[str] = ()
+) -> DataFrame:
+    """All pairs of :func:`fit_group_means` rows, Tukey-adjusted, within each ``by`` group.
 
-    The rows are the levels of one factor, so the self-join is of a summary.
+    The rows are the levels of one factor, so the self-join is of a summary;
+    more than ``MAX_LEVELS`` levels raise.
     """
+    means = settle(means)
+    most = means.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most > MAX_LEVELS:
+        raise ValueError(f"{most} levels of {group} have too many pairs (at most {MAX_LEVELS})")
+    if by:
+        return _pairs_within(means, group, p, by)
     a = means.select(F.col(group).alias("a"), F.col("mean").alias("_ma"), F.col("n").alias("_na"),
                      F.col("se").alias("_sa"), "df")
     b = means.select(F.col(group).alias("b"), F.col("mean").alias("_mb"), F.col("n").alias("_nb"),
@@ -108,7 +135,29 @@ def pairwise_means(means: DataFrame, group: str, p: bool = False) -> DataFrame:
         "df",
     ).withColumn("t", F.try_divide("estimate", "se"))
     if p:
-        levels = means.agg(F.count(F.lit(1)).cast("double")).scalar()
+        levels = F.lit(float(most))
         q = F.abs("t") * F.sqrt(F.lit(2.0))
         out = out.withColumn("p", tukey_pvalue(q, levels, F.col("df").cast("double")))
     return out
+
+
+def _pairs_within(means: DataFrame, group: str, p: bool, by: Sequence[str]) -> DataFrame:
+    """Pairs of levels that stand in the same ``by`` group; the group's own levels count."""
+    level = F.struct(F.col(group).alias("g"), "mean", "se")
+    rows = means.groupBy(*by, "df").agg(F.sort_array(F.collect_list(level)).alias("_all"))
+    rows = rows.withColumn("_k", F.size("_all").cast("double"))
+    rows = rows.select("*", F.explode("_all").alias("_a")).select("*", F.explode("_all").alias("_b"))
+    rows = rows.where(F.col("_a.g") < F.col("_b.g"))
+    out = rows.select(
+        *by,
+        F.col("_a.g").alias("a"),
+        F.col("_b.g").alias("b"),
+        (F.col("_a.mean") - F.col("_b.mean")).alias("estimate"),
+        F.sqrt(F.col("_a.se") ** 2 + F.col("_b.se") ** 2).alias("se"),
+        "df",
+        "_k",
+    ).withColumn("t", F.try_divide("estimate", "se"))
+    if p:
+        q = F.abs("t") * F.sqrt(F.lit(2.0))
+        out = out.withColumn("p", tukey_pvalue(q, F.col("_k"), F.col("df").cast("double")))
+    return out.drop("_k")

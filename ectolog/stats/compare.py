@@ -8,7 +8,8 @@ from math import pi
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ectolog.stats.anova import group_sums
+from ectolog.session import settle
+from ectolog.stats.anova import centred, group_sums
 from ectolog.stats.tails import chi2_pvalue
 
 
@@ -26,13 +27,12 @@ def cell_models(
     aggregate of those cells. One row per model: ``model``, ``resid_df``,
     ``resid_dev``, ``aic``.
     """
-    cells = group_sums(df, y, all_keys)
+    cells = settle(group_sums(df, y, all_keys))
     out = None
     for name, keys in models.items():
-        n, m = F.col("n"), F.col("mean")
-        groups = cells.groupBy(*keys).agg(
+        groups = centred(cells, keys).groupBy(*keys).agg(
             F.sum("n").alias("_n"),
-            (F.sum("ss") + F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / F.sum(n)).alias("_ss"),
+            (F.sum("ss") + F.sum(F.col("n") * F.col("_d") * F.col("_d"))).alias("_ss"),
         )
         one = groups.agg(
             F.lit(name).alias("model"),

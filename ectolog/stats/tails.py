@@ -74,28 +74,53 @@ def t_two_sided(t, df) -> np.ndarray:
     return f_sf(t * t, 1.0, df)
 
 
+#: Degrees of freedom from which the chi-square tail is taken from the normal one.
+CHI2_NORMAL_DF = 1e4
+
+
 def chi2_sf(x, k) -> np.ndarray:
-    """Upper tail of chi-square through the incomplete gamma function."""
+    """Upper tail of chi-square through the incomplete gamma function; NaN if it doesn't settle."""
     x, k = np.broadcast_arrays(np.asarray(x, float) / 2, np.asarray(k, float) / 2)
     with np.errstate(all="ignore"):
+        # Many degrees of freedom: the cube root of chi-square over k is normal
+        # (Wilson and Hilferty), with an error far below 1e-4 here.
+        many = k >= CHI2_NORMAL_DF / 2
+        cube = np.cbrt(x / k)
+        spread = 1 / (9 * k)
+        normal = 0.5 * (1 - _erf((cube - (1 - spread)) / np.sqrt(2 * spread)))
+        all_k, all_x = k, x
+        k, x = np.where(many, 1.0, k), np.where(many, 1.0, x)
         lead = np.exp(k * np.log(x) - x - _lgamma(np.where(k > 0, k, 1.0)))
+        # Below that, terms and fractions until nothing changes: some ten times
+        # the square root of k, and far less away from the middle.
+        most = int(600 + 40 * np.sqrt(np.nanmax(k, initial=1.0)))
         term = 1 / k
         low = term.copy()
-        for n in range(1, 600):
+        low_done = np.zeros(x.shape, bool)
+        for n in range(1, most):
             term = term * x / (k + n)
             low = low + term
+            low_done = term <= 1e-17 * low
+            if np.all(low_done | (x >= k + 1) | np.isnan(x)):
+                break
         b = x + 1 - k
         c = np.full_like(x, 1e300)
         d = 1 / np.where(b == 0, 1e-300, b)
         h = d.copy()
-        for i in range(1, 400):
+        high_done = np.zeros(x.shape, bool)
+        for i in range(1, most):
             an = -i * (i - k)
             b = b + 2
             d = 1 / (an * d + b)
             c = b + an / c
             h = h * c * d
-        out = np.where(x < k + 1, 1 - lead * low, lead * h)
-    return np.where(x <= 0, 1.0, out)
+            high_done = np.abs(c * d - 1) < 1e-15
+            if np.all(high_done | (x < k + 1) | np.isnan(x)):
+                break
+        low_side = np.where(low_done, 1 - lead * low, np.nan)
+        high_side = np.where(high_done | ~(lead > 0), lead * h, np.nan)
+        out = np.where(many, normal, np.where(x < k + 1, low_side, high_side))
+    return np.where(all_x <= 0, 1.0, np.where(np.isnan(all_k), np.nan, out))
 
 
 def _norm_ppf(p: float) -> float:

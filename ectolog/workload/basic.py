@@ -73,9 +73,9 @@ def sink_csv(v):
 
 _HISTORY = """
     SELECT CASE WHEN survived THEN '10' ELSE '11' END
-           || ' ' || CAST(CASE WHEN sex = 'ZZm' THEN 1 ELSE 0 END AS VARCHAR)
-           || ' ' || CAST(CASE WHEN sex = 'ZWf' THEN 1 ELSE 0 END AS VARCHAR)
-           || ' ' || printf('%.3f', {trait}) || ';' AS value
+           || chr(9) || CAST(CASE WHEN sex = 'ZZm' THEN 1 ELSE 0 END AS VARCHAR)
+           || chr(9) || CAST(CASE WHEN sex = 'ZWf' THEN 1 ELSE 0 END AS VARCHAR)
+           || chr(9) || regexp_replace(printf('%.3f', {trait}), '\\.?0+$', '') || ';' AS value
     FROM survlog"""
 
 

@@ -184,7 +184,7 @@ def pipe_performance(v):
         FROM curve WHERE sex <> 'ZZf'""",
 )
 def binned_curve(v):
-    return performance.binned_curve(with_tb(v.seasonlog), keys=("id", "hr", "sex", "season"))
+    return performance.binned_curve(with_tb(v.seasonlog))
 
 
 _WIDE = ", ".join(

@@ -188,8 +188,8 @@ def mean_by(v):
 )
 def strict_mean(v):
     holes = v.pairs.select("id", F.when((F.col("x") != 13) | (F.col("id") % 2 == 0), F.col("x")).alias("x"))
-    strict = aggregate.mean_by(holes, ["id"], {"strict": "x"}, na="strict")
-    return strict.join(aggregate.mean_by(holes, ["id"], {"skip": "x"}), ["id"])
+    means = aggregate.strict(F.avg("x"), F.col("x")).alias("strict"), F.avg("x").alias("skip")
+    return holes.groupBy("id").agg(*means)
 
 
 @query(
@@ -222,18 +222,18 @@ def p95_hourly(v):
         FROM seasonlog GROUP BY hr, sex, season""",
 )
 def p95_by_hour_season(v):
-    return quantiles.p95_hourly(with_tb(v.seasonlog), keys=["hr", "sex", "season"])
+    return quantiles.p95_hourly(with_tb(v.seasonlog), keys=["hr", "sex", "season"], spread=True)
 
 
-HOURLY = f"""hourly AS (SELECT id, hr, sex, season, {_q('ms2', 0.95)} AS p95, avg({TB}) AS tb
-        FROM seasonlog GROUP BY id, hr, sex, season)"""
+HOURLY = f"""hourly AS (SELECT id, hr, date, month, sex, season, {_q('ms2', 0.95)} AS p95, avg({TB}) AS tb
+        FROM seasonlog GROUP BY id, hr, date, month, sex, season)"""
 CURVE = f"""{HOURLY}, curve AS (SELECT * FROM (
         SELECT id, season, sex, round_even(tb, 0) AS temp, {_q('p95', 0.95)} AS p95, avg(tb) AS tb
         FROM hourly GROUP BY id, season, sex, round_even(tb, 0)) WHERE tb >= -4 AND tb <= 49)"""
 
 
 def hourly(v):
-    return quantiles.p95_hourly(with_tb(v.seasonlog), keys=["id", "hr", "sex", "season"])
+    return quantiles.p95_hourly(with_tb(v.seasonlog))
 
 
 def curve(v):
@@ -345,8 +345,7 @@ def tracking_days(v):
     "SELECT season, I{count(*)} AS n FROM seasonlog GROUP BY season UNION ALL SELECT 'All', I{count(*)} FROM seasonlog",
 )
 def sample_sizes(v):
-    total = aggregate.sample_sizes(v.seasonlog).select(F.lit("All").alias("season"), "n")
-    return aggregate.sample_sizes(v.seasonlog, ["season"]).unionByName(total)
+    return aggregate.sample_sizes_and_total(v.seasonlog, "season")
 
 
 @query("carry_unique", "SELECT id, min(sex) AS sex FROM seasonlog GROUP BY id")

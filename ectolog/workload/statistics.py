@@ -63,7 +63,8 @@ def ols_band_limits(v):
 _CELLS = """cell AS (SELECT type, count(y) AS n, avg(y) AS mean, var_pop(y) * count(y) AS ss
             FROM pairs GROUP BY type),
     tot AS (SELECT count(*) AS g, sum(n) AS nt, sum(ss) AS ssw,
-            sum(n * mean * mean) - sum(n * mean) * sum(n * mean) / sum(n) AS ssb FROM cell)"""
+            sum(n * (mean - m) * (mean - m)) AS ssb
+            FROM cell CROSS JOIN (SELECT sum(n * mean) / sum(n) AS m FROM cell))"""
 
 
 @query(
