@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ectolog.operators import clean, quantiles, reshape
 from ectolog.stats import mixed
@@ -32,6 +33,11 @@ def fitted_optima(
     y: str = "p95",
     x: str = "temp",
 ) -> DataFrame:
-    """Optimum and maximum from an additive model with a curve per individual."""
+    """Optimum and maximum from an additive model with a curve per individual.
+
+    The optimum is the mean body temperature of the rows with the highest fit.
+    """
     fit = mixed.fit_smooth(curve, y, x, factors, interactions, id="id", id_curves=True)
-    return reshape.topt_pmax(mixed.predict_fit(fit), fit="fit", tb=x)
+    keys = ["id", x, *factors]
+    tb = mixed.bin_x(curve, x).groupBy(*keys).agg(F.avg("tb").alias("tb"))
+    return reshape.topt_pmax(mixed.predict_fit(fit).join(tb, keys), fit="fit", tb="tb")

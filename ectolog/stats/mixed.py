@@ -40,6 +40,8 @@ class Fit:
     cells: DataFrame | None = None
     block_penalty: np.ndarray | None = None
     block_edf: float = 0.0
+    edge: str | None = None
+    between: tuple[str, ...] = ()
 
     @property
     def cov(self) -> np.ndarray:
@@ -47,9 +49,11 @@ class Fit:
 
     @property
     def var_id(self) -> float:
-        """Variance of the random intercept."""
+        """Variance of the random intercept; exactly 0 where the criterion only falls towards 0."""
         if self.kind != "intercept":
             return float("nan")
+        if self.edge == "none":
+            return 0.0
         return self.sigma2 / float(self.block_penalty[0, 0])
 
     @property
@@ -75,7 +79,7 @@ class Fit:
         info = {
             "n": self.n, "ids": self.ids, "sigma2": self.sigma2, "var_id": self.var_id,
             "edf": self.edf, "resid_dev": self.rss, "null_dev": self.null_dev,
-            "aic": self.aic, "reml": self.reml,
+            "aic": self.aic, "reml": self.reml, "at_edge": float(self.edge is not None),
         }
         return {
             "coefficients": spark.createDataFrame(coef, "term string, estimate double, se double"),
@@ -140,11 +144,13 @@ def _fit(
     rounds: int,
 ) -> Fit:
     keys = [c for c in dict.fromkeys([id_col, design.x, *design.factors]) if c]
-    rows = df
-    for f, levels in design.factors.items():
-        rows = rows.filter(F.col(f).isin(*levels))
-    cells = model_cells(rows, y, keys)
+    cells = model_cells(df, y, keys)
     cells = by_individual(cells, id_col) if kind else settle(cells)
+    for f, levels in design.factors.items():
+        stray = cells.filter(~F.col(f).isin(*levels)).select(f).first()
+        if stray is not None:
+            raise ValueError(f"{f} has the level {stray[0]!r}, which is not listed: see listed_rows")
+    between = _between(cells, id_col, list(design.factors)) if id_col else ()
     span = [F.min(design.x), F.max(design.x)] if design.x is not None else []
     owners = F.approx_count_distinct(id_col) if id_col else F.lit(1)
     center, per_id, *ends = cells.agg(
@@ -204,6 +210,11 @@ def _fit(
             ] + [best[1]]
         else:
             grid = [(best[1][0] + i * step[0],) for i in moves] if kind else grid
+    edge = None
+    if kind == "intercept":
+        best, edge = _finish_ratio(best, cells, id_col, x_cols, z_cols, block, shape, null_space)
+    if shape.any():
+        best = _finish_smooth(best, shape, null_space, _logdet(block(best[1])) if z_cols else 0.0)
     got, theta, s, lam = best
     pen = lam * shape
     beta, hinv = got["beta"], got["hinv"]
@@ -218,9 +229,67 @@ def _fit(
         n=int(s.n), ids=int(s.ids), reml=got["reml"], edf=edf, rss=got["pss"] - penalties,
         null_dev=float(s.yy), center=float(center), smooth_penalty=lam, id_col=id_col,
         kind=kind, cells=cells, block_penalty=block(theta) if z_cols else None, block_edf=block_edf,
+        edge=edge, between=between,
     )
 
 
+def listed_rows(df: DataFrame, factors: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Rows whose factors have listed levels: the one row set that fits to be compared share."""
+    for f, levels in factors.items():
+        df = df.filter(F.col(f).isin(*levels))
+    return df
+
+
+def _between(cells: DataFrame, id_col: str, factors: list[str]) -> tuple[str, ...]:
+    """Factors that don't vary inside an individual."""
+    if not factors:
+        return ()
+    same = [(F.min(f).eqNullSafe(F.max(f))).alias(f"_b_{f}") for f in factors]
+    row = cells.groupBy(id_col).agg(*same).agg(*[F.min(f"_b_{f}") for f in factors]).first()
+    return tuple(f for f, one in zip(factors, row, strict=True) if one)
+
+
+#: Log10 of the ratio beyond which the criterion has only fallen towards no variance at all.
+NO_VARIANCE = 8.9
+
+
+def _finish_ratio(best, cells, id_col, x_cols, z_cols, block, shape, null_space):
+    """The optimum of the variance ratio from a parabola through the last grid's neighbours."""
+    _, (at,), _, lam = best
+    if at >= NO_VARIANCE:
+        return best, "none"
+    if at <= -4.0:
+        return best, "only"
+
+    def at_points(points):
+        sums = block_sums(cells, id_col, x_cols, z_cols, [block((p,)) for p in points])
+        return [
+            (_solve(s, lam * shape, null_space, _logdet(block((p,)))), (p,), s, lam)
+            for p, s in zip(points, sums, strict=True)
+        ]
+
+    for width in (1 / 64, 1 / 512):
+        found = at_points([at - width, at, at + width])
+        low, mid, high = (f[0]["reml"] for f in found)
+        bend = low - 2 * mid + high
+        move = 0.5 * width * (low - high) / bend if bend > 0 else 0.0
+        at += float(np.clip(move, -width, width))
+    return at_points([at])[0], None
+
+
+def _finish_smooth(best, shape, null_space, logdet):
+    """The smoothing penalty between the points of its grid, on the sums already collected."""
+    got, theta, s, lam = best
+    at = np.log10(lam)
+    for width in (0.25, 0.05, 0.01):
+        points = at + width * np.linspace(-1, 1, 11)
+        tried = [_solve(s, 10**p * shape, null_space, logdet) for p in points]
+        k = int(np.argmin([t["reml"] for t in tried]))
+        if tried[k]["reml"] <= got["reml"]:
+            got, at = tried[k], points[k]
+    return got, theta, s, float(10**at)
+
+
 def fit_random_intercept(
     df: DataFrame,
     y: str,
@@ -376,14 +445,28 @@ def _mean_rows(fit: Fit, over: Sequence[str]) -> np.ndarray:
 
 
 def anova_mixed(spark: SparkSession, fit: Fit) -> DataFrame:
-    """Wald F per term with large-sample denominator degrees of freedom."""
+    """Wald F per term; denominator degrees of freedom by containment.
+
+    A term whose factors don't vary inside an individual is tested against the
+    individuals, other terms against the readings inside them.
+    """
+    columns = [(t, np.asarray(r)) for t, r in ((t, _contrasts(fit, t)) for t in fit.design.terms())]
+    inside = set(fit.between)
+    own = 1 + sum(
+        int(np.linalg.matrix_rank(r)) for t, r in columns if inside and set(t) <= inside
+    )
     out = []
     for term in fit.design.terms():
         rows = _contrasts(fit, term)
         est, cov = rows @ fit.coef, rows @ fit.cov @ rows.T
         df1 = int(np.linalg.matrix_rank(cov))
         f = float(est @ np.linalg.pinv(cov) @ est) / max(df1, 1)
-        df2 = float(fit.n - len(fit.names))
+        if fit.kind is None:
+            df2 = float(fit.n - len(fit.names))
+        elif inside and set(term) <= inside:
+            df2 = float(fit.ids - own)
+        else:
+            df2 = float(fit.n - fit.ids - (len(fit.names) - own))
         out.append((":".join(term), df1, df2, f, float(f_sf(f, df1, df2))))
     return spark.createDataFrame(out, "effect string, df1 int, df2 double, f double, p double")
 
@@ -452,7 +535,10 @@ def smooth_terms(spark: SparkSession, fit: Fit) -> DataFrame:
 
 
 def fits_table(spark: SparkSession, fits: Mapping[str, Fit]) -> DataFrame:
-    """Fits as rows for :func:`ectolog.stats.compare.model_compare`."""
+    """Fits as rows for :func:`ectolog.stats.compare.model_compare`; all of the same readings."""
+    sizes = {m: f.n for m, f in fits.items()}
+    if len(set(sizes.values())) > 1:
+        raise ValueError(f"models of different readings can't be compared: {sizes}")
     rows = [
         (m, float(f.n - f.edf), float(f.rss), float(f.aic), float(f.null_dev))
         for m, f in fits.items()

@@ -71,6 +71,9 @@ class GlmFit:
     deviance: float
     n: int
     link: str
+    converged: bool = True
+    iterations: int = 0
+    separated: bool = False
 
     @property
     def aicc(self) -> float:
@@ -86,12 +89,16 @@ class GlmFit:
             for i, a in enumerate(self.terms)
             for j, b in enumerate(self.terms)
         ]
-        info = [(self.link, float(self.deviance), float(self.aicc), len(self.terms), int(self.n))]
+        info = [
+            (self.link, float(self.deviance), float(self.aicc), len(self.terms), int(self.n),
+             bool(self.converged), int(self.iterations), bool(self.separated))
+        ]
         return {
             "coefficients": spark.createDataFrame(coef, "term string, estimate double, se double"),
             "covariance": spark.createDataFrame(cov, "a string, b string, value double"),
             "summary": spark.createDataFrame(
-                info, "link string, deviance double, aicc double, k int, n long"
+                info, "link string, deviance double, aicc double, k int, n long, "
+                "converged boolean, iterations int, separated boolean",
             ),
         }
 
@@ -217,10 +224,13 @@ def _score(
     state = _evaluate(patterns, betas, link)
     active = list(range(len(betas)))
     halves = 0.5 ** np.arange(1, 13)
+    done, rounds = [False] * len(betas), [0] * len(betas)
     for _ in range(max_iter):
         if not active:
             break
-        steps = {k: np.linalg.solve(state[k][2], state[k][1]) for k in active}
+        for k in active:
+            rounds[k] += 1
+        steps = {k: np.linalg.lstsq(state[k][2], state[k][1], rcond=None)[0] for k in active}
         moved = {}
         tried = _evaluate(patterns, np.array([betas[k] + steps[k] for k in active]), link)
         worse = []
@@ -241,18 +251,31 @@ def _score(
         left = []
         for k in active:
             if k not in moved:
+                # No step helps: an optimum if the score says so, else a failure.
+                promise = float(state[k][1] @ steps[k])
+                done[k] = abs(promise) <= 1e-6 * (abs(state[k][0]) + 1e-6)
                 continue
             gain = state[k][0] - moved[k][1][0]
             betas[k], state[k] = moved[k]
             if abs(gain) >= tol * (abs(state[k][0]) + tol):
                 left.append(k)
+            else:
+                done[k] = True
         active = left
+
+    def perfect(k: int) -> bool:
+        """Survivors and others told apart without error: the coefficients have no finite optimum."""
+        return bool(names) and state[k][0] < 1e-6 * max(1, total)
+
     if link != "logit":
         infos = [got[2] for got in _evaluate(patterns, betas, link, observed=True)]
     else:
         infos = [got[2] for got in state]
     return [
-        GlmFit(names, betas[k], np.linalg.inv(infos[k]), state[k][0], int(total), link)
+        GlmFit(
+            names, betas[k], np.linalg.pinv(infos[k]), state[k][0], int(total), link,
+            converged=done[k] and not perfect(k), iterations=rounds[k], separated=perfect(k),
+        )
         for k in range(len(betas))
     ]
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ectolog.functions import SEASONS
 from ectolog.operators import aggregate, clean, joins
-from ectolog.plans import performance, tables
+from ectolog.plans import effectiveness, field, habitat, performance, tables
+from ectolog.session import settle
 from ectolog.stats import anova, compare, mixed, ols, survival
 from ectolog.workload.composites import DEV, SURV_MODELS, WEIGHTS
 from ectolog.workload.registry import query
@@ -319,7 +320,8 @@ BOTH = [("season", "sex")]
 
 
 def _intercept_fit(v):
-    return mixed.fit_random_intercept(v.seasonlog, "tsurf", FACTORS, interactions=BOTH)
+    rows = mixed.listed_rows(v.seasonlog, FACTORS)
+    return mixed.fit_random_intercept(rows, "tsurf", FACTORS, interactions=BOTH)
 
 
 @query(
@@ -332,20 +334,28 @@ def fit_random_intercept_cells(v):
     return mixed.model_cells(rows, "tsurf", ["id", "sex", "season"])
 
 
-# y ~ 1 + (1 | id): the criterion of every penalty on the final grid.
-_REML_NULL = """WITH ind AS (SELECT id, CAST(count(*) AS DOUBLE) AS n, sum(tsurf - 25) AS s,
+# y ~ 1 + (1 | id): the criterion on a coarse grid, then on one far finer than the search of the fit.
+def _reml_steps(rho: str, tag: str) -> str:
+    return f"""sums{tag} AS (SELECT theta, r, sum(n) AS nn, count(*) AS g, sum(n) - sum(n * n / (n + r)) AS h,
+        sum(s) - sum(n * s / (n + r)) AS u, sum(q) - sum(s * s / (n + r)) AS z, sum(ln(n + r)) AS ld
+        FROM ind CROSS JOIN {rho} GROUP BY theta, r),
+    crit{tag} AS (SELECT *, 25 + u / h AS mu, (z - u * u / h) / (nn - 1) AS s2,
+        (nn - 1) * ln((z - u * u / h) / (nn - 1)) + ld + ln(h) - g * ln(r) AS c FROM sums{tag}),
+    best{tag} AS (SELECT * FROM crit{tag} ORDER BY c LIMIT 1)"""
+
+
+_REML_NULL = f"""WITH ind AS (SELECT id, CAST(count(*) AS DOUBLE) AS n, sum(tsurf - 25) AS s,
         sum((tsurf - 25) * (tsurf - 25)) AS q FROM seasonlog WHERE sex <> 'ZZf' GROUP BY id),
     rho AS (SELECT i / 64.0 AS theta, pow(10, i / 64.0) AS r FROM (SELECT unnest(range(-256, 577)) AS i)),
-    sums AS (SELECT theta, r, sum(n) AS nn, count(*) AS g, sum(n) - sum(n * n / (n + r)) AS h,
-        sum(s) - sum(n * s / (n + r)) AS u, sum(q) - sum(s * s / (n + r)) AS z, sum(ln(n + r)) AS ld
-        FROM ind CROSS JOIN rho GROUP BY theta, r),
-    crit AS (SELECT *, 25 + u / h AS mu, (z - u * u / h) / (nn - 1) AS s2,
-        (nn - 1) * ln((z - u * u / h) / (nn - 1)) + ld + ln(h) - g * ln(r) AS c FROM sums),
-    best AS (SELECT * FROM crit ORDER BY c LIMIT 1)
-    SELECT R{mu} AS mean, R{sqrt(s2 / h)} AS se, R{s2} AS sigma2, R{s2 / r} AS var_id FROM best"""
+    {_reml_steps('rho', '0')},
+    fine AS (SELECT theta + j / 100000.0 AS theta, pow(10, theta + j / 100000.0) AS r
+        FROM best0 CROSS JOIN (SELECT unnest(range(-2000, 2001)) AS j)),
+    {_reml_steps('fine', '1')}
+    SELECT R{{mu}} AS mean, R{{sqrt(s2 / h)}} AS se, R{{s2}} AS sigma2,
+        R{{CASE WHEN theta < {mixed.NO_VARIANCE} THEN s2 / r ELSE 0 END}} AS var_id FROM best1"""
 
 
-@query("fit_random_intercept_null", _REML_NULL)
+@query("fit_random_intercept_null", _REML_NULL, digits=3)
 def fit_random_intercept_null(v):
     rows = v.seasonlog.filter(F.col("sex").isin(*FACTORS["sex"]))
     fit = mixed.fit_random_intercept(rows, "tsurf", {})
@@ -381,7 +391,8 @@ def pairwise_marginal_means(v):
 
 
 def _smooth_fit(v, **options):
-    return mixed.fit_smooth(v.seasonlog, "ms2", "tsurf", FACTORS, BOTH, id="id", **options)
+    rows = mixed.listed_rows(v.seasonlog, FACTORS)
+    return mixed.fit_smooth(rows, "ms2", "tsurf", FACTORS, BOTH, id="id", **options)
 
 
 @query("fit_smooth")
@@ -413,12 +424,25 @@ def smooth_curve(v):
 
 @query("model_compare_smooth")
 def model_compare_smooth(v):
-    log = v.seasonlog
+    """The ten curve models, all of the rows with a listed sex and season."""
+    rows = mixed.listed_rows(v.seasonlog, FACTORS)
+    sex, season = {"sex": FACTORS["sex"]}, {"season": FACTORS["season"]}
+    one, own = {"id": "id"}, {"id": "id", "id_curves": True}
+    models = {
+        "temp": ({}, (), {}),
+        "temp_id": ({}, (), own),
+        "sex": (sex, (), {"by": "sex", **one}),
+        "sex_id": (sex, (), own),
+        "season": (season, (), {"by": "season", **one}),
+        "season_id": (season, (), own),
+        "season_sex": (FACTORS, (), one),
+        "season_sex_id": (FACTORS, (), own),
+        "season_sex_interaction": (FACTORS, BOTH, one),
+        "season_sex_interaction_id": (FACTORS, BOTH, own),
+    }
     fits = {
-        "temp": mixed.fit_smooth(log, "ms2", "tsurf"),
-        "sex": mixed.fit_smooth(log, "ms2", "tsurf", {"sex": FACTORS["sex"]}, by="sex", id="id"),
-        "season_sex": mixed.fit_smooth(log, "ms2", "tsurf", FACTORS, id="id"),
-        "season_sex_id": mixed.fit_smooth(log, "ms2", "tsurf", FACTORS, BOTH, id="id", id_curves=True),
+        name: mixed.fit_smooth(rows, "ms2", "tsurf", factors, both, **options)
+        for name, (factors, both, options) in models.items()
     }
     return compare.model_compare(mixed.fits_table(v.spark, fits), "temp", "null_dev", p=True)
 
@@ -426,9 +450,60 @@ def model_compare_smooth(v):
 # ---- tables over several models --------------------------------------------
 
 
+def effectiveness_fit(v):
+    """Effectiveness index by sex and season with individuals as random."""
+    e = effectiveness.effectiveness(field.deviations(with_tb(v.seasonlog)), quality(v))
+    rows = mixed.listed_rows(e, FACTORS)
+    return mixed.fit_random_intercept(rows, "e_index", FACTORS, interactions=BOTH)
+
+
+@query("effectiveness_effects")
+def effectiveness_effects(v):
+    return tables.effects_table(v.spark, {"E": effectiveness_fit(v)})
+
+
+@query("effectiveness_contrasts")
+def effectiveness_contrasts(v):
+    return tables.contrast_table(v.spark, effectiveness_fit(v), "sex", within="season")
+
+
+@query("activity_effects")
+def activity_effects(v):
+    """Minutes moved per hour by sex and season, with and without their interaction."""
+    act = mixed.listed_rows(aggregate.activity_by_id(minutes(v)), FACTORS)
+    fits = {
+        name: mixed.fit_random_intercept(act, "movement_hr", FACTORS, interactions=both)
+        for name, both in (("interaction", BOTH), ("main", ()))
+    }
+    return tables.effects_table(v.spark, fits)
+
+
+def _optima_fits(v):
+    rows = settle(mixed.listed_rows(fitted_optima(v), FACTORS))
+    return {
+        y: mixed.fit_random_intercept(rows, y, FACTORS, interactions=BOTH) for y in ("topt", "pmax")
+    }
+
+
+@query("optima_effects")
+def optima_effects(v):
+    return tables.effects_table(v.spark, _optima_fits(v))
+
+
+@query("optima_contrasts")
+def optima_contrasts(v):
+    """Seasonal contrasts of the optimum and the maximum."""
+    out = None
+    for name, fit in _optima_fits(v).items():
+        one = tables.contrast_table(v.spark, fit, "season").withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("anova_table")
 def anova_table(v):
-    db = aggregate.individual_db(joins.band_deviation(with_tb(v.seasonlog), "tb"))
+    rows = mixed.listed_rows(v.seasonlog, FACTORS)
+    db = aggregate.individual_db(joins.band_deviation(with_tb(rows), "tb"))
     de = quality(v).groupBy("model_id", "season", "type", "analysis").agg(F.avg("de").alias("de"))
     te_factors = {"analysis": [f"de_{s}" for s in FACTORS["sex"]], "season": FACTORS["season"]}
     fits = {
@@ -437,14 +512,18 @@ def anova_table(v):
         "de": mixed.fit_random_intercept(
             de, "de", te_factors, id="model_id", interactions=[("season", "analysis")]
         ),
+        "E": effectiveness_fit(v),
     }
     return tables.effects_table(v.spark, fits)
 
 
 @query("season_means")
 def season_means(v):
-    tb = mixed.fit_random_intercept(with_tb(v.seasonlog), "tb", FACTORS, interactions=BOTH)
-    by_model = v.envlog.groupBy("season", "model_id").agg(F.avg("te").alias("te"))
+    """Hourly body temperature by sex beside the calibrated daylight environment."""
+    hourly = mixed.listed_rows(field.accuracy(with_tb(v.seasonlog)), FACTORS)
+    tb = mixed.fit_random_intercept(hourly, "tb", FACTORS, interactions=BOTH)
+    env = habitat.calibrated(v.envlog, before="2001-09-01")
+    by_model = env.groupBy("season", "model_id").agg(F.avg("te").alias("te"))
     te = mixed.fit_random_intercept(by_model, "te", {"season": FACTORS["season"]}, id="model_id")
     return tables.season_means(v.spark, tb, te)
 
@@ -453,6 +532,7 @@ def season_means(v):
 def activity_contrasts(v):
     """Seasonal contrasts of log(1 + activity) per individual."""
     act = aggregate.activity_by_id(minutes(v)).withColumn("y", F.log1p("movement_hr"))
+    act = mixed.listed_rows(act, FACTORS)
     fit = mixed.fit_random_intercept(act, "y", FACTORS, interactions=BOTH)
     return tables.contrast_table(v.spark, fit, "season")
 

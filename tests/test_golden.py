@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ectolog.functions import effectiveness_index
+from ectolog.sources.sinks import history_rows
 from ectolog.stats import compare, survival
 from tests import golden
 
@@ -108,3 +109,24 @@ def test_other_optima_of_the_sine_link(histories):
     best = min(fits, key=lambda f: f.deviance)
     assert best.coef[0] == pytest.approx(213.9, abs=0.1)
     assert best.deviance == pytest.approx(27.06, abs=0.006)
+
+
+def test_history_lines(spark, histories):
+    """Rows of the published history file, character by character."""
+    covariates = [F.col(c) for c in ("topt", "pmax", "e", "db", "act")]
+    row = history_rows(F.col("survived"), [F.col("male"), F.col("female")], covariates)
+    got = [r["v"] for r in histories.select(row.alias("v")).collect()]
+    assert got == ["\t".join([h, *(f"{v:g}" for v in rest)]) + ";" for h, *rest in golden.HISTORIES]
+    unknown = histories.withColumn("survived", F.lit(None).cast("boolean"))
+    with pytest.raises(Exception, match="survival is not known"):
+        unknown.select(row.alias("v")).collect()
+
+
+def test_separated_survival_is_flagged(spark):
+    df = spark.createDataFrame([(x > 5, float(x)) for x in range(11)], "survived boolean, x double")
+    terms = {"one": F.lit(1.0), "x": F.col("x")}
+    assert survival.survival_glm(df, "survived", terms).separated
+    mixed_up = df.withColumn("survived", F.col("x") % 3 == 0)
+    fit = survival.survival_glm(mixed_up, "survived", terms)
+    assert fit.converged and not fit.separated and fit.iterations < 20
+    assert not survival.survival_glm(mixed_up, "survived", terms, max_iter=1).converged

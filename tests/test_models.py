@@ -55,7 +55,34 @@ def test_random_intercept_is_the_reml_optimum(df, data):
     assert fit.sigma2 == pytest.approx(s2, rel=1e-9)
     assert fit.cov == pytest.approx(s2 * np.linalg.inv(h), abs=1e-9)
     best = min(criterion(10**t)[0] for t in np.arange(-2, 3, 0.01))
-    assert fit.reml <= best + 1e-3
+    assert fit.reml <= best + 1e-6
+    # The variance itself, against an optimum a thousand times finer than the first grid.
+    low, high = np.log10(rho) - 0.05, np.log10(rho) + 0.05
+    for _ in range(60):
+        a, b = low + 0.382 * (high - low), low + 0.618 * (high - low)
+        low, high = (low, b) if criterion(10**a)[0] < criterion(10**b)[0] else (a, high)
+    best_rho = 10 ** ((low + high) / 2)
+    assert fit.var_id == pytest.approx(criterion(best_rho)[2] / best_rho, rel=1e-4)
+    assert fit.edge is None
+
+
+def test_no_variance_between_individuals_is_flagged(spark):
+    """Individuals whose means agree exactly: the variance is 0, not something small."""
+    pdf = pd.DataFrame({"id": np.repeat(np.arange(20), 10), "y": np.tile(np.arange(10.0), 20)})
+    fit = mixed.fit_random_intercept(spark.createDataFrame(pdf), "y", {})
+    assert fit.var_id == 0.0 and fit.edge == "none"
+
+
+def test_rows_are_one_set(df):
+    with pytest.raises(ValueError, match="not listed"):
+        mixed.fit_random_intercept(df, "y", {"sex": ["ZWf"]})
+    one = {"sex": ["ZWf"]}
+    fits = {
+        "a": mixed.fit_random_intercept(mixed.listed_rows(df, one), "y", one),
+        "b": mixed.fit_random_intercept(df, "y", {"sex": ["ZWf", "ZZm"]}),
+    }
+    with pytest.raises(ValueError, match="different readings"):
+        mixed.fits_table(df.sparkSession, fits)
 
 
 def test_no_individual_variance_is_least_squares(spark):

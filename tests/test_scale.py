@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ectolog.operators import aggregate, joins, quantiles, reshape
+from ectolog.stats import anova, tails
 
 
 @pytest.fixture(scope="module")
@@ -80,7 +81,8 @@ def test_weights_count_rows(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("null_safe", [True, False])
-def test_salted_join_equals_broadcast(spark, skewed, how, null_safe):
+def test_salted_join_equals_broadcast(spark, skewed, how, null_safe, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_OF_A_KEY", 50)
     dim = spark.createDataFrame([(1, "a"), (2, "b"), (77, "c"), (None, "d")], "id long, t string")
     fact = skewed.select("id", "k")
     small = joins.attach(fact, dim, ["id"], how, null_safe=null_safe)
@@ -92,10 +94,57 @@ def test_salted_join_equals_broadcast(spark, skewed, how, null_safe):
         assert small.filter("id is null").count() == matched
 
 
-def test_salted_plan_has_salt(spark, skewed, capsys):
-    dim = spark.createDataFrame([(1, "a")], "id long, t string")
-    joins.attach(skewed, dim, ["id"], max_rows=0).explain()
+def test_only_hot_keys_are_salted(spark, skewed, capsys):
+    """A key over the bound is spread; without one, no lookup row is repeated."""
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    joins.salted_join(skewed, dim, ["id"], "inner", rows_of_a_key=50).explain()
     assert "_salt" in capsys.readouterr().out
+    joins.attach(skewed, dim, ["id"], max_rows=0).explain()
+    assert "_salt" not in capsys.readouterr().out
+
+
+def test_broadcast_is_bounded_by_bytes(spark, skewed, capsys, monkeypatch):
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 1000)
+    dim = spark.createDataFrame([(1, "a" * 2000)], "id long, t string")
+    got = joins.attach(skewed, dim, ["id"])
+    assert "ResolvedHint" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == skewed.where("id = 1").count()
+
+
+def test_sums_of_squares_far_from_zero(spark):
+    """Means of a million with a spread of a thousandth keep their digits."""
+    rng = np.random.default_rng(7)
+    g, y = rng.integers(0, 4, 5000), 1e6 + 1e-3 * rng.standard_normal(5000)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, y)], "g long, y double")
+    row = anova.anova_oneway(df, "y", "g").first()
+    means = np.array([y[g == k].mean() for k in range(4)])
+    sizes = np.array([(g == k).sum() for k in range(4)])
+    want = (sizes * (means - y.mean()) ** 2).sum()
+    assert row["ss_between"] == pytest.approx(want, rel=1e-3) and row["f"] > 0
+
+
+def test_chi_square_tail_at_many_degrees():
+    for k in (1e3, 1e5, 1e6, 1e7, 1e8):
+        half = float(tails.chi2_sf(k, k))
+        assert 0.49 < half < 0.5 and (k < 1e5 or half > 0.499)
+    assert float(tails.chi2_sf(9990.0, 9999.0)) == pytest.approx(float(tails.chi2_sf(9990.0, 10001.0)), abs=0.02)
+    assert float(tails.chi2_sf(3.841458820694124, 1.0)) == pytest.approx(0.05, abs=1e-12)
+
+
+def test_carried_null_beside_a_value(spark):
+    df = spark.createDataFrame([(1, None), (1, "a"), (2, None), (3, "b")], "id long, sex string")
+    good = aggregate.carry_unique(df.where("id > 1"), ["id"], ["sex"]).collect()
+    assert {(r["id"], r["sex"]) for r in good} == {(2, None), (3, "b")}
+    with pytest.raises(Exception, match="sex differs"):
+        aggregate.carry_unique(df, ["id"], ["sex"]).collect()
+
+
+def test_pairs_within_groups(spark):
+    rows = [(g, k, float(10 * g + k + j)) for g in (1, 2) for k in range(3) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "g long, k long, y double")
+    means = anova.fit_group_means(df, "y", "k", by=["g"])
+    pairs = anova.pairwise_means(means, "k", p=True, by=["g"]).collect()
+    assert len(pairs) == 6 and all(abs(r["estimate"]) <= 2 for r in pairs)
 
 
 def test_operators_beyond_the_broadcast_bound(spark, skewed, monkeypatch):

@@ -46,7 +46,7 @@ def test_history_row(spark, tmp_path):
     row = sources.history_rows(F.col("s"), [F.col("m"), F.col("f")], [F.col("x")])
     sources.write_history(df, row, str(tmp_path / "h"))
     got = sorted(r[0] for r in spark.read.text(str(tmp_path / "h")).collect())
-    assert got == ["10 1 0 0.308;", "11 0 1 0.000;"]
+    assert got == ["10\t1\t0\t0.308;", "11\t0\t1\t0;"]
 
 
 def test_model_tables(spark, tmp_path):
