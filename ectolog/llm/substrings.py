@@ -121,6 +121,9 @@ def passages(rows: DataFrame) -> DataFrame:
                 for key, row, text, minis in zip(*(c.to_pylist() for c in part.columns)):
                     words = text.encode().split()
                     least = minimizers(_hash_all(hashes, words)).view(np.int64)
+                    if len(least) == 0:
+                        # A short row whose id another row has too.
+                        continue
                     shared = np.isin(least, np.array(minis, np.int64))
                     edge = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
                     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(least)]):
