@@ -9,11 +9,11 @@ so the passages are routed: each window goes to the shard of its minimizer, the
 smallest hash among its runs of ``GRAM`` words, which equal windows share.
 Windows in a row with the same minimizer travel as one passage.
 
-1. Minimizers that two documents share are found by an aggregate that each task
-   begins (a minimizer in a third of all documents sends one row a task).
+1. Minimizers that two documents share are found by one shuffle of minimizers; a
+   minimizer in a third of all documents sends one row a batch to its key.
 2. Passages of shared minimizers are written out; equal passages become one,
    owned by the smallest ``doc_id``. A minimizer with more than
-   ``PASSAGES_OF_A_KEY`` different passages is split into its windows, each
+   ``PASSAGES_OF_A_KEY`` passages is split into its windows, each
    routed by its own hash, so that no shard depends on how common a phrase is.
 3. A task builds the FM-index (``fm_index``) of a shard of passages of bounded
    size and streams their windows through it: backward search gives matching
@@ -38,15 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ectolog.llm.fm_index import FmIndex
-from ectolog.llm.rows import id_and_text, pieces
+from ectolog.llm.rows import bounded, id_and_text, pieces
 from ectolog.session import scratch_path, settle
 
 WINDOW = 13
-#: Words of the runs among which a window's minimizer is chosen.
-GRAM = 4
+#: Words of the runs among which a window's minimizer is chosen: enough that different texts
+#: seldom share one by chance.
+GRAM = 7
 #: Windows of one passage.
 PASSAGE_WINDOWS = 64
-#: Different passages of a minimizer that stay together.
+#: Passages of a minimizer that stay together.
 PASSAGES_OF_A_KEY = 500
 #: Text of a shard.
 SHARD_BYTES = 2 << 20
@@ -85,8 +86,19 @@ def _hash_all(hashes: _Hashes, words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
 def anchors(rows: DataFrame) -> DataFrame:
-    """``mini``, ``doc_id``: the different minimizers of each document."""
+    """``key``, ``mini``, ``doc_id``, ``known``: the different minimizers of each document.
+
+    A minimizer that several documents of one batch have is known to be shared:
+    one row of it goes out under the minimizer, to tell other tasks, and the rows
+    of the documents under keys of their own. So a minimizer of a third of all
+    documents sends one row a batch to where it is counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -97,12 +109,41 @@ def anchors(rows: DataFrame) -> DataFrame:
                     mini = np.unique(minimizers(_hash_all(hashes, text.encode().split())))
                     found.append(mini)
                     ids.append(np.full(len(mini), key, np.int64))
+                mini, doc = np.concatenate(found), np.concatenate(ids)
+                order = np.lexsort((doc, mini))
+                mini, doc = mini[order], doc[order]
+                new = np.concatenate([[True], mini[1:] != mini[:-1]])[: len(mini)]
+                group = np.cumsum(new) - 1
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(mini))[: len(first)] - 1
+                several = doc[first] < doc[last]
+                known = several[group] if len(group) else np.zeros(0, bool)
+                key = np.where(known, _mixed(mini ^ _mixed(doc.view(np.uint64))), mini)
+                told = first[several]
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))],
-                    ["mini", "doc_id"],
+                    [
+                        pa.array(np.append(key, mini[told]).view(np.int64)),
+                        pa.array(np.append(mini, mini[told]).view(np.int64)),
+                        pa.array(np.append(doc, doc[told])),
+                        pa.array(np.append(known, np.ones(len(told), bool))),
+                    ],
+                    ["key", "mini", "doc_id", "known"],
                 )
 
-    return rows.select("doc_id", "text").mapInArrow(run, "mini long, doc_id long")
+    schema = "key long, mini long, doc_id long, known boolean"
+    return rows.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def shared_minis(rows: DataFrame) -> DataFrame:
+    """``doc_id``, ``minis``: of each document the minimizers that another one has too."""
+    # Dealt out once: the counts and the rows they choose read the same shuffle.
+    dealt = anchors(rows).repartition("key")
+    shared = dealt.groupBy("key").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("known").alias("told")
+    )
+    shared = shared.where((F.col("lo") < F.col("hi")) | F.col("told")).select("key")
+    chosen = dealt.join(shared, "key", "left_semi")
+    return chosen.groupBy("doc_id").agg(F.collect_set("mini").alias("minis"))
 
 
 PASSAGE = "mini long, seg long, row long, doc_id long, start int, passage binary"
@@ -186,9 +227,16 @@ def least_owners(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
     return np.split(minima[which], np.cumsum(count)[:-1])
 
 
-def searched(distinct: DataFrame) -> DataFrame:
-    """``mini``, ``seg``, ``least`` (an owner for each window) of distinct passages with ``owner``."""
-    total = distinct.agg(F.sum(F.length("passage") + 1)).first()[0] or 0
+def _distinct(passages: DataFrame) -> DataFrame:
+    """Equal passages as one, owned by the smallest ``doc_id``."""
+    return passages.groupBy("mini", "seg").agg(
+        F.min("doc_id").alias("owner"), F.max("passage").alias("passage")
+    )
+
+
+def searched(passages: DataFrame) -> DataFrame:
+    """``mini``, ``seg``, ``least`` (an owner for each window) of each distinct passage."""
+    total = passages.agg(F.sum(F.length("passage") + 1)).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
 
     def run(table: pa.Table) -> pa.Table:
@@ -203,7 +251,7 @@ def searched(distinct: DataFrame) -> DataFrame:
             ["mini", "seg", "least"],
         )
 
-    routed = distinct.select(
+    routed = _distinct(passages).select(
         F.pmod(F.xxhash64("mini"), F.lit(shards)).alias("shard"), "mini", "seg", "passage", "owner"
     )
     return routed.groupBy("shard").applyInArrow(run, "mini long, seg long, least array<long>")
@@ -215,7 +263,7 @@ def _by_window(hot: DataFrame) -> DataFrame:
     distinct = windows.groupBy("key", "window").agg(F.min("owner").alias("owner"))
     distinct = settle(
         distinct.select(
-            F.col("key").alias("mini"), F.col("key").alias("seg"), F.col("window").alias("passage"), "owner"
+            F.col("key").alias("mini"), F.col("key").alias("seg"), F.col("window").alias("passage"), F.col("owner").alias("doc_id")
         )
     )
     found = settle(searched(distinct)).select(
@@ -232,37 +280,23 @@ def _by_window(hot: DataFrame) -> DataFrame:
 def covered(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """``row``, ``starts``: the windows of each row that an earlier document has too."""
     known = rows.where("doc_id IS NOT NULL")
-    shared = (
-        anchors(known)
-        .groupBy("mini")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        .where("lo < hi")
-        .select("mini")
-    )
-    by_doc = anchors(known).join(settle(shared), "mini", "left_semi")
-    by_doc = settle(by_doc.groupBy("doc_id").agg(F.collect_set("mini").alias("minis")))
+    by_doc = settle(shared_minis(known))
     chosen = known
     if by_doc.count() <= BROADCAST_IDS:
         chosen = known.join(F.broadcast(by_doc.select("doc_id")), "doc_id", "left_semi")
     place = scratch_path(spark, "passages")
-    passages(chosen.join(by_doc, "doc_id")).write.parquet(place)
+    passages(chosen.join(by_doc, "doc_id")).write.option("compression", "zstd").parquet(place)
     all_passages = spark.read.schema(PASSAGE).parquet(place)
-    distinct = settle(
-        all_passages.groupBy("mini", "seg").agg(
-            F.min("doc_id").alias("owner"), F.max("passage").alias("passage")
-        )
-    )
-    crowds = distinct.groupBy("mini").agg(F.count("*").alias("n"))
+    crowds = all_passages.groupBy("mini").agg(F.count("*").alias("n"))
     crowds = settle(crowds.where(F.col("n") > PASSAGES_OF_A_KEY).select("mini"))
     if crowds.isEmpty():
-        least = searched(distinct)
+        least = searched(all_passages)
     else:
-        least = searched(distinct.join(crowds, "mini", "left_anti")).union(
-            _by_window(settle(distinct.join(crowds, "mini", "left_semi")))
+        few = bounded(crowds)
+        least = searched(all_passages.join(few, "mini", "left_anti")).union(
+            _by_window(settle(_distinct(all_passages.join(few, "mini", "left_semi"))))
         )
-    met = all_passages.select("mini", "seg", "row", "doc_id", "start").join(
-        settle(least), ["mini", "seg"]
-    )
+    met = all_passages.select("mini", "seg", "row", "doc_id", "start").join(least, ["mini", "seg"])
     starts = F.filter(
         F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)),
         lambda x: x.isNotNull(),
