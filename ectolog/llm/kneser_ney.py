@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ectolog.llm.rows import pieces
-from ectolog.session import settle
+from ectolog.llm.rows import pieces, stored
 
 BEGIN, END, AGAIN = "\x02", "\x03", "\x04"
 #: Rows of a model (12 bytes each) that one task holds at a time.
@@ -176,11 +175,11 @@ def lower_counts(top: DataFrame, order: int) -> list[DataFrame]:
 
 def shared_levels(top: DataFrame, order: int) -> tuple[list[DataFrame], int]:
     """Levels 1 to ``order`` - 1 from ``gram``, ``n``, and the number of letters plus one."""
-    counts = [settle(c) for c in lower_counts(top, order)]
+    counts = [stored(c) for c in lower_counts(top, order)]
     n_letters = counts[0].count() + 1
     levels: list[DataFrame] = []
     for c in counts:
-        levels.append(settle(level(c, levels[-1] if levels else None, n_letters)))
+        levels.append(stored(level(c, levels[-1] if levels else None, n_letters)))
     return levels, n_letters
 
 
@@ -302,7 +301,7 @@ def send(model: DataFrame, order: int, shard_rows: int = SHARD_ROWS) -> list[_Se
             )
 
     spark = model.sparkSession
-    keyed = settle(
+    keyed = stored(
         model.where("v IS NOT NULL").select("what", "gram", F.col("v").cast("double")).mapInArrow(
             run, "key long, v float"
         )

@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ectolog.llm import kneser_ney as kn
-from ectolog.llm.rows import bounded
-from ectolog.session import settle
+from ectolog.llm.rows import bounded, stored
 
 ORDER = 5
 #: Upper quantile of trusted documents, and how many times its distance from the median counts.
@@ -59,15 +58,15 @@ def _rows(docs: DataFrame) -> DataFrame:
 def train(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, int]:
     """Model rows (``what``, ``gram``, ``v``) of rows with ``text``, and the number of letters."""
     kind = trusted.select(F.lit(0).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
-    top = settle(kn.top_counts(kind, order).select("gram", "n"))
+    top = stored(kn.top_counts(kind, order).select("gram", "n"))
     whole, n_letters = kn.pooled_model(top, order)
-    whole = settle(whole)
+    whole = stored(whole)
     grams = whole.select(F.lit(0).alias("what"), "gram", F.log("p").alias("v"))
     weights = whole.groupBy("h").agg(F.max("back").alias("back"))
     histories = weights.where("back > 0").select(
         F.lit(1).alias("what"), F.col("h").alias("gram"), F.log("back").alias("v")
     )
-    return settle(grams.union(histories)), n_letters
+    return stored(grams.union(histories)), n_letters
 
 
 def _scorer(order: int, n_letters: int):
@@ -109,14 +108,14 @@ def _judged(docs: DataFrame, trusted_ids: DataFrame, order: int, shard_rows: int
 
     Everything is scored once; the limits come from the trusted ones among it.
     """
-    ids = settle(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    ids = stored(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
     rows = _rows(docs)
     model, n_letters = train(rows.join(bounded(ids), "doc_id", "left_semi"), order)
     sent = kn.send(model, order, shard_rows)
     sums = kn.sums_over(rows, sent, order, _scorer(order, n_letters), _KEEP)
     mean = F.when(F.col("n") > 0, -F.col("total") / F.col("n"))
-    scored = settle(sums.select("row", "doc_id", "lang", "n", mean.alias("log_perplexity")))
-    limits = settle(thresholds(scored.join(ids, "doc_id", "left_semi")))
+    scored = stored(sums.select("row", "doc_id", "lang", "n", mean.alias("log_perplexity")))
+    limits = stored(thresholds(scored.join(ids, "doc_id", "left_semi")))
     every = limits.where("every").first()["limit"]
     joined = scored.join(limits.where("NOT every").select("lang", "limit"), "lang", "left")
     limit = F.coalesce("limit", F.lit(every).cast("double"))
@@ -150,5 +149,5 @@ def kept_rows(
     the same one are told apart.
     """
     judged = _judged(docs, trusted_ids, order, shard_rows)
-    bad = settle(judged.where("NOT accepted").select(F.col("row").alias("__row")).distinct())
+    bad = stored(judged.where("NOT accepted").select(F.col("row").alias("__row")).distinct())
     return docs.join(bounded(bad), _row(docs) == F.col("__row"), "left_anti")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ectolog.session import scratch_path
+
 #: Spaces of the word patterns; ``bytes.split()`` without arguments splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -34,6 +36,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again: compressed, unlike a checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def pieces(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most_bytes`` each, one row at least."""
     if batch.num_rows == 0:

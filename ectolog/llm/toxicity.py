@@ -26,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ectolog.llm import kneser_ney as kn
-from ectolog.llm.rows import bounded, id_and_text
-from ectolog.session import settle
+from ectolog.llm.rows import bounded, id_and_text, stored
 
 ORDER = 7
 #: Counts' worth of trust that a class gives the model of both classes, besides the discounts.
@@ -50,9 +49,9 @@ def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     ``v`` is the difference of the log probabilities. Histories that only one
     class has seen tell nothing and have no rows.
     """
-    counts = settle(kn.top_counts(labelled, order))
+    counts = stored(kn.top_counts(labelled, order))
     n = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)]
-    both = settle(counts.groupBy("gram").agg(*n))
+    both = stored(counts.groupBy("gram").agg(*n))
     pooled, _ = kn.pooled_model(both.select("gram", (F.col("n0") + F.col("n1")).alias("n")), order)
     own = both.withColumn("h", kn.history(F.col("gram")))
     rest = {}
@@ -76,7 +75,7 @@ def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     grams = joined.select(F.lit(0).alias("what"), "gram", (F.log(p[1]) - F.log(p[0])).alias("v"))
     weight = F.log(back[1]) - F.log(back[0])
     histories = sums.select(F.lit(1).alias("what"), F.col("h").alias("gram"), weight.alias("v"))
-    return settle(grams.union(histories))
+    return stored(grams.union(histories))
 
 
 def _scorer(order: int):
@@ -157,10 +156,10 @@ def score(
     known = labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("kind")
     ).where("kind IN (0, 1)")
-    learnt = settle(known.where(~fold(F.col("doc_id")).isin(0, CURVE_FOLD)))
+    learnt = stored(known.where(~fold(F.col("doc_id")).isin(0, CURVE_FOLD)))
     texts = id_and_text(docs)
     model = train(texts.join(bounded(learnt), "doc_id").select("kind", "text"), order)
-    scored = settle(values(docs, model, order, shard_rows))
+    scored = stored(values(docs, model, order, shard_rows))
     shown = known.where(fold(F.col("doc_id")) == CURVE_FOLD)
     a, b = curve(scored.join(shown, "doc_id").select("value", "kind"))
     p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("value"))))
