@@ -54,15 +54,24 @@ def groups(stream: DataFrame) -> DataFrame:
     )
 
 
+#: State in RocksDB; checkpoints carry what changed, and no file is allocated ahead of its content.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
 @contextmanager
 def _on_disk(spark: SparkSession):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def run_stream(spark: SparkSession, stream: DataFrame, to: str, checkpoint: str) -> DataFrame:
