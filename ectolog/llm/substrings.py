@@ -13,7 +13,7 @@ Windows in a row with the same minimizer travel as one passage.
    minimizer in a third of all documents sends one row a batch to its key.
 2. Passages of shared minimizers are written out; equal passages become one,
    owned by the smallest ``doc_id``. A minimizer with more than
-   ``PASSAGES_OF_A_KEY`` passages is split into its windows, each
+   ``PASSAGES_OF_A_KEY`` different passages is split into its windows, each
    routed by its own hash, so that no shard depends on how common a phrase is.
 3. A task builds the FM-index (``fm_index``) of a shard of passages of bounded
    size and streams their windows through it: backward search gives matching
@@ -47,7 +47,7 @@ WINDOW = 13
 GRAM = 7
 #: Windows of one passage.
 PASSAGE_WINDOWS = 64
-#: Passages of a minimizer that stay together.
+#: Different passages of a minimizer that stay together.
 PASSAGES_OF_A_KEY = 500
 #: Text of a shard.
 SHARD_BYTES = 2 << 20
@@ -287,7 +287,9 @@ def covered(spark: SparkSession, rows: DataFrame) -> DataFrame:
     place = scratch_path(spark, "passages")
     passages(chosen.join(by_doc, "doc_id")).write.option("compression", "zstd").parquet(place)
     all_passages = spark.read.schema(PASSAGE).parquet(place)
-    crowds = all_passages.groupBy("mini").agg(F.count("*").alias("n"))
+    # Different passages: copies of one passage are no crowd.
+    different = all_passages.groupBy("mini", "seg").agg(F.count("*").alias("copies"))
+    crowds = different.groupBy("mini").agg(F.count("*").alias("n"))
     crowds = settle(crowds.where(F.col("n") > PASSAGES_OF_A_KEY).select("mini"))
     if crowds.isEmpty():
         least = searched(all_passages)
