@@ -115,7 +115,7 @@ def candidates(contents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _matches(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Matches of items that have shingles of ``k`` words: ``doc_id``, ``item_id``, place, similarity.
+    """Matches of items that have shingles of ``k`` words: ``row``, ``doc_id``, ``item_id``, place, similarity.
 
     ``docs``: ``row``, ``doc_id``, ``text``; ``items``: ``iid``, ``item_id``, ``w``, ``length``.
     """
@@ -171,15 +171,11 @@ def _matches(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     similarity = F.col("shared") / (F.col("m") + F.col("n") - F.col("shared"))
     good = sizes.withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY)
     named = good.join(items.select("iid", "item_id"), "iid").select("cid", "item_id", "similarity")
-    return held.select("doc_id", "start", "length", "cid").join(named, "cid")
+    return held.select("row", "doc_id", "start", "length", "cid").join(named, "cid")
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id``, ``item_id``, ``similarity``, ``start``, ``length`` (words), ``windows``.
-
-    One row for each document and item that it holds, at the most similar window
-    and the first of equals.
-    """
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each window that holds an item: ``row``, ``doc_id``, ``item_id``, place, similarity."""
     # What a row says names it, so that rows without an id or with the same one stay apart.
     rows = id_and_text(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     rows = rows.where("text <> ''")
@@ -195,7 +191,16 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         _matches(rows, listed.where(F.least("length", F.lit(SHINGLE_WORDS)) == k), k)
         for k in sorted(lengths) or [SHINGLE_WORDS]
     ]
-    found = reduce(DataFrame.union, parts)
+    return reduce(DataFrame.union, parts)
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id``, ``item_id``, ``similarity``, ``start``, ``length`` (words), ``windows``.
+
+    One row for each document and item that it holds, at the most similar window
+    and the first of equals.
+    """
+    found = _found(docs, items)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "length")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best, F.count("*").alias("windows")).select(
         "doc_id",
@@ -208,8 +213,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    bad = settle(matches(docs, items).select(F.col("doc_id").alias("__doc_id")).distinct())
-    return docs.join(
-        bounded(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")), "left_anti"
-    )
+    """The rows of ``docs`` that hold no item, with all their columns.
+
+    Rows that hold one are named by what they say, so that clean rows without an
+    id or with the same one stay.
+    """
+    bad = settle(_found(docs, items).select(F.col("row").alias("__row")).distinct())
+    row = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
+    return docs.join(bounded(bad), row == F.col("__row"), "left_anti")
