@@ -40,14 +40,17 @@ HEX_LEAST = 24
 
 #: Runs that could be a key.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Known digests (MD5, SHA-1, SHA-2 in either case of hex) and identifiers (UUID, decimal
-#: numbers, dotted or dashed words without digits).
+#: Known digests (MD5, SHA-1, SHA-2 in either case of hex) and identifiers (UUID, decimal numbers).
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
     r"|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-    r"|[0-9+-]+|[A-Za-z_/+=-]+"
+    r"|[0-9+-]+"
 )
+#: Marks between the words of paths and identifiers. A run without digits is tested by what
+#: stands between them, so that marks don't make words look random.
+BETWEEN = re.compile(r"[_/+=-]+")
+DIGIT = re.compile(r"[0-9]")
 #: Fewer characters per token than this is no language.
 MOST_CHARS_PER_TOKEN = 2.2
 
@@ -81,11 +84,15 @@ def stated(text: str) -> list[tuple[int, int, str]]:
 
 def inefficient(text: str, tokens, most: float = MOST_CHARS_PER_TOKEN) -> list[tuple[int, int]]:
     """Runs with at most ``most`` characters per token that are no known digest or identifier."""
-    return [
-        (m.start(), m.end())
-        for m in RUN.finditer(text)
-        if not KNOWN.fullmatch(m[0]) and len(m[0]) <= most * len(tokens(m[0]))
-    ]
+    found = []
+    for m in RUN.finditer(text):
+        if KNOWN.fullmatch(m[0]):
+            continue
+        parts = [m[0]] if DIGIT.search(m[0]) else BETWEEN.split(m[0])
+        n = sum(map(len, parts))
+        if n and n <= most * sum(len(tokens(part)) for part in parts):
+            found.append((m.start(), m.end()))
+    return found
 
 
 def spans_of(text: str, tokens, most: float = MOST_CHARS_PER_TOKEN) -> list[tuple[int, int, str]]:

@@ -1,6 +1,11 @@
 """Cases in which an operator did less than the whole job."""
 
-from ectolog.llm import decontaminate
+import random
+import string
+
+import public_tokenizers
+
+from ectolog.llm import decontaminate, registry, secret_scan
 
 
 def test_decontamination_keeps_clean_rows(spark, make):
@@ -12,3 +17,13 @@ def test_decontamination_keeps_clean_rows(spark, make):
         "(7, 'clean words of seven')",
         "(None, 'clean words without an id')",
     ]
+
+
+def test_random_letters_are_secrets(make):
+    rng = random.Random(3)
+    keys = ["".join(rng.choices(string.ascii_letters, k=n)) for n in (20, 32, 40) * 20]
+    words = "/static/images/background/header some_long_identifier_name internationalizationSupport"
+    rows = [(i, f"key {key} end") for i, key in enumerate(keys)] + [(900, f"{words} {'-' * 40} {'=' * 25}")]
+    found = secret_scan.scan(make(rows), registry.PLAIN, public_tokenizers.PATTERN).collect()
+    spans = {r["doc_id"]: r["spans"] for r in found}
+    assert spans == {i: f"random:4:{4 + len(key)}" for i, key in enumerate(keys)} | {900: ""}
