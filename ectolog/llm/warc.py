@@ -9,8 +9,9 @@ Records are made where the pages are read; nothing is shuffled.
 
 Defined cases: a null page is an empty payload and still gives both records; a
 null address gives no ``WARC-Target-URI``; line ends in header values are
-percent-encoded; markup that is never closed ends with the page; repeated rows
-give repeated records; an empty table gives an empty table; columns other than
+percent-encoded; a hidden element that is never closed ends with the page (a head is
+none: its end tag is optional, and text that stands in it belongs to the body); repeated
+rows give repeated records; an empty table gives an empty table; columns other than
 the three are ignored.
 """
 
@@ -33,15 +34,15 @@ from ectolog.llm.rows import pieces
 
 VERSION = "WARC/1.1"
 #: Elements whose content is no text, and elements that end a line.
-HIDDEN = ("script", "style", "noscript", "template", "head")
+HIDDEN = ("script", "style", "noscript", "template", "title")
 BLOCKS = (
     "address article aside blockquote body br caption dd details div dl dt fieldset figcaption "
-    "figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section "
+    "figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section "
     "select table tbody td tfoot th thead title tr ul"
 ).split()
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_HIDDEN = re.compile(rf"<({'|'.join(HIDDEN)})\b[^>]*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(rf"<({'|'.join(HIDDEN)})(?![a-z0-9-])[^>]*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(
     rf"</?(?:{'|'.join(BLOCKS)})(?![a-z0-9-])(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>", re.I
 )

@@ -5,7 +5,7 @@ import string
 
 import public_tokenizers
 
-from ectolog.llm import decontaminate, registry, secret_scan
+from ectolog.llm import decontaminate, registry, secret_scan, warc
 
 
 def test_decontamination_keeps_clean_rows(spark, make):
@@ -27,3 +27,10 @@ def test_random_letters_are_secrets(make):
     found = secret_scan.scan(make(rows), registry.PLAIN, public_tokenizers.PATTERN).collect()
     spans = {r["doc_id"]: r["spans"] for r in found}
     assert spans == {i: f"random:4:{4 + len(key)}" for i, key in enumerate(keys)} | {900: ""}
+
+
+def test_warc_head_without_end_tag():
+    page = "<html><head><title>T</title><meta charset=utf-8><style>p{}</style><body><p>One<p>two"
+    assert warc.plain_text(page) == "One\ntwo"
+    assert warc.plain_text("<head><title>T</title><script>x</script><p>One</p>two") == "One\ntwo"
+    assert warc.plain_text("<head><title>T</title><link rel=x></head><title-bar>One</title-bar>") == "One"
