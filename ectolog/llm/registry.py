@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ectolog.llm import bpe, decontaminate, exact, licences, quality, repair, secret_scan, simhash, substrings, toxicity, warc
+from ectolog.llm import bpe, decontaminate, exact, licences, quality, repair, secret_scan, simhash, substrings, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
