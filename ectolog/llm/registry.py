@@ -47,7 +47,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"), licences.known_notices(spark))
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
 
 
 @query
