@@ -135,15 +135,20 @@ def anchors(rows: DataFrame) -> DataFrame:
 
 
 def shared_minis(rows: DataFrame) -> DataFrame:
-    """``doc_id``, ``minis``: of each document the minimizers that another one has too."""
-    # Dealt out once: the counts and the rows they choose read the same shuffle.
+    """``doc_id``, ``minis``, ``known``: of each document the minimizers that another one has too."""
+    # Dealt out once: the counts and the rows they choose read the same shuffle. For that both
+    # ask for every column, so ``mini`` (never null) is named here and ``known`` there.
     dealt = anchors(rows).repartition("key")
     shared = dealt.groupBy("key").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("known").alias("told")
+        F.min("doc_id").alias("lo"),
+        F.max("doc_id").alias("hi"),
+        F.max("known").alias("told"),
+        F.max("mini").alias("mini"),
     )
-    shared = shared.where((F.col("lo") < F.col("hi")) | F.col("told")).select("key")
-    chosen = dealt.join(shared, "key", "left_semi")
-    return chosen.groupBy("doc_id").agg(F.collect_set("mini").alias("minis"))
+    several = (F.col("lo") < F.col("hi")) | F.col("told") | F.col("mini").isNull()
+    # An inner join, as a semi-join would be moved in front of the shuffle.
+    chosen = dealt.join(shared.where(several).select("key"), "key")
+    return chosen.groupBy("doc_id").agg(F.collect_set("mini").alias("minis"), F.max("known").alias("known"))
 
 
 PASSAGE = "mini long, seg long, row long, doc_id long, start int, passage binary"

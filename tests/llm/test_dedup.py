@@ -192,3 +192,18 @@ def test_fm_index_matching_statistics():
         if m == 8:
             w = "".join(map(str, query[e - 8 : e]))
             assert b - a == sum(t.startswith(w, k) for t in joined for k in range(len(t)))
+
+
+def test_minimizers_are_dealt_out_once(spark, documents):
+    from ectolog.llm import substrings
+    from ectolog.llm.rows import id_and_text
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = substrings.shared_minis(id_and_text(documents).where("doc_id IS NOT NULL"))
+        assert found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("MapInArrow") == 1 and plan.count("ReusedExchange") == 1
