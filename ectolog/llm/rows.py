@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ectolog.session import scratch_path
+from ectolog.session import scratch_path, shuffles_freed
 
 #: Spaces of the word patterns; ``bytes.split()`` without arguments splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -40,7 +40,8 @@ def stored(df: DataFrame) -> DataFrame:
     """A table written to the shared folder and read again: compressed, unlike a checkpoint."""
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -38,8 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ectolog.llm.fm_index import FmIndex
-from ectolog.llm.rows import bounded, id_and_text, pieces
-from ectolog.session import scratch_path, settle
+from ectolog.llm.rows import bounded, id_and_text, pieces, stored
 
 WINDOW = 13
 #: Words of the runs among which a window's minimizer is chosen: enough that different texts
@@ -266,12 +265,12 @@ def _by_window(hot: DataFrame) -> DataFrame:
     """The same as ``searched`` for passages of very common minimizers, window by window."""
     windows = windows_of(hot).withColumn("key", F.xxhash64("window"))
     distinct = windows.groupBy("key", "window").agg(F.min("owner").alias("owner"))
-    distinct = settle(
+    distinct = stored(
         distinct.select(
             F.col("key").alias("mini"), F.col("key").alias("seg"), F.col("window").alias("passage"), F.col("owner").alias("doc_id")
         )
     )
-    found = settle(searched(distinct)).select(
+    found = stored(searched(distinct)).select(
         F.col("mini").alias("key"), F.col("least")[0].alias("one")
     )
     joined = windows.select("mini", "seg", "at", "key").join(found, "key")
@@ -282,26 +281,24 @@ def _by_window(hot: DataFrame) -> DataFrame:
     return lists.select("mini", "seg", F.col("all.one").alias("least"))
 
 
-def covered(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def covered(rows: DataFrame) -> DataFrame:
     """``row``, ``starts``: the windows of each row that an earlier document has too."""
     known = rows.where("doc_id IS NOT NULL")
-    by_doc = settle(shared_minis(known))
+    by_doc = stored(shared_minis(known))
     chosen = known
     if by_doc.count() <= BROADCAST_IDS:
         chosen = known.join(F.broadcast(by_doc.select("doc_id")), "doc_id", "left_semi")
-    place = scratch_path(spark, "passages")
-    passages(chosen.join(by_doc, "doc_id")).write.option("compression", "zstd").parquet(place)
-    all_passages = spark.read.schema(PASSAGE).parquet(place)
+    all_passages = stored(passages(chosen.join(by_doc, "doc_id")))
     # Different passages: copies of one passage are no crowd.
     different = all_passages.groupBy("mini", "seg").agg(F.count("*").alias("copies"))
     crowds = different.groupBy("mini").agg(F.count("*").alias("n"))
-    crowds = settle(crowds.where(F.col("n") > PASSAGES_OF_A_KEY).select("mini"))
+    crowds = stored(crowds.where(F.col("n") > PASSAGES_OF_A_KEY).select("mini"))
     if crowds.isEmpty():
-        least = searched(all_passages)
+        least = stored(searched(all_passages))
     else:
         few = bounded(crowds)
-        least = searched(all_passages.join(few, "mini", "left_anti")).union(
-            _by_window(settle(_distinct(all_passages.join(few, "mini", "left_semi"))))
+        least = stored(searched(all_passages.join(few, "mini", "left_anti"))).union(
+            stored(_by_window(stored(_distinct(all_passages.join(few, "mini", "left_semi")))))
         )
     met = all_passages.select("mini", "seg", "row", "doc_id", "start").join(least, ["mini", "seg"])
     starts = F.filter(
@@ -319,7 +316,7 @@ def covered(spark: SparkSession, rows: DataFrame) -> DataFrame:
 def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept`` (words joined by one space) of each row."""
     rows = id_and_text(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    found = settle(covered(spark, rows))
+    found = stored(covered(rows))
     names = ["doc_id", "n_words", "n_removed", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
