@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from ectolog.llm.rows import id_and_text, pieces
+from ectolog.llm.rows import id_and_text, pieces, released
 
 #: Text of one block; memory in a task is a small multiple of it.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Ranks that share one list of waiting positions.
 RANKS_PER_BUCKET = 64
 
@@ -51,7 +51,6 @@ class Vocabulary:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left * self.size + right] = rank
-        self.pair_rank = pairs
         self.pair_key = np.fromiter(sorted(pairs), np.int64, len(pairs))
         self.pair_value = np.array([pairs[k] for k in self.pair_key.tolist()], np.int32)
 
@@ -61,23 +60,43 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where(self.pair_key[at] == key, self.pair_value[at], np.int32(-1))
 
+    def one_rank(self, left: int, right: int) -> int:
+        key = left * self.size + right
+        at = int(np.searchsorted(self.pair_key, key))
+        return int(self.pair_value[at]) if at < len(self.pair_key) and self.pair_key[at] == key else -1
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_one(v: Vocabulary, piece: bytes) -> list[int]:
-    """The merges of one piece, lowest rank and leftmost first."""
-    ids = v.byte_rank[np.frombuffer(piece, np.uint8)].tolist()
-    while len(ids) > 1:
-        ranks = [v.pair_rank.get(a * v.size + b, v.size) for a, b in zip(ids, ids[1:])]
-        best = min(ranks)
-        if best == v.size:
-            break
-        at = ranks.index(best)
-        ids[at : at + 2] = [best]
-    return ids
+def encode_one(v: Vocabulary, piece: bytes) -> np.ndarray:
+    """The merges of one piece, lowest rank and leftmost first, by a heap over linked positions."""
+    ids = v.byte_rank[np.frombuffer(piece, np.uint8)]
+    n = len(ids)
+    ranks = v.rank_of(ids[:-1], ids[1:])
+    token, rank = ids.tolist(), [*ranks.tolist(), -1]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    waiting = [(r, at) for at, r in enumerate(rank) if r >= 0]
+    heapq.heapify(waiting)
+    while waiting:
+        r, at = heapq.heappop(waiting)
+        if rank[at] != r:
+            continue
+        gone = after[at]
+        token[at], token[gone], rank[gone] = r, -1, -1
+        after[at] = after[gone]
+        if after[at] < n:
+            before[after[at]] = at
+        for left in (before[at], at):
+            if left < 0:
+                continue
+            right = after[left]
+            rank[left] = v.one_rank(token[left], token[right]) if right < n else -1
+            if rank[left] >= 0:
+                heapq.heappush(waiting, (rank[left], left))
+    return np.array([t for t in token if t >= 0], np.int32)
 
 
 class Replay:
@@ -185,7 +204,7 @@ class Replay:
         if self.odd:
             parts = np.split(ids, begin[1:-1])
             for k in self.odd:
-                parts[k] = np.array(encode_one(self.v, self.words[k]), np.int32)
+                parts[k] = encode_one(self.v, self.words[k])
             ids = np.concatenate(parts)
             begin = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return ids, begin
@@ -251,17 +270,21 @@ def encode_texts(v: Vocabulary, find, texts: list[str]) -> Iterator[bytes]:
                 unsafe.append(k)
             words += [x.encode() for x in find(unit)]
         first[k + 1] = len(words)
+    # Texts with a unit that a piece may reach over are cut whole; their pieces are replayed with the rest.
+    wrong = np.zeros(len(units) + 1, bool)
+    wrong[unsafe] = True
+    n_units = len(units)
+    whole = _Numbers()
+    for k, text in enumerate(texts):
+        if unsafe and wrong[docs[k]].any():
+            docs[k] = np.array([n_units + whole[x] for x in find(text)], np.int32)
+    words += [x.encode() for x in whole]
+    first = np.concatenate([first, first[-1] + 1 + np.arange(len(whole))])
     ids, begin = Replay(v, words).run()
     ids = ids.astype("<u4")
     begin = begin[first].astype(np.int32)
     size = np.diff(begin).astype(np.int32)
-    wrong = np.zeros(len(units) + 1, bool)
-    wrong[unsafe] = True
-    for text, doc in zip(texts, docs):
-        if len(unsafe) and wrong[doc[:-1]].any():
-            whole = [encode_one(v, x.encode()) for x in find(text)]
-            yield np.array([i for x in whole for i in x], "<u4").tobytes()
-            continue
+    for doc in docs:
         count = size[doc]
         end = np.cumsum(count, dtype=np.int32)
         total = int(end[-1]) if len(end) else 0
@@ -307,6 +330,7 @@ def encode(
                     keys, texts, held = [], [], 0
         if keys:
             yield from flush(keys, texts)
+        released()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -332,6 +356,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(out, pa.binary())],
                     ["doc_id", "ids", "decoded"],
                 )
+        released()
 
     return encoded.select("doc_id", "ids").mapInArrow(
         run, "doc_id long, ids binary, decoded binary"

@@ -52,3 +52,8 @@ def pieces(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.Rec
     step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
+
+
+def released() -> None:
+    """Called at the end of a task, whose process serves others later: hands free buffers back."""
+    pa.default_memory_pool().release_unused()
