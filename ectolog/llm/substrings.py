@@ -103,14 +103,20 @@ def anchors(rows: DataFrame) -> DataFrame:
         hashes = _Hashes()
         for batch in batches:
             for part in pieces(batch, 4 << 20):
-                found, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    mini = np.unique(minimizers(_hash_all(hashes, text.encode().split())))
-                    found.append(mini)
-                    ids.append(np.full(len(mini), key, np.int64))
-                mini, doc = np.concatenate(found), np.concatenate(ids)
+                texts = [text.encode().split() for text in part.column(1).to_pylist()]
+                # All texts of a piece at once; windows over the edge of a text don't count.
+                h = _hash_all(hashes, [w for words in texts for w in words])
+                of = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+                least, doc = minimizers(h), part.column(0).to_numpy()[of]
+                doc = doc[: len(least)]
+                inside = of[: len(least)] == of[len(of) - len(least) :]
+                mini, doc = least[inside], doc[inside]
+                change = (mini[1:] != mini[:-1]) | (doc[1:] != doc[:-1])
+                mini, doc = (x[np.append(True, change)[: len(x)]] for x in (mini, doc))
                 order = np.lexsort((doc, mini))
                 mini, doc = mini[order], doc[order]
+                change = (mini[1:] != mini[:-1]) | (doc[1:] != doc[:-1])
+                mini, doc = (x[np.append(True, change)[: len(x)]] for x in (mini, doc))
                 new = np.concatenate([[True], mini[1:] != mini[:-1]])[: len(mini)]
                 group = np.cumsum(new) - 1
                 first = np.flatnonzero(new)
