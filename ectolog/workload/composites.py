@@ -13,6 +13,7 @@ from ectolog.plans import activity, effectiveness, field, habitat, performance,
 from ectolog.session import scratch_path
 from ectolog.stats.compare import aicc_weights
 from ectolog.stats.survival import survival_models
+from ectolog.streaming.closing import run_to_end
 from ectolog.streaming.hourly import stream_hourly as run_stream
 from ectolog.workload.basic import _HISTORY, _round3_sql, deviation_sql
 from ectolog.workload.registry import query
@@ -250,11 +251,27 @@ def pipe_survival_histories(v):
         GROUP BY date_trunc('hour', ts), id""",
 )
 def stream_hourly(v):
+    out = scratch_path(v.spark, "stream_out")
+    run_stream(_live(v), out, scratch_path(v.spark, "stream_state"))
+    return v.spark.read.parquet(out).drop("epoch")
+
+
+def _live(v):
+    """The field log as a feed that is read file by file."""
     schema = v.table("events").schema
     feed = field_log(
         v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
     )
     feed = with_tb(feed).withColumn("ms2", X.movement_vector(F.col("x_ms2"), F.col("y_ms2")))
-    out = scratch_path(v.spark, "stream_out")
-    run_stream(feed.select("ts", "id", "ms2", "tb"), out, scratch_path(v.spark, "stream_state"))
-    return v.spark.read.parquet(out).drop("epoch")
+    return feed.select("ts", "id", "ms2", "tb")
+
+
+@query(
+    "stream_hourly_all",
+    f"""SELECT T{{date_trunc('hour', ts)}} AS start, id,
+        R{{quantile_cont(sqrt(x_ms2 + y_ms2), 0.95)}} AS p95, R{{avg({TB})}} AS tb, I{{count(*)}} AS n
+        FROM fieldlog GROUP BY date_trunc('hour', ts), id""",
+)
+def stream_hourly_all(v):
+    """Every hour of the feed, the last ones drained."""
+    return run_to_end(_live(v), scratch_path(v.spark, "stream_out"), scratch_path(v.spark, "stream_state"))
