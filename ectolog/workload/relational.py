@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ectolog import functions as X
 from ectolog.functions.columns import SKIN_TO_BODY
-from ectolog.operators import aggregate, clean, joins, quantiles, reshape
+from ectolog.operators import aggregate, clean, joins, quantiles, reshape, selection, sketches
 from ectolog.operators.joins import PUBLISHED_BANDS as BANDS
+from ectolog.session import scratch_path
+from ectolog.sources import write_snapshot
 from ectolog.workload.basic import deviation_sql
 from ectolog.workload.registry import query
 
@@ -534,3 +536,52 @@ def pivot_wide(v):
     table = aggregate.mean_se(v.seasonlog, "tsurf", ["season", "sex"])
     wide = {"mean": "mean", "se": "se"}
     return reshape.pivot_wide(table, ["season"], "sex", ["ZZf", "ZWf", "ZZm"], wide)
+
+
+@query(
+    "five_number_digits",
+    "SELECT type, season, "
+    + ", ".join(f"R{{{_q('te', p / 100)}}} AS q{p}" for p in (0, 25, 50, 75, 100))
+    + " FROM envlog GROUP BY type, season",
+)
+def five_number_digits(v):
+    return selection.five_number_by_digits(v.envlog, "te", ["type", "season"])
+
+
+@query(
+    "tset_digits",
+    f"SELECT id, sex, R{{{_q('tsurf', 0.75)} - {_q('tsurf', 0.25)}}} AS iqr FROM seasonlog GROUP BY id, sex",
+)
+def tset_digits(v):
+    return selection.tset_by_digits(v.seasonlog, "tsurf")
+
+
+@query(
+    "residual_digits",
+    """WITH fit AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM pairs),
+       r AS (SELECT y - (i + s * x) AS r FROM pairs, fit)
+       SELECT R{quantile_cont(r, 0.0)} AS q0, R{quantile_cont(r, 0.25)} AS q25, R{quantile_cont(r, 0.5)} AS q50,
+       R{quantile_cont(r, 0.75)} AS q75, R{quantile_cont(r, 1.0)} AS q100 FROM r""",
+)
+def residual_digits(v):
+    """Residuals are nearly all different: the case in which a range must be cut again and again."""
+    line = v.pairs.agg(F.regr_slope("y", "x").alias("s"), F.regr_intercept("y", "x").alias("i"))
+    rows = v.pairs.join(F.broadcast(line)).select((F.col("y") - (F.col("i") + F.col("s") * F.col("x"))).alias("r"))
+    return selection.five_number_by_digits(rows, "r")
+
+
+@query(
+    "p95_sketched",
+    "SELECT season, sex, I{count(ms2)} AS n, 'true' AS within FROM seasonlog GROUP BY season, sex",
+)
+def p95_sketched(v):
+    """95th percentiles by season and sex, merged from stored sketches of hours; beside the exact ranks."""
+    hours = ["id", "sex", "season", "date", "hr"]
+    place = scratch_path(v.spark, "sketches")
+    write_snapshot(sketches.quantile_sketches(v.seasonlog, hours, "ms2"), place, ["season"])
+    kept = v.spark.read.parquet(place)
+    keys = ["season", "sex"]
+    merged = sketches.sketched_quantiles(sketches.merge_sketches(kept, keys), {"p95": 0.95})
+    off = sketches.off_by(v.seasonlog, keys, "ms2", merged, "p95", 0.95)
+    within = (F.col("off") <= sketches.rank_error()).alias("within")
+    return merged.select(*keys, "n").join(off, keys).select(*keys, "n", within)
