@@ -73,6 +73,29 @@ def tracking_days(df: DataFrame, by: str = "id", date: str = "date") -> DataFram
     return days.groupBy(by).agg(F.count(F.lit(1)).alias("days"))
 
 
+def day_bitmaps(df: DataFrame, by: str = "id", date: str = "date") -> DataFrame:
+    """``by``, ``bucket``, ``days``: the days with data as bits, 32,768 days a bitmap.
+
+    Kept as a table, they stand for the readings: bitmaps of files or micro-batches
+    are merged by ``merge_days``, whatever they have in common.
+    """
+    # Day numbers begin with 1, as positions in a bitmap do.
+    day = (F.datediff(date, F.lit("0001-01-01").cast("date")) + 1).cast("long")
+    rows = df.where(F.col(date).isNotNull()).select(by, day.alias("day"))
+    bucket = F.bitmap_bucket_number("day").alias("bucket")
+    return rows.groupBy(by, bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("day")).alias("days"))
+
+
+def merge_days(bitmaps: DataFrame, by: str = "id") -> DataFrame:
+    """Bitmaps of several sources as one for each individual and bucket."""
+    return bitmaps.groupBy(by, "bucket").agg(F.bitmap_or_agg("days").alias("days"))
+
+
+def days_of(bitmaps: DataFrame, by: str = "id") -> DataFrame:
+    """Days with data per individual, from merged bitmaps."""
+    return bitmaps.groupBy(by).agg(F.sum(F.bitmap_count("days")).alias("days"))
+
+
 def carry_unique(df: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
     """One row per group with attributes that must not vary inside it.
 

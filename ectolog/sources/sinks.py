@@ -22,6 +22,36 @@ def write_snapshot(
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace the partitions that ``df`` has rows of; all others stay as they are.
+
+    Rows are dealt out by partition first, in shares of the advisory size, so that a
+    small partition is one file and a large one isn't one task. Files appear when the
+    whole write has succeeded; of a write that is killed nothing is seen.
+    """
+    (
+        df.hint("rebalance", *[F.col(c) for c in partition_by])
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partition_by)
+        .parquet(path)
+    )
+
+
+def write_bucketed(
+    df: DataFrame, table: str, path: str, buckets: int, by: Sequence[str], sort_by: Sequence[str] = ()
+) -> DataFrame:
+    """A table at ``path`` whose rows are bucketed and sorted on disk; returned as read back.
+
+    Joins and aggregates of such tables on ``by`` need no exchange. The rows are dealt
+    out once, here, so that each bucket is one file.
+    """
+    spark = df.sparkSession
+    writer = df.repartition(buckets, *by).write.mode("overwrite").option("path", path).bucketBy(buckets, *by)
+    writer.sortBy(*(sort_by or by)).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
@@ -36,9 +66,11 @@ def history_rows(
     """
     unknown = F.raise_error(F.lit("survival is not known"))
     history = F.when(survived, "10").when(~survived, "11").otherwise(unknown)
+    # Zeros go only behind a point: a whole number keeps its own.
+    tail = r"(\.[0-9]*?)0+$"
     shown = [
         F.regexp_replace(
-            F.format_string(f"%.{digits}f", round_half_even(c, digits)), r"\.?0+$", ""
+            F.regexp_replace(F.format_string(f"%.{digits}f", round_half_even(c, digits)), tail, "$1"), r"\.$", ""
         )
         for c in covariates
     ]

@@ -71,6 +71,39 @@ def sink_csv(v):
     return sources.read_csv(v.spark, path, table.schema)
 
 
+@query(
+    "csv_quarantine",
+    """SELECT 'rows' AS what, type, I{count(*)} AS n, R{avg(x)} AS x FROM pairs WHERE x <> 7 GROUP BY type
+       UNION ALL SELECT 'refused', type, I{count(*)}, CAST(NULL AS DOUBLE) FROM pairs WHERE x = 7 GROUP BY type""",
+)
+def csv_quarantine(v):
+    """Lines with a cell that is no number are set apart; the others are all there."""
+    cells = v.pairs.select("id", "type", F.when(F.col("x") == 7, "n/a").otherwise(F.col("x").cast("string")).alias("x"))
+    path = scratch_path(v.spark, "csv_quarantine")
+    sources.write_csv(cells, path)
+    found = sources.read_csv_checked(v.spark, path, "id long, type string, x double")
+    rows = found.rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"))
+    refused = found.refused.select(F.split("line", ",")[1].alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    parts = [t.withColumn("what", F.lit(w)) for t, w in ((rows, "rows"), (refused.withColumn("x", F.lit(None).cast("double")), "refused"))]
+    return parts[0].unionByName(parts[1]).select("what", "type", "n", "x")
+
+
+@query(
+    "snapshot_replace",
+    """SELECT season, sex, I{count(*)} AS n, R{CASE WHEN season = 'Winter' THEN avg(tsurf) + 1 ELSE avg(tsurf) END} AS tsurf
+       FROM seasonlog GROUP BY season, sex""",
+)
+def snapshot_replace(v):
+    """One season is written again with other values; the other seasons stay."""
+    path = scratch_path(v.spark, "snapshot_replace")
+    stage = v.seasonlog.select("season", "sex", "tsurf")
+    sources.replace_partitions(stage, path, ["season"])
+    again = stage.where("season = 'Winter'").withColumn("tsurf", F.col("tsurf") + 1)
+    sources.replace_partitions(again, path, ["season"])
+    kept = v.spark.read.parquet(path)
+    return kept.groupBy("season", "sex").agg(F.count(F.lit(1)).alias("n"), F.avg("tsurf").alias("tsurf"))
+
+
 _HISTORY = """
     SELECT CASE WHEN survived THEN '10' ELSE '11' END
            || chr(9) || CAST(CASE WHEN sex = 'ZZm' THEN 1 ELSE 0 END AS VARCHAR)

@@ -9,7 +9,7 @@ from ectolog.functions.columns import SKIN_TO_BODY
 from ectolog.operators import aggregate, clean, joins, quantiles, reshape, selection, sketches
 from ectolog.operators.joins import PUBLISHED_BANDS as BANDS
 from ectolog.session import scratch_path
-from ectolog.sources import write_snapshot
+from ectolog.sources import write_bucketed, write_snapshot
 from ectolog.workload.basic import deviation_sql
 from ectolog.workload.registry import query
 
@@ -585,3 +585,40 @@ def p95_sketched(v):
     off = sketches.off_by(v.seasonlog, keys, "ms2", merged, "p95", 0.95)
     within = (F.col("off") <= sketches.rank_error()).alias("within")
     return merged.select(*keys, "n").join(off, keys).select(*keys, "n", within)
+
+
+@query(
+    "tracking_days_bitmap",
+    "SELECT id, I{count(DISTINCT date)} AS days FROM fieldlog GROUP BY id",
+)
+def tracking_days_bitmap(v):
+    """Days from stored bitmaps of two halves of the log."""
+    place = scratch_path(v.spark, "days")
+    half = F.pmod(F.xxhash64("ts"), F.lit(2))
+    for k in (0, 1):
+        aggregate.day_bitmaps(v.fieldlog.where(half == k)).write.mode("append").parquet(place)
+    return aggregate.days_of(aggregate.merge_days(v.spark.read.parquet(place)))
+
+
+@query(
+    "individual_db_bucketed",
+    """SELECT id, D{date} AS date, I{hr} AS hr, R{avg(tsurf)} AS tsurf, R{quantile_cont(ms2, 0.95)} AS p95,
+       R{max(days.n)} AS readings FROM seasonlog JOIN
+       (SELECT id, date, count(*) AS n FROM seasonlog GROUP BY id, date) days USING (id, date) GROUP BY id, date, hr""",
+)
+def individual_db_bucketed(v):
+    """Hourly means and percentiles, and the readings of the day, over a layout bucketed by individual and day."""
+    return hourly_on_buckets(bucketed_log(v, "individual_db"))
+
+
+def bucketed_log(v, name, buckets=16):
+    place = scratch_path(v.spark, f"bucketed-{name}")
+    table = f"bucketed_{place.rsplit('-', 1)[-1]}"
+    rows = v.seasonlog.select("id", "date", "hr", "tsurf", "ms2")
+    return write_bucketed(rows, table, place, buckets, ["id", "date"])
+
+
+def hourly_on_buckets(log):
+    hours = quantiles.p95_hourly(log, "ms2", "tsurf", keys=("id", "date", "hr"))
+    days = log.groupBy("id", "date").agg(F.count(F.lit(1)).cast("double").alias("readings"))
+    return hours.join(days, ["id", "date"]).select("id", "date", "hr", "tsurf", "p95", "readings")
