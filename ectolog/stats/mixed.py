@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ectolog.session import settle
 from ectolog.stats.blocks import Sums, block_sums, by_individual, predict_cells, predict_fixed
 from ectolog.stats.design import Design, curvature, spline_columns
-from ectolog.stats.tails import chi2_sf, f_sf, range_sf, t_two_sided
+from ectolog.stats.tails import _t_ppf, f_sf, range_sf, t_two_sided
+from ectolog.stats.wald import smooth_wald
 
 Z95 = 1.959963984540054
 
@@ -444,57 +445,73 @@ def _mean_rows(fit: Fit, over: Sequence[str]) -> np.ndarray:
     return out
 
 
+def _own_rank(fit: Fit) -> int:
+    """Rank of what is estimated between individuals, the mean included."""
+    inside = set(fit.between)
+    terms = [t for t in fit.design.terms() if inside and set(t) <= inside]
+    return 1 + sum(int(np.linalg.matrix_rank(_contrasts(fit, t))) for t in terms)
+
+
+def _containment_df(fit: Fit, term: Sequence[str]) -> float:
+    """Denominator degrees of freedom of a term: individuals, or the readings inside them.
+
+    Means themselves (an empty term) vary with the individuals as well.
+    """
+    if fit.kind is None:
+        return float(fit.n - len(fit.names))
+    own = _own_rank(fit)
+    if set(term) <= set(fit.between):
+        return float(fit.ids - own)
+    return float(fit.n - fit.ids - (len(fit.names) - own))
+
+
 def anova_mixed(spark: SparkSession, fit: Fit) -> DataFrame:
     """Wald F per term; denominator degrees of freedom by containment.
 
     A term whose factors don't vary inside an individual is tested against the
     individuals, other terms against the readings inside them.
     """
-    columns = [(t, np.asarray(r)) for t, r in ((t, _contrasts(fit, t)) for t in fit.design.terms())]
-    inside = set(fit.between)
-    own = 1 + sum(
-        int(np.linalg.matrix_rank(r)) for t, r in columns if inside and set(t) <= inside
-    )
     out = []
     for term in fit.design.terms():
         rows = _contrasts(fit, term)
         est, cov = rows @ fit.coef, rows @ fit.cov @ rows.T
         df1 = int(np.linalg.matrix_rank(cov))
         f = float(est @ np.linalg.pinv(cov) @ est) / max(df1, 1)
-        if fit.kind is None:
-            df2 = float(fit.n - len(fit.names))
-        elif inside and set(term) <= inside:
-            df2 = float(fit.ids - own)
-        else:
-            df2 = float(fit.n - fit.ids - (len(fit.names) - own))
+        df2 = _containment_df(fit, term)
         out.append((":".join(term), df1, df2, f, float(f_sf(f, df1, df2))))
     return spark.createDataFrame(out, "effect string, df1 int, df2 double, f double, p double")
 
 
 def marginal_means(
-    spark: SparkSession, fit: Fit, over: Sequence[str], z: float = Z95
+    spark: SparkSession, fit: Fit, over: Sequence[str], level: float = 0.95
 ) -> DataFrame:
-    """Cell means with SE and asymptotic limits, other factors weighted equally."""
+    """Cell means with SE and limits, other factors weighted equally; df by containment."""
     rows = _mean_rows(fit, over)
     est = rows @ fit.beta
     se = np.sqrt(np.einsum("ij,jk,ik->i", rows, fit.cov, rows))
+    df = _containment_df(fit, ())
+    far = _t_ppf((1 + level) / 2, df) if df >= 1 else float("nan")
     out = [
-        (*combo.values(), float(m), float(s), float(m - z * s), float(m + z * s))
+        (*combo.values(), float(m), float(s), df, float(m - far * s), float(m + far * s))
         for combo, m, s in zip(fit.design.grid(list(over)), est, se, strict=True)
     ]
     names = ", ".join(f"`{f}` string" for f in over)
     return spark.createDataFrame(
-        out, f"{names}, emmean double, se double, lower_cl double, upper_cl double"
+        out, f"{names}, emmean double, se double, df double, lower_cl double, upper_cl double"
     )
 
 
 def pairwise_contrasts(
     spark: SparkSession, fit: Fit, over: str, within: str | None = None
 ) -> DataFrame:
-    """All pairs of marginal means, Tukey-adjusted, overall or within a factor."""
+    """All pairs of marginal means, Tukey-adjusted, overall or within a factor; df by containment.
+
+    Levels that don't vary inside an individual are compared against the individuals.
+    """
     d = fit.design
     rows = _mean_rows(fit, [within, over] if within else [over])
     cells = d.grid([within, over] if within else [over])
+    df = _containment_df(fit, [over])
     out = []
     for group in d.factors[within] if within else [None]:
         at = [i for i, c in enumerate(cells) if within is None or c[within] == group]
@@ -502,14 +519,14 @@ def pairwise_contrasts(
             diff = rows[i] - rows[j]
             est, se = float(diff @ fit.coef), float(np.sqrt(diff @ fit.cov @ diff))
             t = est / se if se > 0 else float("nan")
-            p = range_sf(abs(t) * np.sqrt(2), len(at), float("inf"))
-            out.append((group, f"{cells[i][over]} - {cells[j][over]}", est, se, t, p))
-    schema = "within string, contrast string, estimate double, se double, z double, p double"
+            p = range_sf(abs(t) * np.sqrt(2), len(at), df) if df >= 1 else float("nan")
+            out.append((group, f"{cells[i][over]} - {cells[j][over]}", est, se, df, t, p))
+    schema = "within string, contrast string, estimate double, se double, df double, z double, p double"
     return spark.createDataFrame(out, schema)
 
 
 def smooth_terms(spark: SparkSession, fit: Fit) -> DataFrame:
-    """Per-term table: parametric Wald tests, effective df of the smooths."""
+    """Per-term table: parametric Wald tests, effective df and rank-limited tests of the smooths."""
     cov, d = fit.cov, fit.design
     n_factor = len(d._factor_columns())
     df2 = max(fit.n - fit.edf, 1.0)
@@ -518,12 +535,15 @@ def smooth_terms(spark: SparkSession, fit: Fit) -> DataFrame:
         se = float(np.sqrt(cov[i, i]))
         t = float(fit.beta[i]) / se
         out.append((fit.names[i], "parametric", 1.0, float(fit.beta[i]), se, t, float(t_two_sided(t, df2))))
-    taken = np.diag(fit.hinv @ (fit.smooth_penalty * d.penalty()))
+    penalty = fit.smooth_penalty * d.penalty()
+    used = np.eye(len(fit.coef)) - fit.hinv @ penalty
+    gram = np.linalg.inv(fit.hinv) - penalty
+    # The rank of a test lets directions count that are shrunk by half twice over.
+    once, twice = np.diag(used), np.diag(2 * used - used @ used)
     for tag, at in d.spline_blocks().items():
-        edf = float(len(at) - taken[at].sum())
-        b = fit.coef[at]
-        wald = float(b @ np.linalg.pinv(cov[np.ix_(at, at)]) @ b)
-        out.append((tag, "smooth", edf, None, None, wald, float(chi2_sf(wald, max(edf, 1.0)))))
+        block = np.ix_(at, at)
+        wald, p = smooth_wald(fit.coef[at], cov[block], gram[block], float(twice[at].sum()))
+        out.append((tag, "smooth", float(once[at].sum()), None, None, wald, p))
     if fit.kind:
         label = f"s(id, {fit.kind})"
         out.append((label, "random", float(fit.block_edf), None, None, None, None))
