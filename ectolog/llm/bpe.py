@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from ectolog.llm.rows import id_and_text, pieces, released
+from ectolog.llm.rows import id_and_text, pieces, releasing
 
 #: Text of one block; memory in a task is a small multiple of it.
 BLOCK_BYTES = 2 << 20
@@ -330,9 +330,8 @@ def encode(
                     keys, texts, held = [], [], 0
         if keys:
             yield from flush(keys, texts)
-        released()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(releasing(run), schema)
 
 
 def _ids_batch(keys: list, ids: list[bytes]) -> pa.RecordBatch:
@@ -356,8 +355,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(out, pa.binary())],
                     ["doc_id", "ids", "decoded"],
                 )
-        released()
 
     return encoded.select("doc_id", "ids").mapInArrow(
-        run, "doc_id long, ids binary, decoded binary"
+        releasing(run), "doc_id long, ids binary, decoded binary"
     )

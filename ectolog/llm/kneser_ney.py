@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ectolog.llm.rows import pieces, released, stored
+from ectolog.llm.rows import pieces, releasing, stored
 
 BEGIN, END, AGAIN = "\x02", "\x03", "\x04"
 #: Rows of a model (12 bytes each) that one task holds at a time.
@@ -366,6 +366,5 @@ def sums_over(
                     [*part.columns[:-1], pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())],
                     [*kept, "total", "n"],
                 )
-        released()
 
-    return docs.mapInArrow(run, f"{keep}, total double, n long")
+    return docs.mapInArrow(releasing(run), f"{keep}, total double, n long")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,13 @@ def pieces(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.Rec
         yield batch.slice(at, step)
 
 
-def released() -> None:
-    """Called at the end of a task, whose process serves others later: hands free buffers back."""
-    pa.default_memory_pool().release_unused()
+def releasing(run: Callable) -> Callable:
+    """The same task, after which free buffers go back: its process stays and serves others."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        # By now the task's own tables and batches are gone.
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return whole
