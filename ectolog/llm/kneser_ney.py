@@ -13,7 +13,9 @@ gram; nothing of the corpus is collected.
 Scoring: the finished model is split by the hash of a gram into shards of
 bounded size, which are broadcast. A task lists the distinct words of a block of
 documents and joins their grams with one shard after the other, so that it holds
-one shard and one block at a time; no document is shuffled.
+one shard and one block at a time; no document is shuffled. A model of more rows
+than ``most_rows`` stays a table and is joined on Spark (``_sums_joined``): the
+values are the same, and there is no size that is refused.
 """
 
 from __future__ import annotations
@@ -30,12 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ectolog.llm.rows import pieces, releasing, stored
+from ectolog.operators.joins import attach
 
 BEGIN, END, AGAIN = "\x02", "\x03", "\x04"
 #: Rows of a model (12 bytes each) that one task holds at a time.
 SHARD_ROWS = 6_000_000
-#: A model beyond this is refused: its shards together fill an executor's disk cache.
-MOST_ROWS = 100_000_000
+#: Rows of a model that may be broadcast, shard by shard (0.3 GB); beyond it the model is joined.
+MOST_ROWS = 24_000_000
+#: Distinct words whose grams are looked up together where the model is joined.
+WORDS_JOINED = 2_000
 #: Text, and words among it, that are scored together.
 BLOCK_BYTES = 4 << 20
 WORDS_AT_ONCE = 50_000
@@ -282,8 +287,35 @@ class _Sent:
         return key, v
 
 
-def send(model: DataFrame, order: int, shard_rows: int = SHARD_ROWS) -> list[_Sent]:
-    """Broadcast a model (``what`` 0 gram or 1 history, ``gram``, ``v``) shard by shard."""
+class _Block:
+    """The rows of a model that one block of words asks for."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        by = np.argsort(key)
+        self.held = key[by], value[by]
+
+    def _value_of_file(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.held
+
+
+class _Asked:
+    """Stands for a model without rows and notes every key that a scorer looks for in it."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        self.keys.append(keys)
+        return np.full(len(keys), np.nan)
+
+
+def send(
+    model: DataFrame, order: int, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS
+) -> list[_Sent] | DataFrame:
+    """Broadcast a model (``what`` 0 gram or 1 history, ``gram``, ``v``) shard by shard.
+
+    A model of more than ``most_rows`` rows comes back as a stored table of ``key`` and ``v``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,8 +339,8 @@ def send(model: DataFrame, order: int, shard_rows: int = SHARD_ROWS) -> list[_Se
         )
     )
     rows = keyed.count()
-    if rows > MOST_ROWS:
-        raise ValueError(f"{rows} rows of a model; lower the order or raise MOST_ROWS")
+    if rows > most_rows:
+        return keyed
     shards = max(1, math.ceil(rows / shard_rows))
     shard = F.shiftrightunsigned(F.col("key"), 33) % shards
     sent = []
@@ -329,7 +361,7 @@ class _Numbers(dict):
 
 def sums_over(
     docs: DataFrame,
-    sent: list[_Sent],
+    sent: list[_Sent] | DataFrame,
     order: int,
     score: Callable[[Letters, Tables], tuple[np.ndarray, np.ndarray]],
     keep: str,
@@ -338,8 +370,11 @@ def sums_over(
 
     ``score(letters, tables)`` gives the value and the size of each word of a
     block, marks included. ``docs`` has the columns of the schema ``keep``, and
-    ``text`` last. A word is scored once in a block of documents.
+    ``text`` last. A word is scored once in a block of documents. ``sent`` is
+    what :func:`send` returned.
     """
+    if isinstance(sent, DataFrame):
+        return _sums_joined(docs, sent, order, score, keep)
     kept = [c.split()[0] for c in keep.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,3 +403,96 @@ def sums_over(
                 )
 
     return docs.mapInArrow(releasing(run), f"{keep}, total double, n long")
+
+
+def _word_counts(docs: DataFrame, keep: str) -> DataFrame:
+    """Columns of ``keep``, ``same``, ``word``, ``times``: how often a row says each word.
+
+    Rows that say the same share ``same``, a digest of the text. Each row has one
+    line more, without a word, so that empty texts are kept and equal rows can be counted.
+    """
+    kept = [c.split()[0] for c in keep.split(", ")]
+    rows = docs.select(*kept, F.unhex(F.sha2("text", 256)).alias("same"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, BLOCK_BYTES):
+                at, words, times = [], [], []
+                for i, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    counted = Counter(words_of(text))
+                    at += [i] * (len(counted) + 1)
+                    words += [None, *counted]
+                    times += [1, *counted.values()]
+                for a in range(0, len(at), WORDS_HELD):
+                    some = slice(a, a + WORDS_HELD)
+                    rest = [c.take(pa.array(at[some], pa.int64())) for c in part.columns[:-1]]
+                    yield pa.record_batch(
+                        [*rest, pa.array(words[some], pa.string()), pa.array(times[some], pa.int64())],
+                        [*kept, "same", "word", "times"],
+                    )
+
+    return rows.mapInArrow(releasing(run), f"{keep}, same binary, word string, times long")
+
+
+def _word_values(words: DataFrame, model: DataFrame, order: int, score: Callable) -> DataFrame:
+    """``word``, ``value``, ``size`` of distinct words, by a join of their grams with the model.
+
+    Words are dealt into blocks of about ``WORDS_JOINED`` by hash. A block asks for
+    each of its keys once, so that a gram of every word is one row a block; the rows
+    found come back to the block's words, which are scored as with a broadcast model.
+    """
+    blocks = max(1, math.ceil(words.count() / WORDS_JOINED))
+    words = words.withColumn("block", F.pmod(F.xxhash64("word", F.lit(7)), F.lit(blocks)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 1 << 17):
+                block = part.column(1).to_numpy()
+                named = np.array(part.column(0).to_pylist(), object)
+                for b in np.unique(block).tolist():
+                    asked = _Asked()
+                    score(Letters([BEGIN + w + END for w in named[block == b]], order), asked)
+                    keys = np.unique(np.concatenate(asked.keys)).view(np.int64)
+                    yield pa.record_batch(
+                        [pa.array(np.full(len(keys), b, np.int64)), pa.array(keys)], ["block", "key"]
+                    )
+
+    def judge(key, words, found):
+        names = words["word"].tolist()
+        held = _Block(found["key"].to_numpy(np.int64).view(np.uint64), found["v"].to_numpy(np.float32))
+        v, n = score(Letters([BEGIN + w + END for w in names], order), Tables([held]))
+        return words[["word"]].assign(value=v, size=n)
+
+    ordered = words.repartition("block").sortWithinPartitions("block")
+    keys = ordered.mapInArrow(releasing(ask), "block long, key long").distinct()
+    found = keys.join(model, "key").select("block", "key", "v")
+    return (
+        words.groupBy("block")
+        .cogroup(found.groupBy("block"))
+        .applyInPandas(judge, "word string, value double, size long")
+    )
+
+
+def _sums_joined(
+    docs: DataFrame, model: DataFrame, order: int, score: Callable, keep: str
+) -> DataFrame:
+    """:func:`sums_over` for a model that is joined: by word, then by document.
+
+    A word that all documents say is one row a document; such words are counted as
+    hot and salted by ``attach``.
+    """
+    kept = [c.split()[0] for c in keep.split(", ")]
+    counted = stored(_word_counts(docs, keep))
+    words = stored(counted.where("word IS NOT NULL").select("word").distinct())
+    values = stored(_word_values(words, model, order, score))
+    said = attach(counted, values, ["word"], "left")
+    sums = said.groupBy(*kept, "same").agg(
+        F.sum(F.when(F.col("word").isNull(), F.col("times"))).alias("rows"),
+        F.sum(F.col("times") * F.coalesce("value", F.lit(0.0))).alias("total"),
+        F.sum(F.col("times") * F.coalesce("size", F.lit(0))).alias("n"),
+    )
+    rows = F.col("rows")
+    each = sums.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), rows)))
+    return each.select(
+        *kept, (F.col("total") / rows).alias("total"), (F.col("n") / rows).cast("long").alias("n")
+    )

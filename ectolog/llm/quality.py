@@ -103,7 +103,9 @@ def thresholds(scored: DataFrame, upper: float = UPPER, spread: float = SPREAD)
     )
 
 
-def _judged(docs: DataFrame, trusted_ids: DataFrame, order: int, shard_rows: int) -> DataFrame:
+def _judged(
+    docs: DataFrame, trusted_ids: DataFrame, order: int, shard_rows: int, most_rows: int
+) -> DataFrame:
     """``row``, ``doc_id``, ``lang``, ``n``, ``log_perplexity``, ``own_limit``, ``accepted``.
 
     Everything is scored once; the limits come from the trusted ones among it.
@@ -111,7 +113,7 @@ def _judged(docs: DataFrame, trusted_ids: DataFrame, order: int, shard_rows: int
     ids = stored(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
     rows = _rows(docs)
     model, n_letters = train(rows.join(bounded(ids), "doc_id", "left_semi"), order)
-    sent = kn.send(model, order, shard_rows)
+    sent = kn.send(model, order, shard_rows, most_rows)
     sums = kn.sums_over(rows, sent, order, _scorer(order, n_letters), _KEEP)
     mean = F.when(F.col("n") > 0, -F.col("total") / F.col("n"))
     scored = stored(sums.select("row", "doc_id", "lang", "n", mean.alias("log_perplexity")))
@@ -125,13 +127,14 @@ def _judged(docs: DataFrame, trusted_ids: DataFrame, order: int, shard_rows: int
 
 
 def classify(
-    docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS
+    docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS,
+    most_rows: int = kn.MOST_ROWS,
 ) -> DataFrame:
     """``doc_id``, ``lang``, ``perplexity``, ``limit``, ``accepted`` of each document.
 
     ``trusted_ids`` has the ``doc_id`` of trusted documents among ``docs``.
     """
-    return _judged(docs, trusted_ids, order, shard_rows).select(
+    return _judged(docs, trusted_ids, order, shard_rows, most_rows).select(
         "doc_id",
         "lang",
         F.exp("log_perplexity").alias("perplexity"),
@@ -141,13 +144,14 @@ def classify(
 
 
 def kept_rows(
-    docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS
+    docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS,
+    most_rows: int = kn.MOST_ROWS,
 ) -> DataFrame:
     """The rows of ``docs`` that are accepted, with all their columns.
 
     Rejected rows are named by what they say, so that rows without an id or with
     the same one are told apart.
     """
-    judged = _judged(docs, trusted_ids, order, shard_rows)
+    judged = _judged(docs, trusted_ids, order, shard_rows, most_rows)
     bad = stored(judged.where("NOT accepted").select(F.col("row").alias("__row")).distinct())
     return docs.join(bounded(bad), _row(docs) == F.col("__row"), "left_anti")

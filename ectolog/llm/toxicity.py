@@ -95,14 +95,15 @@ def _scorer(order: int):
 
 
 def values(
-    docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS
+    docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS,
+    most_rows: int = kn.MOST_ROWS,
 ) -> DataFrame:
     """``doc_id`` and ``value``: toxic minus ordinary log-likelihood per word.
 
     A toxic text draws a share of its words from the toxic model and the others
     from the ordinary one, so that its ordinary words weigh next to nothing.
     """
-    sent = kn.send(model, order, shard_rows)
+    sent = kn.send(model, order, shard_rows, most_rows)
     sums = kn.sums_over(id_and_text(docs), sent, order, _scorer(order), "doc_id long")
     return sums.select(
         "doc_id", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("value")
@@ -147,7 +148,8 @@ def curve(scored: DataFrame) -> tuple[float, float]:
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS
+    docs: DataFrame, labels: DataFrame, order: int = ORDER, shard_rows: int = kn.SHARD_ROWS,
+    most_rows: int = kn.MOST_ROWS,
 ) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted``, ``value`` of each document.
 
@@ -159,7 +161,7 @@ def score(
     learnt = stored(known.where(~fold(F.col("doc_id")).isin(0, CURVE_FOLD)))
     texts = id_and_text(docs)
     model = train(texts.join(bounded(learnt), "doc_id").select("kind", "text"), order)
-    scored = stored(values(docs, model, order, shard_rows))
+    scored = stored(values(docs, model, order, shard_rows, most_rows))
     shown = known.where(fold(F.col("doc_id")) == CURVE_FOLD)
     a, b = curve(scored.join(shown, "doc_id").select("value", "kind"))
     p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("value"))))
