@@ -10,8 +10,9 @@ Records are made where the pages are read; nothing is shuffled.
 Defined cases: a null page is an empty payload and still gives both records; a
 null address gives no ``WARC-Target-URI``; line ends in header values are
 percent-encoded; a hidden element that is never closed ends with the page (a head is
-none: its end tag is optional, and text that stands in it belongs to the body); repeated
-rows give repeated records; an empty table gives an empty table; columns other than
+none: its end tag is optional, and text that stands in it belongs to the body); a tag that
+is not finished before the next ``<`` is text; pages of any length and of any unfinished
+tags are read once from front to back; repeated rows give repeated records; an empty table gives an empty table; columns other than
 the three are ignored.
 """
 
@@ -42,16 +43,20 @@ BLOCKS = (
 ).split()
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_HIDDEN = re.compile(rf"<({'|'.join(HIDDEN)})(?![a-z0-9-])[^>]*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(
-    rf"</?(?:{'|'.join(BLOCKS)})(?![a-z0-9-])(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>", re.I
+# A hidden element's start tag ends at the next ">". Without one, the match takes the rest of
+# the page and stays as it is, so that no character is looked at from a second start.
+_HIDDEN = re.compile(
+    rf"<({'|'.join(HIDDEN)})(?![a-z0-9-])[^>]*+(?:(>).*?(?:</\1\s*>|\Z)|\Z)", re.S | re.I
 )
-_TAG = re.compile(r"<[a-zA-Z/!?](?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>")
-_TITLE = re.compile(r"<title\b[^>]*+>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_LINK = re.compile(
-    r"<(a|area|link|img|script|iframe)\s(?:[^>]*?\s)?(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
-    re.I,
+# A tag ends at ">", or unfinished before the next "<" or a quote that is never closed. Unfinished
+# ones are matched too: the search goes on behind them, so that a page is scanned once.
+_TAG = re.compile(
+    r"<(?:/?([a-zA-Z][a-zA-Z0-9-]*+)|[/!?])(?:\"[^\"]*+\"|'[^']*+'|[^<>\"'])*+(>?)"
 )
+_TITLE = re.compile(r"<title\b[^<>]*+>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
+_LINKING = {"a", "area", "link", "img", "script", "iframe"}
+_ADDRESS = re.compile(r"\s(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ENDS_LINE = frozenset(BLOCKS)
 _SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
 
 SCHEMA = (
@@ -72,10 +77,17 @@ def record_id(kind: str, *parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
+def _in_place_of(tag: re.Match) -> str:
+    """Nothing or a line end for a tag; an unfinished one is text."""
+    if not tag[2]:
+        return tag[0]
+    return "\n" if tag[1] and tag[1].lower() in _ENDS_LINE else ""
+
+
 def plain_text(page: str) -> str:
     """Text of a page, a line for each block with text in it."""
-    page = _HIDDEN.sub("\n", _COMMENT.sub("", page))
-    page = html.unescape(_TAG.sub("", _BLOCK.sub("\n", page)))
+    page = _HIDDEN.sub(lambda m: "\n" if m[2] else m[0], _COMMENT.sub("", page))
+    page = html.unescape(_TAG.sub(_in_place_of, page))
     lines = (_SPACES.sub(" ", line).strip() for line in page.split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -83,13 +95,17 @@ def plain_text(page: str) -> str:
 def links_of(page: str, base: str) -> list[dict[str, str]]:
     """Element, attribute and absolute address of each link, in order."""
     out = []
-    for m in _LINK.finditer(_COMMENT.sub("", page)):
-        address = html.unescape(m[3] or m[4] or m[5] or "").strip()
+    for tag in _TAG.finditer(_COMMENT.sub("", page)):
+        element = (tag[1] or "").lower()
+        m = _ADDRESS.search(tag[0]) if element in _LINKING and tag[0][1] != "/" else None
+        if m is None:
+            continue
+        address = html.unescape(m[2] or m[3] or m[4] or "").strip()
         try:
             address = urljoin(base, address)
         except ValueError:
             pass
-        out.append({"path": f"{m[1].lower()}@/{m[2].lower()}", "url": address})
+        out.append({"path": f"{element}@/{m[1].lower()}", "url": address})
     return out
 
 
