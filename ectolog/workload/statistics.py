@@ -271,6 +271,20 @@ def survival_glm(v):
     return survival.survival_glm(v.survlog, "survived", _line_terms()).tables(v.spark)["coefficients"]
 
 
+# One term for each sex: the penalised estimate adds half a survivor and half a death to each.
+@query(
+    "survival_penalised",
+    """WITH c AS (SELECT sex, count(*) + 1.0 AS n, sum(CASE WHEN survived THEN 1 ELSE 0 END) + 0.5 AS s
+                  FROM survlog WHERE survived IS NOT NULL AND sex IN ('ZWf', 'ZZm') GROUP BY sex)
+       SELECT sex AS term, R{ln(s / (n - s))} AS estimate,
+              R{sqrt(1 / ((n - 1) * (s / n) * (1 - s / n)))} AS se FROM c""",
+)
+def survival_penalised(v):
+    rows = v.survlog.filter(F.col("sex").isin("ZWf", "ZZm"))
+    terms = {sex: F.when(F.col("sex") == sex, 1.0).otherwise(0.0) for sex in ("ZWf", "ZZm")}
+    return survival.survival_penalised(rows, "survived", terms).tables(v.spark)["coefficients"]
+
+
 @query("survival_glm_sine", _sine_sql())
 def survival_glm_sine(v):
     fit = survival.survival_glm(v.survlog, "survived", {"trait": F.col("trait")}, link="sine")
