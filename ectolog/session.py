@@ -65,6 +65,25 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
+#: Rows that go to a Python task at a time.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def rows_at_a_time(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Queries run inside hand at most so many rows at once to Python.
+
+    A batch stands twice in an executor's own memory while it grows and once in the
+    Python task, so tables of long texts want small ones.
+    """
+    before = spark.conf.get(BATCH_ROWS, None)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_ROWS) if before is None else spark.conf.set(BATCH_ROWS, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut lineage with a reliable checkpoint."""
     spark = df.sparkSession

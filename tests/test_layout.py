@@ -95,3 +95,18 @@ def test_whole_numbers_keep_their_zeros(spark):
     for digits, want in ((0, {"100", "20", "0", "1234"}), (3, {"100", "20.5", "0", "1234"})):
         row = sources.history_rows(F.lit(True), [], [F.col("x")], digits=digits)
         assert {r[0].split("\t")[1][:-1] for r in df.select(row.alias("r")).collect()} == want
+
+
+def test_batches_of_a_query_are_bounded_inside_only(spark):
+    from ectolog.session import BATCH_ROWS, rows_at_a_time
+
+    def largest():
+        sizes = spark.range(0, 1_000, 1, 1).mapInPandas(
+            lambda batches: (b[:1].assign(id=len(b)) for b in batches), "id long"
+        )
+        return max(r["id"] for r in sizes.collect())
+
+    before = spark.conf.get(BATCH_ROWS, None)
+    with rows_at_a_time(spark, 64):
+        assert largest() == 64
+    assert spark.conf.get(BATCH_ROWS, None) == before and largest() == 1_000
