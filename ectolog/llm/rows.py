@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ectolog.session import scratch_path, shuffles_freed
+from ectolog.session import rows_at_a_time, scratch_path, shuffles_freed
 
 #: Spaces of the word patterns; ``bytes.split()`` without arguments splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -37,11 +38,15 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Texts that go to a Python task at a time where a table is stored.
+TEXTS_AT_A_TIME = 2_000
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A table written to the shared folder and read again: compressed, unlike a checkpoint."""
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    with shuffles_freed(spark):
+    with shuffles_freed(spark), rows_at_a_time(spark, TEXTS_AT_A_TIME):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,5 +68,7 @@ def releasing(run: Callable) -> Callable:
         # By now the task's own tables and batches are gone.
         gc.collect()
         pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
     return whole
