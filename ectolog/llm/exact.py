@@ -55,10 +55,13 @@ def groups(stream: DataFrame) -> DataFrame:
 
 
 #: State in RocksDB; checkpoints carry what changed, and no file is allocated ahead of its content.
+#: All partitions of an executor share one bound of memory.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 
