@@ -111,3 +111,25 @@ def test_feed_that_stops_closes_every_hour(spark, tmp_path):
     finally:
         query.stop()
     assert closing.open_hours(spark, place.state).count() == 0
+
+
+def test_individuals_share_the_states_of_an_hour(spark, tmp_path):
+    """A state an hour and individual costs milliseconds each; many individuals lie in a few."""
+    place = Place(spark, tmp_path)
+    k = np.arange(3000)
+    rows = feed(k % 90).assign(id=(k % 1000) + 2**60)
+    rows.loc[rows.index[:30], "ms2"] = np.nan
+    place.add(rows)
+    nobody = rows[:7].assign(id=None).astype({"id": "Int64"})
+    rows_of = spark.createDataFrame([(t.to_pydatetime(), None, 1.0, 20.0) for t in nobody["ts"]], SCHEMA)
+    rows_of.write.mode("append").parquet(place.src)
+    got = closing.run_to_end(place.stream(), place.out, place.state)
+    named = got.where("id IS NOT NULL").selectExpr("start", "id - 1152921504606846976 AS id", "p95", "tb", "n").toPandas()
+    want = in_batch(rows.assign(id=rows["id"] - 2**60))
+    same(named, want)
+    assert [tuple(r) for r in got.where("id IS NULL").select("p95", "tb", "n").collect()] == [(1.0, 20.0, 7)]
+    held = closing.open_hours(spark, place.state)
+    assert held.count() == len(want) + 1
+    assert held.where("size(vals) <> size(counts) OR aggregate(counts, 0L, (a, x) -> a + x) > n").isEmpty()
+    states = spark.read.format("statestore").load(place.state).count()
+    assert states <= 2 * (closing.SHARES + 1) < len(want)
