@@ -12,7 +12,9 @@ grid of penalties:
 
 Rows come in as cells (id, design levels) -> (n, Σy, Σ(y - mean)²). The number
 of cells of one individual is bounded by the design (temperature bins x
-factor levels), whatever the number of readings.
+factor levels), whatever the number of readings. Tasks get codes and counts, and
+make one design row for each combination that occurs. Z'Z, Z'X and Z'y of every
+individual are summed and stored once; a pass over penalties reads only these.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ectolog.session import settle
+from ectolog.stats.design import Design, spline_values
 
 
 @dataclass
@@ -73,96 +77,147 @@ def by_individual(cells: DataFrame, id_col: str) -> DataFrame:
     return settle(cells.repartition(id_col).sortWithinPartitions(id_col))
 
 
-def block_parts(pdf: pd.DataFrame):
-    """Per-individual cross products of a batch of whole individuals."""
-    x = np.vstack(pdf["_x"].to_numpy())
-    z = np.vstack(pdf["_z"].to_numpy())
-    n, sy = pdf["_n"].to_numpy(float), pdf["_sy"].to_numpy(float)
-    ids = pdf["_id"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    zn = z * n[:, None]
-    zz = np.add.reduceat(zn[:, :, None] * z[:, None, :], starts, axis=0)
-    zx = np.add.reduceat(zn[:, :, None] * x[:, None, :], starts, axis=0)
-    zy = np.add.reduceat(z * sy[:, None], starts, axis=0)
-    return x, z, n, sy, starts, zz, zx, zy
+#: Individuals whose cells are counted at once, and whose blocks are solved at once.
+COUNTED = 64
+SOLVED = 2048
 
 
-def block_sums(
-    cells: DataFrame,
-    id_col: str | None,
-    x_cols: Sequence[Column],
-    z_cols: Sequence[Column],
-    penalties: Sequence[np.ndarray],
-) -> list[Sums]:
-    """One pass over the cells; a list of :class:`Sums`, one per penalty.
+@dataclass
+class Parts:
+    """Sums over all cells, and those of each individual as a stored table of rows ``v``."""
 
-    With blocks, the cells must come from :func:`by_individual`.
-    """
-    p = len(x_cols)
-    rows = cells.select(
+    p: int
+    k: int
+    fixed: np.ndarray
+    blocks: DataFrame | None
+
+
+class _Rows:
+    """The design rows of a batch's cells, one for each combination of levels and x."""
+
+    def __init__(self, pdf: pd.DataFrame, design: Design, kind: str | None):
+        codes = {c: pdf[c].to_numpy() for c in pdf.columns if c.startswith("_f_")}
+        x, at = np.unique(pdf["_x"].to_numpy(float), return_inverse=True)
+        for f, levels in design.factors.items():
+            at = at * (len(levels) + 1) + codes[f"_f_{f}"] + 1
+        _, first, self.at = np.unique(at, return_index=True, return_inverse=True)
+        x = pdf["_x"].to_numpy(float)[first]
+        self.x = design.values({c: v[first] for c, v in codes.items()}, x)
+        self.z = spline_values(x, design.lo, design.hi, design.size) if kind == "curve" else np.ones((len(x), 1))
+
+    def sums(self, who: np.ndarray, size: int, weight: np.ndarray) -> np.ndarray:
+        """``weight`` by individual and combination."""
+        width = len(self.x)
+        return np.bincount(who * width + self.at, weight, size * width).reshape(size, width)
+
+
+def _together(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch of whole individuals, ``COUNTED`` of them at a time; ``_who`` numbers them."""
+    ids = pdf["_id"]
+    who = np.cumsum(np.r_[0, ids.to_numpy()[1:] != ids.to_numpy()[:-1]]) if len(pdf) else np.zeros(0, np.int64)
+    pdf = pdf.assign(_who=who)
+    for at in range(0, int(who[-1]) + 1 if len(who) else 0, COUNTED):
+        low, high = np.searchsorted(who, [at, at + COUNTED])
+        part = pdf.iloc[low:high]
+        yield part.assign(_who=part["_who"] - at)
+
+
+def _parts(pdf: pd.DataFrame, rows: _Rows):
+    """Z'Z, Z'X and Z'y of each individual."""
+    who = pdf["_who"].to_numpy(np.int64)
+    size = int(who[-1]) + 1
+    n, sy = (rows.sums(who, size, pdf[c].to_numpy(float)) for c in ("_n", "_sy"))
+    k, p = rows.z.shape[1], rows.x.shape[1]
+    zz = (n @ (rows.z[:, :, None] * rows.z[:, None, :]).reshape(-1, k * k)).reshape(size, k, k)
+    zx = (n @ (rows.z[:, :, None] * rows.x[:, None, :]).reshape(-1, k * p)).reshape(size, k, p)
+    return n, sy, zz, zx, sy @ rows.z
+
+
+def _cell_columns(cells: DataFrame, id_col: str | None, design: Design, *more: str) -> DataFrame:
+    return cells.select(
         (F.col(id_col) if id_col else F.lit(0)).alias("_id"),
-        F.array(*x_cols).alias("_x"),
-        F.array(*(z_cols or [F.lit(0.0)])).alias("_z"),
+        *design.codes(),
         F.col("n").cast("double").alias("_n"),
-        F.col("sy").alias("_sy"),
-        F.col("syy").alias("_syy"),
+        F.col("sy").cast("double").alias("_sy"),
+        *more,
     )
-    has_blocks = bool(z_cols)
+
+
+def individual_parts(cells: DataFrame, id_col: str | None, design: Design, kind: str | None) -> Parts:
+    """The sums of one model, from one pass over the cells.
+
+    With blocks, the cells must come from :func:`by_individual`.
+    """
+    p = len(design.names())
+    k = 0 if kind is None else design.size if kind == "curve" else 1
+    rows = _cell_columns(cells, id_col if kind else None, design, F.col("syy").alias("_syy"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fixed = np.zeros(p * p + p + 3)
-        width = 2 * p * p + 2 * p + 4
+        for pdf in whole_ids(batches, "_id") if kind else batches:
+            blocks = []
+            for part in _together(pdf):
+                found = _Rows(part, design, kind)
+                n, sy, zz, zx, zy = _parts(part, found)
+                size = len(n)
+                n, sy = n.sum(axis=0), sy.sum(axis=0)
+                xx = (found.x * n[:, None]).T @ found.x
+                fixed += np.r_[xx.ravel(), found.x.T @ sy, part["_syy"].sum(), n.sum(), size]
+                if kind:
+                    blocks.append(np.concatenate([zz.reshape(size, -1), zx.reshape(size, -1), zy], axis=1))
+            if blocks:
+                yield pd.DataFrame({"fixed": False, "v": list(np.concatenate(blocks))})
+        yield pd.DataFrame({"fixed": [True], "v": [fixed]})
+
+    found = settle(rows.mapInPandas(run, "fixed boolean, v array<double>"))
+    total = found.where("fixed").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    fixed = np.zeros(p * p + p + 3)
+    for i, v in total.collect():
+        fixed[i] = v
+    if not kind:
+        fixed[-1] = 0
+    return Parts(p, k, fixed, found.where("NOT fixed").select("v") if kind else None)
+
+
+def block_sums(parts: Parts, penalties: Sequence[np.ndarray]) -> list[Sums]:
+    """One pass over the individuals; a list of :class:`Sums`, one per penalty."""
+    p, k = parts.p, parts.k
+    width = 2 * p * p + 2 * p + 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(penalties), width))
-        for pdf in whole_ids(batches, "_id") if has_blocks else batches:
-            if not has_blocks:
-                x = np.vstack(pdf["_x"].to_numpy())
-                n, sy = pdf["_n"].to_numpy(float), pdf["_sy"].to_numpy(float)
-                count = 0
-            else:
-                x, _, n, sy, starts, zz, zx, zy = block_parts(pdf)
-                count = len(starts)
-            fixed += np.r_[
-                ((x * n[:, None]).T @ x).ravel(), x.T @ sy, pdf["_syy"].sum(), n.sum(), count
-            ]
-            if not has_blocks:
-                continue
-            for t, pen in enumerate(penalties):
-                b = zz + pen[None]
-                right = np.concatenate([zx, zy[:, :, None], np.broadcast_to(pen, b.shape)], axis=2)
-                sol = np.linalg.solve(b, right)
-                bc, bz, bp = sol[:, :, :p], sol[:, :, p], sol[:, :, p + 1 :]
-                pbc = np.einsum("kl,ilp->ikp", pen, bc)
-                pbz = np.einsum("kl,il->ik", pen, bz)
-                sums[t] += np.r_[
-                    np.einsum("ikp,ikq->pq", zx, bc).ravel(),
-                    np.einsum("ikp,ik->p", zx, bz),
-                    (zy * bz).sum(),
-                    np.linalg.slogdet(b)[1].sum(),
-                    np.einsum("ikk->", bp),
-                    np.einsum("ikp,ikq->pq", bc, pbc).ravel(),
-                    np.einsum("ikp,ik->p", bc, pbz),
-                    (bz * pbz).sum(),
-                ]
-        out = [(-1, fixed.tolist())] + [(t, s.tolist()) for t, s in enumerate(sums)]
-        yield pd.DataFrame(out, columns=["t", "v"])
-
-    parts = rows.mapInPandas(run, "t int, v array<double>")
-    total = (
-        parts.select("t", F.posexplode("v").alias("i", "v"))
-        .groupBy("t", "i")
-        .agg(F.sum("v").alias("v"))
-        .collect()
-    )
-    got: dict[int, dict[int, float]] = {}
-    for r in total:
-        got.setdefault(r["t"], {})[r["i"]] = r["v"]
-    flat = {t: np.array([d[i] for i in range(len(d))]) for t, d in got.items()}
-    f = flat[-1]
+        for batch in batches:
+            held = batch.column(0).flatten().to_numpy().reshape(-1, k * k + k * p + k)
+            for at in range(0, len(held), SOLVED):
+                part = held[at : at + SOLVED]
+                zz, zx = part[:, : k * k].reshape(-1, k, k), part[:, k * k : -k].reshape(-1, k, p)
+                # Z'X and Z'y side by side: one product gives all sums of a kind.
+                right = np.concatenate([zx, part[:, -k:, None]], axis=2)
+                for t, pen in enumerate(penalties):
+                    b = zz + pen[None]
+                    inverse = np.linalg.inv(b)
+                    solved = inverse @ right
+                    flat = solved.reshape(-1, p + 1)
+                    plain = right.reshape(-1, p + 1).T @ flat
+                    bent = flat.T @ (pen @ solved).reshape(-1, p + 1)
+                    sums[t] += np.r_[
+                        plain[:p, :p].ravel(), plain[:p, p], plain[p, p], np.linalg.slogdet(b)[1].sum(),
+                        (inverse * pen).sum(), bent[:p, :p].ravel(), bent[:p, p], bent[p, p],
+                    ]
+        held = pa.ListArray.from_arrays(np.arange(len(sums) + 1, dtype=np.int32) * width, pa.array(sums.ravel()))
+        yield pa.record_batch([pa.array(range(len(sums)), pa.int32()), held], ["t", "v"])
+
+    flat = np.zeros((len(penalties), width))
+    if parts.blocks is not None:
+        found = parts.blocks.mapInArrow(run, "t int, v array<double>")
+        total = found.select("t", F.posexplode("v").alias("i", "v")).groupBy("t", "i").agg(F.sum("v").alias("v"))
+        for t, i, v in total.collect():
+            flat[t, i] = v
+    f = parts.fixed
     xx, xy = f[: p * p].reshape(p, p), f[p * p : p * p + p]
     yy, n, ids = f[p * p + p :]
     out = []
-    for t in range(len(penalties)):
-        s = flat[t]
+    for s in flat:
         a, b = p * p, p * p + p
         c = b + 3
         out.append(
@@ -178,8 +233,8 @@ def block_sums(
 def predict_cells(
     cells: DataFrame,
     id_col: str,
-    x_cols: Sequence[Column],
-    z_cols: Sequence[Column],
+    design: Design,
+    kind: str,
     penalty: np.ndarray,
     beta: np.ndarray,
     hinv: np.ndarray,
@@ -192,32 +247,32 @@ def predict_cells(
     Cells with ``n = 0`` add nothing to a block and are only predicted.
     ``cells`` must hold each individual's rows together, sorted by individual.
     """
-    rows = cells.select(
-        F.col(id_col).alias("_id"),
-        F.array(*x_cols).alias("_x"),
-        F.array(*z_cols).alias("_z"),
-        F.col("n").cast("double").alias("_n"),
-        F.col("sy").alias("_sy"),
-        *keep,
-    )
+    rows = _cell_columns(cells, id_col, design, *keep)
     types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["fit double", "se double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_ids(batches, "_id"):
-            x, z, _, _, starts, zz, zx, zy = block_parts(pdf)
-            which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pdf)]))
-            b = zz + penalty[None]
-            binv = np.linalg.inv(b)
-            coef = np.einsum("ikl,il->ik", binv, zy - zx @ beta)
-            pull = np.einsum("ikl,ilp->ikp", binv, zx)[which]
-            away = x - np.einsum("mk,mkp->mp", z, pull)
-            own = np.einsum("mk,mkl,ml->m", z, binv[which], z)
-            var = own + np.einsum("mp,pq,mq->m", away, hinv, away)
-            out = pdf[list(keep)].copy()
-            out["fit"] = x @ beta + (z * coef[which]).sum(axis=1) + offset
-            out["se"] = np.sqrt(np.maximum(var * sigma2, 0))
-            yield out
+            for part in _together(pdf):
+                found = _Rows(part, design, kind)
+                _, _, zz, zx, zy = _parts(part, found)
+                inverse = np.linalg.inv(zz + penalty[None])
+                coef = np.einsum("ikl,il->ik", inverse, zy - zx @ beta)
+                fixed = found.x @ beta + offset
+                who = part["_who"].to_numpy()
+                ends = np.searchsorted(who, np.arange(len(zz) + 1))
+                fit, var = np.empty(len(part)), np.empty(len(part))
+                for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                    at = found.at[a:b]
+                    x, z = found.x[at], found.z[at]
+                    pull = z @ inverse[i]
+                    away = x - pull @ zx[i]
+                    fit[a:b] = fixed[at] + z @ coef[i]
+                    var[a:b] = np.einsum("mk,mk->m", pull, z) + np.einsum("mp,mp->m", away @ hinv, away)
+                out = part[list(keep)].copy()
+                out["fit"] = fit
+                out["se"] = np.sqrt(np.maximum(var * sigma2, 0))
+                yield out
 
     return rows.mapInPandas(run, schema)
 

@@ -91,6 +91,32 @@ class Design:
             out += splines
         return out
 
+    def codes(self) -> list[Column]:
+        """Number of each factor's level as ``_f_<factor>``, -1 for others; what :meth:`values` reads."""
+        out = []
+        for f, levels in self.factors.items():
+            code = F.lit(-1)
+            for i, level in enumerate(levels):
+                code = F.when(F.col(f) == level, i).otherwise(code)
+            out.append(code.cast("int").alias(f"_f_{f}"))
+        x = F.lit(0.0) if self.x is None else F.col(self.x).cast("double")
+        return [*out, x.alias("_x")]
+
+    def values(self, codes: Mapping[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+        """Design rows inside a task, from the columns of :meth:`codes`."""
+        out = []
+        for _, _, levels in self._factor_columns():
+            col = np.ones(len(x))
+            for f, lv in levels.items():
+                col = col * (codes[f"_f_{f}"] == self.factors[f].index(lv))
+            out.append(col[:, None])
+        for level in self._levels():
+            splines = spline_values(x, self.lo, self.hi, self.size)[:, 1:]
+            if level is not None:
+                splines = splines * (codes[f"_f_{self.by}"] == self.factors[self.by].index(level))[:, None]
+            out.append(splines)
+        return np.concatenate(out, axis=1)
+
     def row(self, levels: Mapping[str, str]) -> np.ndarray:
         """Factor part of one design row (spline columns 0)."""
         cols = self._factor_columns()

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ectolog.session import settle
-from ectolog.stats.blocks import Sums, block_sums, by_individual, predict_cells, predict_fixed
-from ectolog.stats.design import Design, curvature, spline_columns
+from ectolog.stats.blocks import Parts, Sums, block_sums, by_individual, individual_parts, predict_cells, predict_fixed
+from ectolog.stats.design import Design, curvature
 from ectolog.stats.tails import _t_ppf, f_sf, range_sf, t_two_sided
 from ectolog.stats.wald import smooth_wald
 
@@ -136,37 +136,66 @@ def _logdet(m: np.ndarray | None) -> float:
     return 0.0 if m is None else float(np.linalg.slogdet(m)[1])
 
 
-def _fit(
-    df: DataFrame,
-    y: str,
-    design: Design,
-    id_col: str | None,
-    kind: str | None,
-    rounds: int,
-) -> Fit:
-    keys = [c for c in dict.fromkeys([id_col, design.x, *design.factors]) if c]
+@dataclass
+class Cells:
+    """Cells laid out by individual, and what all models of them share."""
+
+    rows: DataFrame
+    keys: list[str]
+    factors: dict[str, list[str]]
+    between: tuple[str, ...]
+    center: float
+    per_id: float
+    ends: tuple[float, ...]
+
+
+def _cells(
+    df: DataFrame, y: str, id_col: str | None, x: str | None, factors: Mapping[str, Sequence[str]], laid_out: bool
+) -> Cells:
+    keys = [c for c in dict.fromkeys([id_col, x, *factors]) if c]
     cells = model_cells(df, y, keys)
-    cells = by_individual(cells, id_col) if kind else settle(cells)
-    for f, levels in design.factors.items():
+    cells = by_individual(cells, id_col) if laid_out else settle(cells)
+    for f, levels in factors.items():
         stray = cells.filter(~F.col(f).isin(*levels)).select(f).first()
         if stray is not None:
             raise ValueError(f"{f} has the level {stray[0]!r}, which is not listed: see listed_rows")
-    between = _between(cells, id_col, list(design.factors)) if id_col else ()
-    span = [F.min(design.x), F.max(design.x)] if design.x is not None else []
+    between = _between(cells, id_col, list(factors)) if id_col else ()
+    span = [F.min(x), F.max(x)] if x is not None else []
     owners = F.approx_count_distinct(id_col) if id_col else F.lit(1)
     center, per_id, *ends = cells.agg(
         F.sum(F.col("n") * F.col("mean")) / F.sum("n"), F.sum("n") / owners, *span
     ).first()
-    if ends:
-        design.lo, design.hi = map(float, ends)
     off = F.col("mean") - F.lit(float(center))
-    cells = cells.withColumns(
-        {"sy": F.col("n") * off, "syy": F.col("ss") + F.col("n") * off * off}
-    )
+    rows = cells.withColumns({"sy": F.col("n") * off, "syy": F.col("ss") + F.col("n") * off * off})
+    levels = {f: list(found) for f, found in factors.items()}
+    return Cells(rows, keys, levels, between, float(center), float(per_id), tuple(map(float, ends)))
 
-    x_cols, size = design.columns(), design.size
+
+def smooth_cells(
+    df: DataFrame, y: str, x: str, factors: Mapping[str, Sequence[str]], id: str, step: float = 1.0
+) -> Cells:
+    """Readings as cells for several fits of :func:`fit_smooth`, merged and laid out once.
+
+    A fit may use some of the factors: it only sees finer cells than it needs, which
+    leaves all its sums the same.
+    """
+    return _cells(bin_x(df, x, step), y, id, x, factors, True)
+
+
+def _fit(cells: Cells, design: Design, id_col: str | None, kind: str | None, rounds: int) -> Fit:
+    between = tuple(f for f in cells.between if f in design.factors) if id_col else ()
+    center, per_id = cells.center, cells.per_id
+    if cells.ends:
+        design.lo, design.hi = cells.ends
+    parts = individual_parts(cells.rows, id_col, design, kind)
+    keys = [c for c in dict.fromkeys([id_col, design.x, *design.factors]) if c]
+    own = cells.rows
+    if keys != cells.keys:
+        own = own.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
+        own = own.repartition(id_col).sortWithinPartitions(id_col) if kind else own
+
+    size = design.size
     if kind == "curve":
-        z_cols = spline_columns(F.col(design.x).cast("double"), design.lo, design.hi, size)
 
         def block(theta: Sequence[float]) -> np.ndarray:
             return 10 ** theta[0] * curvature(size) + 10 ** theta[1] * np.eye(size)
@@ -176,7 +205,6 @@ def _fit(
         grid = [(a, b) for a in np.linspace(-1.0, top, 5) for b in np.linspace(-1.0, top, 5)]
         step = np.array([(top + 1.0) / 4] * 2)
     elif kind == "intercept":
-        z_cols = [F.lit(1.0)]
 
         def block(theta: Sequence[float]) -> np.ndarray:
             return np.array([[10 ** theta[0]]])
@@ -184,7 +212,7 @@ def _fit(
         grid = [(a,) for a in np.arange(-4.0, 9.1, 1.0)]
         step = np.array([1.0])
     else:
-        z_cols, grid, step, rounds = [], [()], np.array([]), 1
+        grid, step, rounds = [()], np.array([]), 1
 
         def block(theta: Sequence[float]) -> np.ndarray:
             return np.zeros((1, 1))
@@ -193,10 +221,10 @@ def _fit(
     null_space = shape.shape[0] - int(np.linalg.matrix_rank(shape))
     best = None
     for _ in range(rounds):
-        sums = block_sums(cells, id_col, x_cols, z_cols, [block(t) for t in grid])
+        sums = block_sums(parts, [block(t) for t in grid])
         smooths = _smooth_grid(sums[0], shape)
         for theta, s in zip(grid, sums, strict=True):
-            logdet = _logdet(block(theta)) if z_cols else 0.0
+            logdet = _logdet(block(theta)) if kind else 0.0
             for lam in smooths:
                 got = _solve(s, lam * shape, null_space, logdet)
                 if best is None or got["reml"] < best[0]["reml"]:
@@ -213,23 +241,23 @@ def _fit(
             grid = [(best[1][0] + i * step[0],) for i in moves] if kind else grid
     edge = None
     if kind == "intercept":
-        best, edge = _finish_ratio(best, cells, id_col, x_cols, z_cols, block, shape, null_space)
+        best, edge = _finish_ratio(best, parts, block, shape, null_space)
     if shape.any():
-        best = _finish_smooth(best, shape, null_space, _logdet(block(best[1])) if z_cols else 0.0)
+        best = _finish_smooth(best, shape, null_space, _logdet(block(best[1])) if kind else 0.0)
     got, theta, s, lam = best
     pen = lam * shape
     beta, hinv = got["beta"], got["hinv"]
     block_edf = 0.0
     penalties = float(beta @ pen @ beta)
-    if z_cols:
-        block_edf = s.ids * len(z_cols) - s.tr - float(np.trace(hinv @ s.cpc))
+    if kind:
+        block_edf = s.ids * parts.k - s.tr - float(np.trace(hinv @ s.cpc))
         penalties += float(s.zpz - 2 * beta @ s.cpz + beta @ s.cpc @ beta)
     edf = len(beta) - float(np.trace(hinv @ pen)) + block_edf
     return Fit(
         design=design, names=design.names(), coef=beta, hinv=hinv, sigma2=got["sigma2"],
         n=int(s.n), ids=int(s.ids), reml=got["reml"], edf=edf, rss=got["pss"] - penalties,
         null_dev=float(s.yy), center=float(center), smooth_penalty=lam, id_col=id_col,
-        kind=kind, cells=cells, block_penalty=block(theta) if z_cols else None, block_edf=block_edf,
+        kind=kind, cells=own, block_penalty=block(theta) if kind else None, block_edf=block_edf,
         edge=edge, between=between,
     )
 
@@ -254,7 +282,7 @@ def _between(cells: DataFrame, id_col: str, factors: list[str]) -> tuple[str, ..
 NO_VARIANCE = 8.9
 
 
-def _finish_ratio(best, cells, id_col, x_cols, z_cols, block, shape, null_space):
+def _finish_ratio(best, parts: Parts, block, shape, null_space):
     """The optimum of the variance ratio from a parabola through the last grid's neighbours."""
     _, (at,), _, lam = best
     if at >= NO_VARIANCE:
@@ -263,7 +291,7 @@ def _finish_ratio(best, cells, id_col, x_cols, z_cols, block, shape, null_space)
         return best, "only"
 
     def at_points(points):
-        sums = block_sums(cells, id_col, x_cols, z_cols, [block((p,)) for p in points])
+        sums = block_sums(parts, [block((p,)) for p in points])
         return [
             (_solve(s, lam * shape, null_space, _logdet(block((p,)))), (p,), s, lam)
             for p, s in zip(points, sums, strict=True)
@@ -306,11 +334,11 @@ def fit_random_intercept(
     one Spark job over the cells, and individuals are never collected.
     """
     design = Design({k: list(v) for k, v in factors.items()}, [tuple(i) for i in interactions])
-    return _fit(df, y, design, id, "intercept", rounds)
+    return _fit(_cells(df, y, id, None, design.factors, True), design, id, "intercept", rounds)
 
 
 def fit_smooth(
-    df: DataFrame,
+    df: DataFrame | Cells,
     y: str,
     x: str,
     factors: Mapping[str, Sequence[str]] | None = None,
@@ -327,14 +355,21 @@ def fit_smooth(
     ``by`` fits one curve per level of a factor. ``id`` adds a random
     intercept; ``id_curves`` a penalised curve of deviation per individual
     instead. x is binned to ``step`` first, which bounds the cells of any one
-    individual. Smoothness and variance ratios are chosen by REML.
+    individual. Smoothness and variance ratios are chosen by REML. Several fits
+    of the same rows can share :func:`smooth_cells` in place of ``df``.
     """
     design = Design(
         {k: list(v) for k, v in (factors or {}).items()},
         [tuple(i) for i in interactions], x=x, by=by, size=size,
     )
     kind = None if id is None else ("curve" if id_curves else "intercept")
-    return _fit(bin_x(df, x, step), y, design, id, kind, rounds)
+    if isinstance(df, Cells):
+        cells = df
+        if {f: cells.factors.get(f) for f in design.factors} != design.factors:
+            raise ValueError("the cells were made for other factors or levels")
+    else:
+        cells = _cells(bin_x(df, x, step), y, id, x, design.factors, kind is not None)
+    return _fit(cells, design, id, kind, rounds)
 
 
 def bin_x(df: DataFrame, x: str, step: float = 1.0) -> DataFrame:
@@ -362,12 +397,8 @@ def predict_fit(fit: Fit, new: DataFrame | None = None) -> DataFrame:
             *keys, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sy"), F.lit(True).alias("_show")
         )
         cells = cells.unionByName(asked).repartition(fit.id_col).sortWithinPartitions(fit.id_col)
-    if fit.kind == "curve":
-        z_cols = spline_columns(F.col(d.x).cast("double"), d.lo, d.hi, d.size)
-    else:
-        z_cols = [F.lit(1.0)]
     out = predict_cells(
-        cells, fit.id_col, d.columns(), z_cols, fit.block_penalty, fit.coef, fit.hinv,
+        cells, fit.id_col, d, fit.kind, fit.block_penalty, fit.coef, fit.hinv,
         fit.sigma2, [*keys, "_show"], fit.center,
     )
     return out.filter("_show").drop("_show")

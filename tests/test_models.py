@@ -211,3 +211,39 @@ def test_null_group_level_is_kept(spark):
     by = {r["h"]: r["se"] for r in anova.fit_group_means(
         df.withColumn("h", F.col("g")), "y", "g", by=["h"]).collect()}
     assert set(by) == {"a", None} and all(v is not None for v in by.values())
+
+
+def test_passes_over_penalties_read_one_row_an_individual(df):
+    """Cells are read once for a model; every later pass reads stored sums."""
+    from ectolog.stats import blocks
+
+    fit = mixed.fit_smooth(df, "y", "temp", FACTORS, id="id", id_curves=True, rounds=1)
+    parts = blocks.individual_parts(fit.cells, "id", fit.design, "curve")
+    assert parts.blocks.count() == fit.ids < fit.cells.count()
+    again = blocks.block_sums(parts, [fit.block_penalty])[0]
+    got = mixed._solve(again, fit.smooth_penalty * fit.design.penalty(), 0, 0.0)
+    assert got["beta"] == pytest.approx(fit.coef, abs=1e-8)
+
+
+def test_design_rows_of_tasks_equal_columns(df):
+    from ectolog.stats.design import Design
+
+    d = Design(FACTORS, [("season", "sex")], x="temp", by="sex", lo=0.0, hi=40.0)
+    rows = df.select(*[c.alias(f"c{i}") for i, c in enumerate(d.columns())], *d.codes()).toPandas()
+    made = d.values({c: rows[c].to_numpy() for c in rows if c.startswith("_f_")}, rows["_x"].to_numpy(float))
+    assert made == pytest.approx(rows.filter(regex="^c[0-9]").to_numpy(float), abs=1e-12)
+
+
+@pytest.mark.parametrize("options", [{}, {"id": "id"}, {"id": "id", "id_curves": True}])
+def test_fits_of_shared_cells_equal_fits_of_their_own(df, options):
+    shared = mixed.smooth_cells(df, "y", "temp", FACTORS, "id")
+    few = {"sex": FACTORS["sex"]}
+    a, b = (mixed.fit_smooth(rows, "y", "temp", few, rounds=1, **options) for rows in (df, shared))
+    assert (a.n, a.ids) == (b.n, b.ids)
+    assert b.rss == pytest.approx(a.rss) and b.aic == pytest.approx(a.aic)
+    x, y = (mixed.predict_fit(f).toPandas() for f in (a, b))
+    by = [c for c in x.columns if c in ("id", "temp", "sex")]
+    x, y = (t.drop_duplicates(by).sort_values(by) for t in (x, y))
+    assert len(x) == len(y) and y["fit"].to_numpy() == pytest.approx(x["fit"].to_numpy())
+    with pytest.raises(ValueError, match="other factors"):
+        mixed.fit_smooth(shared, "y", "temp", {"sex": ["ZZx"]}, **options)
