@@ -439,7 +439,7 @@ def smooth_curve(v):
 @query("model_compare_smooth")
 def model_compare_smooth(v):
     """The ten curve models, all of the rows with a listed sex and season."""
-    rows = mixed.listed_rows(v.seasonlog, FACTORS)
+    rows = mixed.smooth_cells(mixed.listed_rows(v.seasonlog, FACTORS), "ms2", "tsurf", FACTORS, "id")
     sex, season = {"sex": FACTORS["sex"]}, {"season": FACTORS["season"]}
     one, own = {"id": "id"}, {"id": "id", "id_curves": True}
     models = {
