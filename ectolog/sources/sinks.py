@@ -22,20 +22,32 @@ def write_snapshot(
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+#: Files a task may have open; rows of further partitions are sorted, and spilled where memory is short.
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+MOST_OPEN = 4
+
+
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace the partitions that ``df`` has rows of; all others stay as they are.
 
     Rows are dealt out by partition first, in shares of the advisory size, so that a
-    small partition is one file and a large one isn't one task. Files appear when the
-    whole write has succeeded; of a write that is killed nothing is seen.
+    small partition is one file and a large one isn't one task. A task has few partitions
+    then, and keeps their files open side by side in place of sorting its rows by them.
+    Files appear when the whole write has succeeded; of a write that is killed nothing is seen.
     """
-    (
-        df.hint("rebalance", *[F.col(c) for c in partition_by])
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
+    spark = df.sparkSession
+    before = spark.conf.get(OPEN_FILES, None)
+    spark.conf.set(OPEN_FILES, str(MOST_OPEN))
+    try:
+        (
+            df.hint("rebalance", *[F.col(c) for c in partition_by])
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*partition_by)
+            .parquet(path)
+        )
+    finally:
+        spark.conf.unset(OPEN_FILES) if before is None else spark.conf.set(OPEN_FILES, before)
 
 
 def write_bucketed(

@@ -110,3 +110,19 @@ def test_batches_of_a_query_are_bounded_inside_only(spark):
     with rows_at_a_time(spark, 64):
         assert largest() == 64
     assert spark.conf.get(BATCH_ROWS, None) == before and largest() == 1_000
+
+
+def test_partitions_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    """A task's files are open at once, its rows aren't sorted; more partitions than that still come out whole."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from ectolog.sources import sinks
+
+    seen, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, *a, **o: (seen.append(spark.conf.get(sinks.OPEN_FILES)), write(w, *a, **o))[1])
+    rows = spark.range(4000).select((F.col("id") % 11).alias("part"), "id")
+    before = spark.conf.get(sinks.OPEN_FILES, None)
+    sources.replace_partitions(rows.repartition(5), str(tmp_path / "t"), ["part"])
+    assert [int(n) for n in seen] == [sinks.MOST_OPEN] and spark.conf.get(sinks.OPEN_FILES, None) == before
+    found = spark.read.parquet(str(tmp_path / "t"))
+    assert found.count() == 4000 and found.where("id % 11 <> part").isEmpty()
