@@ -10,6 +10,23 @@ from pyspark.sql import functions as F
 from ectolog.functions import active_flag, strict
 
 
+#: Rows that one task groups.
+ROWS_A_TASK = 1_000_000
+
+
+def dealt(df: DataFrame, keys: Sequence[str], rows_a_task: int | None = None) -> DataFrame:
+    """Large tables dealt by ``keys`` over as many tasks as their rows need.
+
+    For groupings with nearly as many groups as rows: a task's table of groups would
+    grow with the input where the number of tasks is set once for a session. Tables
+    that this number suffices for stay as they are.
+    """
+    needed = -(-df.count() // (rows_a_task or ROWS_A_TASK))
+    if needed <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(needed, *keys)
+
+
 def mean_by(
     df: DataFrame, keys: Sequence[str], cols: Mapping[str, str], na: str = "skip"
 ) -> DataFrame:

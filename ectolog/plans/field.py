@@ -50,6 +50,7 @@ def deviations(
     if grain == "day":
         hourly = aggregate.replicate_unique(known)
     else:
+        known = aggregate.dealt(known, ["id", "date", "hr"])
         hourly = known.groupBy("id", "date", "hr", "season", "sex").agg(F.avg("tb").alias("tb"))
     out = joins.band_deviation(hourly, "tb", bands, lo_origin=lo_origin)
     return out.withColumn("ex", in_range_flag(F.col("db")))

@@ -126,3 +126,13 @@ def test_partitions_are_written_side_by_side(spark, tmp_path, monkeypatch):
     assert [int(n) for n in seen] == [sinks.MOST_OPEN] and spark.conf.get(sinks.OPEN_FILES, None) == before
     found = spark.read.parquet(str(tmp_path / "t"))
     assert found.count() == 4000 and found.where("id % 11 <> part").isEmpty()
+
+
+def test_large_groupings_get_tasks_by_their_rows(spark):
+    rows = spark.range(5000).select("id", (F.col("id") % 24).alias("hr"))
+    assert aggregate.dealt(rows, ["id"]) is rows
+    many = aggregate.dealt(rows, ["id", "hr"], rows_a_task=200)
+    assert many.rdd.getNumPartitions() == 25
+    plan = many.groupBy("id", "hr").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert many.groupBy("id", "hr").count().where("count = 1").count() == 5000
