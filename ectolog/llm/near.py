@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ectolog.llm.rows import bounded, pieces, stored
+from ectolog.llm.rows import bounded, pieces, releasing, stored
 from ectolog.llm.simhash import components
 from ectolog.session import settle
 
@@ -47,7 +47,7 @@ SKETCH_BITS = 1024
 #: Rounds in which each text is compared with one other, before all that is left.
 ROUNDS = 2
 #: Distinct words whose hashes a task remembers.
-WORDS_HELD = 500_000
+WORDS_HELD = 50_000
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -120,7 +120,7 @@ def _sets(texts: DataFrame, emit: Callable[[np.ndarray], tuple], schema: str) ->
                 columns = [pa.concat_arrays(c) for c in zip(*out)]
                 yield pa.record_batch(columns, names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(releasing(run), schema)
 
 
 def _filed(texts: DataFrame, crowded: np.ndarray) -> DataFrame:

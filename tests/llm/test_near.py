@@ -73,3 +73,12 @@ def test_near_stage_without_ids(spark, make, sf_dir):
     kept = sorted(map(repr, ((r["doc_id"], r["text"][-5:]) for r in got.collect())))
     assert kept == ["(4, '9 fin')", "(None, 'words')", "(None, 'words')"]
     assert corpus_pipeline.near_stage(spark, make([]), sf_dir).collect() == []
+
+
+def test_words_held_by_a_task_are_few():
+    """Three tasks of an executor with half a million words each don't fit beside its heap."""
+    words = near._Words()
+    for a in range(0, 200_000, 1000):
+        near.shingles(" ".join(f"w{i}" for i in range(a, a + 1000)), words)
+    assert 0 < len(words) <= 50_000
+    assert (near.shingles("w1 w2 w3 w4 w5", words) == near.shingles("w1 w2 w3 w4 w5", near._Words())).all()
