@@ -8,7 +8,9 @@ texts, and a set with n of them is filed under its first n - ceil(4n/5) + 1: two
 sets that are near share one of these, whatever the order, so no pair is lost.
 The order puts crowded shingles last, so that lists of texts under a shingle stay short.
 
-Texts with the same set are one node. Under each shingle, neighbours in node order
+Texts with the same set are one node. Each set also has a SimHash fingerprint, and nodes
+whose fingerprints link by Golay keys (``simhash.links``) are candidates first; the
+prefixes then find what a fingerprint can't promise. Under each shingle, neighbours in node order
 are compared and what is near is joined into components; then all pairs under a
 shingle that are still in different components are compared. Each comparison is
 of whole sets, by their 64-bit hashes; only pairs go that far whose sketches (the
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ectolog.llm.rows import bounded, pieces, releasing, stored
-from ectolog.llm.simhash import components
+from ectolog.llm.simhash import components, links, majority
 from ectolog.session import settle
 
 SHINGLE_WORDS = 5
@@ -201,6 +203,17 @@ def _sized(a: str, b: str) -> Column:
     return F.least(a, b) * down >= F.greatest(a, b) * up
 
 
+def linked(rows: DataFrame) -> DataFrame:
+    """Candidates ``a`` < ``b`` whose fingerprints link: the first node of each of two, or of the same one."""
+    first = settle(rows.groupBy("fp").agg(F.min("node").alias("first")))
+    met = stored(links(first))
+    for c in ("a", "b"):
+        met = met.join(first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")), c)
+    across = met.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    same = rows.join(first, "fp").where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return stored(across.union(same).distinct())
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``row``, ``doc_id``, ``root``: the component of each row of ``docs``."""
     texts = docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
@@ -208,10 +221,11 @@ def groups(docs: DataFrame) -> DataFrame:
     def emit(row, hashes):
         held = pa.ListArray.from_arrays(pa.array([0, SKETCH_BITS // 64], pa.int32()), pa.array(sketch_of(hashes)))
         node, n = node_of(hashes), len(hashes)
-        return pa.array([row], pa.int64()), pa.array([node], pa.int64()), pa.array([n], pa.int32()), held
+        fp = pa.array([majority(hashes)], pa.int64())
+        return pa.array([row], pa.int64()), pa.array([node], pa.int64()), pa.array([n], pa.int32()), held, fp
 
     ids = docs.select(_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    schema = "row long, node long, size int, sketch array<long>"
+    schema = "row long, node long, size int, sketch array<long>, fp long"
     rows = stored(_sets(texts, emit, schema).dropDuplicates(["row"]))
     first = rows.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     first = settle(first.where("n > 1").select("node", "first"))
@@ -230,7 +244,8 @@ def groups(docs: DataFrame) -> DataFrame:
     beside = met.select("node", "size", *before.values()).where(
         (F.col("last_node") < F.col("node")) & _sized("size", "last_size")
     )
-    beside = beside.select(F.col("last_node").alias("a"), F.col("node").alias("b")).distinct()
+    beside = beside.select(F.col("last_node").alias("a"), F.col("node").alias("b"))
+    beside = beside.union(linked(rows)).distinct()
     roots = settle(components(_near_pairs(beside, rows, texts)))
 
     rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

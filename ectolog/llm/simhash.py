@@ -47,6 +47,15 @@ SHINGLES_AT_ONCE = 1 << 16
 NODES_AT_ONCE = 1000
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed long; 0 of none."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), SHINGLES_AT_ONCE):
+        part = hashes[a : a + SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str) -> int:
     """Majority of the bits of the XXH64 of all word shingles, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split()

@@ -82,3 +82,14 @@ def test_words_held_by_a_task_are_few():
         near.shingles(" ".join(f"w{i}" for i in range(a, a + 1000)), words)
     assert 0 < len(words) <= 50_000
     assert (near.shingles("w1 w2 w3 w4 w5", words) == near.shingles("w1 w2 w3 w4 w5", near._Words())).all()
+
+
+def test_fingerprints_propose_pairs_first(make, monkeypatch):
+    """The stage takes its candidates from SimHash links as well; what they propose is verified."""
+    words = [f"v{i}" for i in range(400)]
+    other = [*words[:399], "other"]
+    docs = make([(1, " ".join(words)), (2, " ".join(other)), (3, "quite another text of a few words")])
+    seen, links = [], near.links
+    monkeypatch.setattr(near, "links", lambda nodes: (seen.append(nodes.count()), links(nodes))[1])
+    kept = sorted(r["doc_id"] for r in near.kept_rows(docs).select("doc_id").collect())
+    assert seen and kept == [1, 3]
