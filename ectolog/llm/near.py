@@ -15,7 +15,10 @@ are compared and what is near is joined into components; then all pairs under a
 shingle that are still in different components are compared. Each comparison is
 of whole sets, by their 64-bit hashes; only pairs go that far whose sketches (the
 parity of the hashes in each of ``SKETCH_BITS`` buckets) differ in no more bits
-than near sets can. Components are those of all near pairs.
+than near sets can. That many buckets say nothing of long texts, so these have a
+wide sketch too, of two to four buckets a shingle, for the pairs that pass. Whole sets
+are sent in parts of a bounded size, one after the other. Components are those of all
+near pairs.
 
 Defined cases: null texts count as empty; texts without words are one node; of a
 component the row with the smallest ``doc_id`` stays (rows without one come last,
@@ -25,6 +28,7 @@ go together; an empty table gives an empty table; other columns are kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +50,10 @@ CROWD = 100
 SAMPLE = 8
 MOST_CROWDED = 1_000_000
 SKETCH_BITS = 1024
+#: Buckets of a wide sketch for each shingle, at least.
+WIDE_BITS = 2
+#: Shingles that a part of the comparisons may send if its sets have no more.
+SENT_AT_ONCE = 16_000_000
 #: Rounds in which each text is compared with one other, before all that is left.
 ROUNDS = 2
 #: Distinct words whose hashes a task remembers.
@@ -82,12 +90,21 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def sketch_of(hashes: np.ndarray) -> np.ndarray:
+def sketch_of(hashes: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parities of the buckets; two sketches differ in no more bits than their sets in shingles."""
-    odd = np.bincount(hashes & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+    odd = np.bincount(hashes & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch_of(hashes: np.ndarray) -> np.ndarray | None:
+    """A sketch with a power of two of buckets, for sets that ``SKETCH_BITS`` are too few for.
+
+    The exclusive or of its halves is the sketch with half the buckets.
+    """
+    bits = 1 << max(0, WIDE_BITS * len(hashes) - 1).bit_length()
+    return sketch_of(hashes, bits) if bits > SKETCH_BITS else None
+
+
 def prefix(hashes: np.ndarray, crowded: np.ndarray) -> np.ndarray:
     """The shingles a set is filed under."""
     up, down = SIMILARITY
@@ -137,8 +154,22 @@ def _filed(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
     return _sets(texts, emit, "key long, node long, size int")
 
 
+def _apart(x: str, y: str) -> Column:
+    """Bits in which two sketches differ; one with twice the buckets is folded first."""
+    n = F.least(F.size(x), F.size(y))
+
+    def folded(c: str, i: Column) -> Column:
+        return F.get(c, i).bitwiseXOR(F.coalesce(F.get(c, i + n), F.lit(0)))
+
+    bits = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.bit_count(folded(x, i).bitwiseXOR(folded(y, i))))
+    return F.aggregate(bits, F.lit(0), lambda all_, one: all_ + one)
+
+
 def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs ``a`` < ``b`` of nodes whose sketches are as close as those of near sets."""
+    """The pairs ``a`` < ``b`` of nodes whose sketches are as close as those of near sets.
+
+    ``sent`` is the number of shingles that comparing them sends.
+    """
     up, down = SIMILARITY
     sketches = rows.groupBy("node").agg(F.any_value("sketch").alias("s"), F.any_value("size").alias("n"))
     pairs = pairs.join(sketches.select(F.col("node").alias("a"), F.col("s").alias("x"), F.col("n").alias("m")), "a")
@@ -148,8 +179,18 @@ def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         F.lit(0),
     )
     # What near sets don't share is at most (down - up) / (down + up) of their sizes.
-    may = apart * (down + up) <= (F.col("m") + F.col("n")) * (down - up)
-    return stored(pairs.where(may).select("a", "b"))
+    sent = (F.col("m") + F.col("n")).cast("long")
+    pairs = pairs.where(_sized("m", "n") & (apart * (down + up) <= sent * (down - up)))
+    pairs = stored(pairs.select("a", "b", sent.alias("sent")))
+
+    # Sizes of near sets are close: of two wide sketches, one has twice the buckets at most.
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wide = rows.where("wide IS NOT NULL").select("node", "wide").join(nodes, "node")
+    wide = stored(wide.groupBy("node").agg(F.any_value("wide").alias("wide")))
+    both = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a", "left")
+    both = both.join(wide.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b", "left")
+    may = F.col("x").isNull() | F.col("y").isNull() | (_apart("x", "y") * (down + up) <= F.col("sent") * (down - up))
+    return stored(both.where(may).select("a", "b", "sent"))
 
 
 def _whole_sets(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -165,15 +206,21 @@ def _whole_sets(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFram
     return stored(sets.dropDuplicates(["node"]))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are near."""
+def _compared(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """The pairs whose sets are near; the sets of about ``most`` shingles are sent at a time."""
     up, down = SIMILARITY
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    # shared / (x + y - shared) >= up / down
-    near = shared * (up + down) >= up * (F.size("x") + F.size("y"))
-    return stored(both.where(near).select("a", "b"))
+    parts = max(1, math.ceil((pairs.agg(F.sum("sent")).first()[0] or 0) / most))
+    found = None
+    for part in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part) if parts > 1 else pairs
+        both = some.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a")
+        both = both.join(sets.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        # shared / (x + y - shared) >= up / down
+        near = shared * (up + down) >= up * (F.size("x") + F.size("y"))
+        more = stored(both.where(near).select("a", "b"))
+        found = more if found is None else found.union(more)
+    return found
 
 
 def _near_pairs(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -185,16 +232,19 @@ def _near_pairs(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFram
     """
     rest = _alike(pairs, rows)
     sets = _whole_sets(rest, rows, texts)
-    found = rest.where("false")
+    most = max(SENT_AT_ONCE, sets.agg(F.sum(F.size("hs"))).first()[0] or 0)
+    found = rest.select("a", "b").where("false")
     for number in range(ROUNDS + 1):
-        some = rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if number < ROUNDS else rest
-        found = found.union(_compared(some, sets))
+        some = rest
+        if number < ROUNDS:
+            some = rest.groupBy("b").agg(F.min(F.struct("a", "sent")).alias("least")).select("least.a", "b", "least.sent")
+        found = found.union(_compared(some, sets, most))
         if number == ROUNDS or rest.isEmpty():
             return found
         roots = settle(components(found))
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: E731, B023
-        apart = rest.join(some, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        rest = stored(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+        apart = rest.join(some.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        rest = stored(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "sent"))
 
 
 def _sized(a: str, b: str) -> Column:
@@ -221,11 +271,11 @@ def groups(docs: DataFrame) -> DataFrame:
     def emit(row, hashes):
         held = pa.ListArray.from_arrays(pa.array([0, SKETCH_BITS // 64], pa.int32()), pa.array(sketch_of(hashes)))
         node, n = node_of(hashes), len(hashes)
-        fp = pa.array([majority(hashes)], pa.int64())
-        return pa.array([row], pa.int64()), pa.array([node], pa.int64()), pa.array([n], pa.int32()), held, fp
+        fp, wide = pa.array([majority(hashes)], pa.int64()), pa.array([wide_sketch_of(hashes)], pa.list_(pa.int64()))
+        return pa.array([row], pa.int64()), pa.array([node], pa.int64()), pa.array([n], pa.int32()), held, fp, wide
 
     ids = docs.select(_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    schema = "row long, node long, size int, sketch array<long>, fp long"
+    schema = "row long, node long, size int, sketch array<long>, fp long, wide array<long>"
     rows = stored(_sets(texts, emit, schema).dropDuplicates(["row"]))
     first = rows.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     first = settle(first.where("n > 1").select("node", "first"))

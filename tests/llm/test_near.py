@@ -93,3 +93,54 @@ def test_fingerprints_propose_pairs_first(make, monkeypatch):
     monkeypatch.setattr(near, "links", lambda nodes: (seen.append(nodes.count()), links(nodes))[1])
     kept = sorted(r["doc_id"] for r in near.kept_rows(docs).select("doc_id").collect())
     assert seen and kept == [1, 3]
+
+
+def long_sets():
+    """Sets of 1,500 to 5,000 shingles around the sizes where wide sketches double, near and not."""
+    rng = random.Random(6)
+    rows, doc_id = [], 0
+    for n in (1500, 2040, 2300, 4090, 4700):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        for cut in (0.0, 0.09, 0.12, 0.24, 0.5):
+            kept = base[: round(n * (1 - cut))]
+            rows.append((doc_id := doc_id + 1, " ".join(kept)))
+            rows.append((doc_id := doc_id + 1, " ".join(kept + [f"u{rng.randrange(10**6)}" for _ in range(n // 20)])))
+    return rows
+
+
+def nodes_and_pairs(spark, rows):
+    """What ``_alike`` reads, and all pairs of nodes with whether they are near by hand."""
+    words = near._Words()
+    hashes = [near.shingles(t, words) for _, t in rows]
+    node = [near.node_of(h) for h in hashes]
+    table = [
+        (d, x, len(h), near.sketch_of(h).tolist(), None if (w := near.wide_sketch_of(h)) is None else w.tolist())
+        for (d, _), x, h in zip(rows, node, hashes)
+    ]
+    schema = "row long, node long, size int, sketch array<long>, wide array<long>"
+    pairs = {}
+    for i, h in enumerate(hashes):
+        for j in range(i):
+            a, b = sorted([node[i], node[j]])
+            shared = len(set(h.tolist()) & set(hashes[j].tolist()))
+            both = len(h) + len(hashes[j])
+            pairs[a, b] = shared / (both - shared)
+    return spark.createDataFrame(table, schema), spark.createDataFrame(list(pairs), "a long, b long"), pairs
+
+
+def test_sketches_tell_long_texts_apart(spark):
+    """Whole sets were sent for every pair of long texts, as 1,024 buckets fill up."""
+    rows, pairs, similar = nodes_and_pairs(spark, long_sets())
+    left = {(r["a"], r["b"]) for r in near._alike(pairs, rows).collect()}
+    assert {p for p, s in similar.items() if s >= 0.8} <= left
+    assert all(similar[p] > 0.65 for p in left)
+
+
+@pytest.mark.parametrize("most", [16_000_000, 40_000])
+def test_near_stage_on_long_texts(spark, make, sf_dir, monkeypatch, most):
+    """Also when whole sets are sent in several parts."""
+    rows, parts, compared = long_sets(), [], near._compared
+    monkeypatch.setattr(near, "SENT_AT_ONCE", 1)
+    monkeypatch.setattr(near, "_compared", lambda pairs, sets, _: (parts.append(most), compared(pairs, sets, most))[1])
+    got = corpus_pipeline.near_stage(spark, make(rows), sf_dir)
+    assert parts and sorted(r["doc_id"] for r in got.collect()) == kept_by_hand(rows)
