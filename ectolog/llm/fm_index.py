@@ -11,6 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Windows that are extended together: their places stay in the processor's cache.
+WINDOWS_AT_ONCE = 1 << 13
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
 
 class Bits:
     """A bit vector with constant-time counts of ones before a place."""
@@ -24,14 +28,13 @@ class Bits:
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         block = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[block] + np.bitwise_count(self.word[block] & mask)
+        return self.before.take(block) + np.bitwise_count(self.word.take(block) & _BELOW.take(at & 63))
 
 
 class Wavelet:
     """Ranks of symbols in a sequence, level by level from the highest bit."""
 
-    def __init__(self, symbols: np.ndarray, bits: int):
+    def __init__(self, symbols: np.ndarray, bits: int, n_symbols: int):
         self.bits = bits
         self.levels: list[Bits] = []
         self.zeros: list[int] = []
@@ -40,16 +43,22 @@ class Wavelet:
             self.levels.append(Bits(bit.astype(bool)))
             self.zeros.append(int(len(bit) - bit.sum()))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
+        # Where each symbol's run begins on the last level: the same for all ranks.
+        every = np.arange(n_symbols)
+        self.begin = self._down(every, np.zeros((1, n_symbols), np.int64))[0]
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places (one row or more for each symbol) followed to the last level."""
+        for k, (level, zeros) in enumerate(zip(self.levels, self.zeros)):
+            bit = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
+            ones = level.ones(at)
+            at = np.where(bit, zeros + ones, at - ones)
+        return at
 
     def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray):
         """Occurrences of each symbol before ``low`` and before ``high``."""
-        begin = np.zeros(len(symbol), np.int64)
-        for k, (level, zeros) in enumerate(zip(self.levels, self.zeros)):
-            bit = (symbol >> (self.bits - 1 - k)) & 1
-            ones = [level.ones(x) for x in (begin, low, high)]
-            begin, low, high = (
-                np.where(bit == 1, zeros + n, x - n) for n, x in zip(ones, (begin, low, high))
-            )
+        low, high = self._down(symbol, np.stack([low, high]))
+        begin = self.begin.take(symbol)
         return low - begin, high - begin
 
 
@@ -75,7 +84,7 @@ class FmIndex:
         before = words[self.order - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=n_words + 1))])
         self.n = n
-        self.wavelet = Wavelet(before.astype(np.int64), max(1, int(n_words).bit_length()))
+        self.wavelet = Wavelet(before.astype(np.int64), max(1, int(n_words).bit_length()), n_words + 1)
 
     def search(self, texts: np.ndarray, ends: np.ndarray, length: int):
         """Interval of the sorted suffixes that begin with each window, and its match length.
@@ -84,14 +93,24 @@ class FmIndex:
         length is how many words from the window's end occur together in the
         index: the matching statistic of that place, cut at ``length``.
         """
+        parts = [
+            self._search(texts, ends[at : at + WINDOWS_AT_ONCE], length)
+            for at in range(0, max(1, len(ends)), WINDOWS_AT_ONCE)
+        ]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _search(self, texts: np.ndarray, ends: np.ndarray, length: int):
         low = np.zeros(len(ends), np.int64)
         high = np.full(len(ends), self.n, np.int64)
         matched = np.zeros(len(ends), np.int64)
         live = np.arange(len(ends))
         for k in range(1, length + 1):
             symbol = texts[ends[live] - k].astype(np.int64)
-            a, b = self.wavelet.rank(symbol, low[live], high[live])
-            a, b = self.first[symbol] + a, self.first[symbol] + b
+            a, b = self.first[symbol], self.first[symbol + 1]
+            if k > 1:
+                # Of the whole column, all occurrences of a word are its interval.
+                before, until = self.wavelet.rank(symbol, low[live], high[live])
+                a, b = a + before, a + until
             some = a < b
             live = live[some]
             low[live], high[live] = a[some], b[some]

@@ -177,6 +177,23 @@ def test_substrings_without_broadcast(spark, make, passages, monkeypatch):
     assert got(substrings.remove(spark, make([]))) == []
 
 
+@pytest.mark.parametrize("at_once", [7, 1 << 13])
+def test_fm_index_ranks_two_places_a_level(monkeypatch, at_once):
+    """Counts of all windows by hand; a window's extension looks up its two ends only, not where its word begins too."""
+    rng = np.random.default_rng(8)
+    words = np.append(rng.integers(1, 30, 999), 0).astype(np.int32)
+    looked, ones = [], fm_index.Bits.ones
+    monkeypatch.setattr(fm_index, "WINDOWS_AT_ONCE", at_once, raising=False)
+    index = fm_index.FmIndex(words, 29, 3)
+    monkeypatch.setattr(fm_index.Bits, "ones", lambda self, at: (looked.append(at.size), ones(self, at))[1])
+    ends = np.arange(3, len(words))
+    low, high, matched = index.search(words, ends, 3)
+    windows = [tuple(words[e - 3 : e].tolist()) for e in ends]
+    assert (matched == 3).all()
+    assert (high - low).tolist() == [windows.count(w) for w in windows]
+    assert sum(looked) <= 2 * 3 * index.wavelet.bits * len(ends)
+
+
 def test_fm_index_matching_statistics():
     rng = np.random.default_rng(5)
     texts = [rng.integers(1, 5, rng.integers(13, 40)) for _ in range(30)]
