@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ectolog.llm.fm_index import FmIndex
-from ectolog.llm.rows import bounded, id_and_text, pieces, stored
+from ectolog.llm.rows import bounded, id_and_text, pieces, releasing, stored
 
 WINDOW = 13
 #: Words of the runs among which a window's minimizer is chosen: enough that different texts
@@ -136,7 +136,7 @@ def anchors(rows: DataFrame) -> DataFrame:
                 )
 
     schema = "key long, mini long, doc_id long, known boolean"
-    return rows.select("doc_id", "text").mapInArrow(run, schema)
+    return rows.select("doc_id", "text").mapInArrow(releasing(run), schema)
 
 
 def shared_minis(rows: DataFrame) -> DataFrame:
@@ -162,35 +162,54 @@ _PASSAGE_NAMES = [c.split()[0] for c in PASSAGE.split(", ")]
 
 def passages(rows: DataFrame) -> DataFrame:
     """Passages (``PASSAGE``) of rows with ``doc_id``, ``row``, ``text`` and shared ``minis``."""
-    types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             for part in pieces(batch, 4 << 20):
-                out = []
-                for key, row, text, minis in zip(*(c.to_pylist() for c in part.columns)):
-                    words = text.encode().split()
-                    least = minimizers(_hash_all(hashes, words)).view(np.int64)
-                    if len(least) == 0:
-                        # A short row whose id another row has too.
-                        continue
-                    shared = np.isin(least, np.array(minis, np.int64))
-                    edge = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(least)]):
-                        if not shared[a]:
-                            continue
-                        for s in range(a, b, PASSAGE_WINDOWS):
-                            e = min(s + PASSAGE_WINDOWS, b)
-                            passage = b" ".join(words[s : e + WINDOW - 1])
-                            seg = xxhash.xxh3_64_intdigest(passage) - (1 << 63)
-                            out.append((int(least[a]), seg, row, key, s, passage))
-                columns = zip(*out) if out else [[] for _ in types]
+                # All texts of a piece at once; windows over the edge of a text don't count.
+                texts = [text.encode().split() for text in part.column(2).to_pylist()]
+                words = [w for x in texts for w in x]
+                size = np.fromiter(map(len, texts), np.int64, len(texts))
+                of = np.repeat(np.arange(len(texts)), size)
+                least = minimizers(_hash_all(hashes, words))
+                doc = of[: len(least)]
+                inside = doc == of[len(of) - len(least) :]
+                change = np.ones(len(least), bool)
+                change[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+                begin = np.flatnonzero(change)
+                stop = np.append(begin[1:], len(least))[: len(begin)]
+                # A minimizer is shared in a document; where marks meet by chance, a passage more is searched.
+                minis = part.column(3)
+                marks = minis.flatten().to_numpy().view(np.uint64) ^ _mixed(
+                    np.repeat(np.arange(len(texts), dtype=np.uint64), minis.value_lengths().to_numpy())
+                )
+                shared = inside[begin] & np.isin(least[begin] ^ _mixed(doc[begin].astype(np.uint64)), marks)
+                begin, stop = begin[shared], stop[shared]
+                cuts = -(-(stop - begin) // PASSAGE_WINDOWS)
+                at = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                at = np.repeat(begin, cuts) + PASSAGE_WINDOWS * at
+                end = np.minimum(at + PASSAGE_WINDOWS, np.repeat(stop, cuts))
+                # Words joined by one space, and where each of them begins.
+                joined = b" ".join(words)
+                place = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+                edges = zip(place[at].tolist(), (place[end + WINDOW - 1] - 1).tolist())
+                found = [joined[a:b] for a, b in edges]
+                seg = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+                doc = doc[at]
                 yield pa.record_batch(
-                    [pa.array(c, t) for c, t in zip(columns, types)], _PASSAGE_NAMES
+                    [
+                        pa.array(least[at].view(np.int64)),
+                        pa.array((seg ^ np.uint64(1 << 63)).view(np.int64)),
+                        part.column(1).take(pa.array(doc)),
+                        part.column(0).take(pa.array(doc)),
+                        pa.array((at - (np.cumsum(size) - size)[doc]).astype(np.int32)),
+                        pa.array(found, pa.binary()),
+                    ],
+                    _PASSAGE_NAMES,
                 )
 
-    return rows.select("doc_id", "row", "text", "minis").mapInArrow(run, PASSAGE)
+    return rows.select("doc_id", "row", "text", "minis").mapInArrow(releasing(run), PASSAGE)
 
 
 def windows_of(passages: DataFrame) -> DataFrame:
@@ -212,16 +231,15 @@ def windows_of(passages: DataFrame) -> DataFrame:
     return passages.select("mini", "seg", "passage", "owner").mapInArrow(run, schema)
 
 
-def least_owners(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each passage, the smallest owner of each of its windows, by an index of them all."""
-    numbers: dict[bytes, int] = {}
-    runs = [[numbers.setdefault(w, len(numbers) + 1) for w in t.split()] for t in texts]
-    size = np.fromiter(map(len, runs), np.int64, len(runs))
+def least_owners(texts: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest owner of each window of the passages, by an index of them all, and how many windows each has."""
+    numbered = pa.array(b" ".join(texts).split(), pa.binary()).dictionary_encode()
+    size = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
     end = np.cumsum(size + 1) - 1
     words = np.zeros(int(end[-1]) + 1, np.int32)
     owner = np.repeat(owners, size + 1)
-    words[np.arange(len(words)) != np.repeat(end, size + 1)] = [w for r in runs for w in r]
-    index = FmIndex(words, len(numbers), WINDOW)
+    words[np.arange(len(words)) != np.repeat(end, size + 1)] = numbered.indices.to_numpy() + 1
+    index = FmIndex(words, len(numbered.dictionary), WINDOW)
     count = size - WINDOW + 1
     begin = np.repeat(end - size, count)
     inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -234,7 +252,7 @@ def least_owners(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
     stops[which] = high
     edges = np.stack([starts, stops], axis=1).ravel()
     minima = np.minimum.reduceat(np.append(by_order, np.iinfo(np.int64).max), edges)[::2]
-    return np.split(minima[which], np.cumsum(count)[:-1])
+    return minima[which], count
 
 
 def _distinct(passages: DataFrame) -> DataFrame:
@@ -251,12 +269,13 @@ def searched(passages: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         owners = table["owner"].to_numpy()
-        least = least_owners(table["passage"].to_pylist(), owners)
+        least, count = least_owners(table["passage"].to_pylist(), owners)
+        edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
         return pa.table(
             [
                 table["mini"],
                 table["seg"],
-                pa.array([x.tolist() for x in least], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(edges), pa.array(least)),
             ],
             ["mini", "seg", "least"],
         )
