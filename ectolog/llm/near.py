@@ -6,13 +6,17 @@ pairs at 0.8 differ in about 10 bits and often in more, and a radius that loses
 none of them makes nearly every pair of a large corpus a candidate. Here, shingles have one order for all
 texts, and a set with n of them is filed under its first n - ceil(4n/5) + 1: two
 sets that are near share one of these, whatever the order, so no pair is lost.
-The order puts crowded shingles last, so that lists of texts under a shingle stay short.
+The order puts crowded shingles last, the most crowded at the end, so that lists of texts
+under a shingle stay short. The place of a shingle in a set bounds what comes after it: at
+the first shingle that two near sets share, the shorter rest holds all they share.
 
 Texts with the same set are one node. Each set also has a SimHash fingerprint, and nodes
 whose fingerprints link by Golay keys (``simhash.links``) are candidates first; the
 prefixes then find what a fingerprint can't promise. Under each shingle, neighbours in node order
 are compared and what is near is joined into components; then all pairs under a
-shingle that are still in different components are compared. Each comparison is
+shingle that are still in different components are compared. Places and sketches are
+judged where such pairs meet, so that only what passes leaves the join; long lists are
+dealt in blocks, each pair of blocks by itself. Each comparison is
 of whole sets, by their 64-bit hashes; only pairs go that far whose sketches (the
 parity of the hashes in each of ``SKETCH_BITS`` buckets) differ in no more bits
 than near sets can. That many buckets say nothing of long texts, so these have a
@@ -54,6 +58,8 @@ SKETCH_BITS = 1024
 WIDE_BITS = 2
 #: Shingles that a part of the comparisons may send if its sets have no more.
 SENT_AT_ONCE = 16_000_000
+#: Texts under a shingle that meet in one task; longer lists are dealt in blocks.
+BLOCK = 2_000
 #: Rounds in which each text is compared with one other, before all that is left.
 ROUNDS = 2
 #: Distinct words whose hashes a task remembers.
@@ -105,14 +111,14 @@ def wide_sketch_of(hashes: np.ndarray) -> np.ndarray | None:
     return sketch_of(hashes, bits) if bits > SKETCH_BITS else None
 
 
-def prefix(hashes: np.ndarray, crowded: np.ndarray) -> np.ndarray:
-    """The shingles a set is filed under."""
+def prefix(hashes: np.ndarray, crowded: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles a set is filed under, in the order of all: crowded ones last, by their counts."""
     up, down = SIMILARITY
     n = len(hashes)
     if len(crowded):
         at = np.minimum(np.searchsorted(crowded, hashes), len(crowded) - 1)
-        last = crowded[at] == hashes
-        hashes = np.concatenate([hashes[~last], hashes[last]])
+        crowd = np.where(crowded[at] == hashes, counts[at], 0)
+        hashes = hashes[np.argsort(crowd, kind="stable")]
     return hashes[: n - -(-n * up // down) + 1]
 
 
@@ -142,16 +148,32 @@ def _sets(texts: DataFrame, emit: Callable[[np.ndarray], tuple], schema: str) ->
     return texts.mapInArrow(releasing(run), schema)
 
 
-def _filed(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
-    """``key``, ``node``, ``size``: a row for each shingle that a text is filed under."""
+def _crowded(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Crowded shingles, sorted, and how many texts of a sample have them.
+
+    All shingles are counted: those put last bring others into the prefixes.
+    """
+    some = texts.where(F.pmod("row", F.lit(SAMPLE)) == 0)
+    crowds = _sets(some, lambda row, hashes: (pa.array(hashes),), "key long").groupBy("key").agg(F.count("*").alias("n"))
+    crowds = crowds.where(F.col("n") * SAMPLE > CROWD).orderBy(F.desc("n"), "key").limit(MOST_CROWDED).toArrow()
+    key, n = crowds["key"].to_numpy(), crowds["n"].to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def _filed(texts: DataFrame, crowded: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``key``, ``node``, ``size``, ``place``: a row for each shingle that a text is filed under.
+
+    ``place`` is that of the shingle in the order, from 0.
+    """
 
     def emit(row, hashes):
-        keys = prefix(hashes, crowded) if len(hashes) else hashes
+        keys = prefix(hashes, crowded, counts) if len(hashes) else hashes
         n = len(keys)
-        node = np.full(n, node_of(hashes), np.int64)
-        return pa.array(keys), pa.array(node), pa.array(np.full(n, len(hashes), np.int32))
+        node, size = np.full(n, node_of(hashes), np.int64), np.full(n, len(hashes), np.int32)
+        return pa.array(keys), pa.array(node), pa.array(size), pa.array(np.arange(n, dtype=np.int32))
 
-    return _sets(texts, emit, "key long, node long, size int")
+    return _sets(texts, emit, "key long, node long, size int, place int")
 
 
 def _apart(x: str, y: str) -> Column:
@@ -165,22 +187,33 @@ def _apart(x: str, y: str) -> Column:
     return F.aggregate(bits, F.lit(0), lambda all_, one: all_ + one)
 
 
+def _sketches(rows: DataFrame) -> DataFrame:
+    """``node``, ``s``, ``n``: sketch and size of each node."""
+    return rows.groupBy("node").agg(F.any_value("sketch").alias("s"), F.any_value("size").alias("n"))
+
+
+def _sketched(x: str, y: str, sizes: Column) -> Column:
+    """Sketches that near sets of ``sizes`` shingles together can have."""
+    up, down = SIMILARITY
+    apart = sum(
+        (F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH_BITS // 64)),
+        F.lit(0),
+    )
+    # What near sets don't share is at most (down - up) / (down + up) of their sizes.
+    return apart * (down + up) <= sizes * (down - up)
+
+
 def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs ``a`` < ``b`` of nodes whose sketches are as close as those of near sets.
 
     ``sent`` is the number of shingles that comparing them sends.
     """
     up, down = SIMILARITY
-    sketches = rows.groupBy("node").agg(F.any_value("sketch").alias("s"), F.any_value("size").alias("n"))
+    sketches = _sketches(rows)
     pairs = pairs.join(sketches.select(F.col("node").alias("a"), F.col("s").alias("x"), F.col("n").alias("m")), "a")
     pairs = pairs.join(sketches.select(F.col("node").alias("b"), F.col("s").alias("y"), "n"), "b")
-    apart = sum(
-        (F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(SKETCH_BITS // 64)),
-        F.lit(0),
-    )
-    # What near sets don't share is at most (down - up) / (down + up) of their sizes.
     sent = (F.col("m") + F.col("n")).cast("long")
-    pairs = pairs.where(_sized("m", "n") & (apart * (down + up) <= sent * (down - up)))
+    pairs = pairs.where(_sized("m", "n") & _sketched("x", "y", sent))
     pairs = stored(pairs.select("a", "b", sent.alias("sent")))
 
     # Sizes of near sets are close: of two wide sketches, one has twice the buckets at most.
@@ -253,6 +286,39 @@ def _sized(a: str, b: str) -> Column:
     return F.least(a, b) * down >= F.greatest(a, b) * up
 
 
+def _placed(m: str, i: str, n: str, j: str) -> Column:
+    """Sizes and places that near sets can have at the first shingle they share."""
+    up, down = SIMILARITY
+    rest = F.least(F.col(m) - F.col(i), F.col(n) - F.col(j))
+    return rest * (up + down) >= (F.col(m) + F.col(n)) * up
+
+
+def _under_one_key(rooted: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of different roots under one key that may be near; a pair may repeat.
+
+    ``rooted`` has ``key``, ``node``, ``size``, ``place``, ``root`` and ``blocks``, the number of
+    blocks of its key; each two blocks of a key meet by themselves.
+    """
+    with_sketch = rooted.join(_sketches(rows).select("node", "s"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+
+    def side(df, blocks, names):
+        columns = zip(("node", "size", "place", "root", "s"), names)
+        return df.select("key", *blocks, *(F.col(c).alias(name) for c, name in columns))
+
+    def meet(x, y, on):
+        may = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _placed("m", "i", "n", "j")
+        return x.join(y, on).where(may & _sketched("x", "y", F.col("m") + F.col("n"))).select("a", "b")
+
+    left, right = ("a", "m", "i", "ra", "x"), ("b", "n", "j", "rb", "y")
+    few, many = with_sketch.where("blocks = 1"), with_sketch.where("blocks > 1")
+    of_few = meet(side(few, [], left), side(few, [], right), ["key"])
+    x = side(many, [own.alias("p"), every.alias("q")], left)
+    y = side(many, [every.alias("p"), own.alias("q")], right)
+    return of_few.union(meet(x, y, ["key", "p", "q"]))
+
+
 def linked(rows: DataFrame) -> DataFrame:
     """Candidates ``a`` < ``b`` whose fingerprints link: the first node of each of two, or of the same one."""
     first = settle(rows.groupBy("fp").agg(F.min("node").alias("first")))
@@ -282,14 +348,9 @@ def groups(docs: DataFrame) -> DataFrame:
     others = settle(rows.join(bounded(first), "node").where("row <> first").select("row"))
     once = texts.join(bounded(others), "row", "left_anti")
 
-    some = once.where(F.pmod("row", F.lit(SAMPLE)) == 0)
-    crowds = _filed(some, np.zeros(0, np.int64)).groupBy("key").agg(F.count("*").alias("n"))
-    crowds = crowds.where(F.col("n") * SAMPLE > CROWD).orderBy(F.desc("n"), "key").limit(MOST_CROWDED)
-    crowded = np.sort(crowds.select("key").toArrow()["key"].to_numpy())
-
     under = Window.partitionBy("key")
-    met = _filed(once, crowded).withColumn("n", F.count("*").over(under))
-    met = stored(met.where("n > 1").select("key", "node", "size"))
+    met = _filed(once, *_crowded(once)).withColumn("n", F.count("*").over(under))
+    met = stored(met.where("n > 1").select("key", "node", "size", "place"))
     before = {c: F.lag(c).over(under.orderBy("node")).alias(f"last_{c}") for c in ("node", "size")}
     beside = met.select("node", "size", *before.values()).where(
         (F.col("last_node") < F.col("node")) & _sized("size", "last_size")
@@ -299,12 +360,11 @@ def groups(docs: DataFrame) -> DataFrame:
     roots = settle(components(_near_pairs(beside, rows, texts)))
 
     rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("apart")).where("apart")
-    rooted = stored(rooted.join(apart.select("key"), "key", "left_semi"))
-    x = rooted.select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("ra"))
-    y = rooted.select("key", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("rb"))
-    rest = x.join(y, ["key"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sized("m", "n"))
-    rest = _near_pairs(rest.select("a", "b").distinct().join(beside, ["a", "b"], "left_anti"), rows, texts)
+    blocks = F.ceil(F.count("*") / BLOCK).alias("blocks")
+    apart = rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("apart"), blocks).where("apart")
+    rooted = stored(rooted.join(apart.select("key", "blocks"), "key"))
+    rest = stored(_under_one_key(rooted, rows).distinct())
+    rest = _near_pairs(rest.join(beside, ["a", "b"], "left_anti"), rows, texts)
 
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     more = rest.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")

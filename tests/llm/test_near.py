@@ -144,3 +144,51 @@ def test_near_stage_on_long_texts(spark, make, sf_dir, monkeypatch, most):
     monkeypatch.setattr(near, "_compared", lambda pairs, sets, _: (parts.append(most), compared(pairs, sets, most))[1])
     got = corpus_pipeline.near_stage(spark, make(rows), sf_dir)
     assert parts and sorted(r["doc_id"] for r in got.collect()) == kept_by_hand(rows)
+
+
+def family(n, changed, size=150):
+    """A text, and copies with other words at ``changed`` places: each two of them are less than near."""
+    rng = random.Random(7)
+    base = [f"v{i}" for i in range(size)]
+    rows = []
+    for doc_id in range(1, n + 1):
+        copy = list(base)
+        for at in rng.sample(range(size), changed):
+            copy[at] = f"u{doc_id}x{at}"
+        rows.append((doc_id, " ".join(copy)))
+    return rows
+
+
+def test_pairs_of_a_large_family_stay_few(make, monkeypatch):
+    """Each two of 120 texts, 7,140 pairs under many shingles, left the join before any was judged."""
+    rows = family(120, 4)
+    seen, near_pairs = [], near._near_pairs
+    monkeypatch.setattr(near, "CROWD", 10)
+    monkeypatch.setattr(near, "linked", lambda rows: rows.select("node", "node").where("false").toDF("a", "b"))
+    monkeypatch.setattr(near, "_near_pairs", lambda pairs, *more: (seen.append(pairs.count()), near_pairs(pairs, *more))[1])
+    kept = sorted(r["doc_id"] for r in near.kept_rows(make(rows)).select("doc_id").collect())
+    assert kept == kept_by_hand(rows)
+    assert seen[-1] < 500
+
+
+@pytest.mark.parametrize("block", [2000, 7])
+def test_blocks_of_a_family_lose_no_pair(make, monkeypatch, block):
+    """Some pairs are near, most aren't; lists under a shingle in one task and in blocks."""
+    rows = family(60, 3)
+    rows += [(1000 + d, t + f" end{d}") for d, t in rows[::5]]
+    monkeypatch.setattr(near, "CROWD", 10)
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "linked", lambda rows: rows.select("node", "node").where("false").toDF("a", "b"))
+    kept = sorted(r["doc_id"] for r in near.kept_rows(make(rows)).select("doc_id").collect())
+    assert kept == kept_by_hand(rows)
+
+
+def test_all_shingles_of_the_sample_are_counted(spark, monkeypatch):
+    """A common shingle that no text of the sample was filed under was filed as a rare one."""
+    monkeypatch.setattr(near, "SAMPLE", 1)
+    monkeypatch.setattr(near, "CROWD", 20)
+    line = [f"c{i}" for i in range(30)]
+    rows = [(d, " ".join(line + [f"t{d}x{i}" for i in range(40)])) for d in range(30)]
+    crowded, counts = near._crowded(spark.createDataFrame(rows, "row long, text string"))
+    assert crowded.tolist() == near.shingles(" ".join(line), near._Words()).tolist()
+    assert counts.tolist() == [30] * 26
