@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ectolog.llm import bpe, decontaminate, exact, near, quality
 from ectolog.llm.registry import MULTI, table
+from ectolog.llm.rows import stored
 from ectolog.session import scratch_path
 
 
@@ -37,15 +38,19 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and digests of the ids and of the text they decode to."""
-    ids = bpe.encode(docs, MULTI, public_tokenizers.PATTERN)
-    return bpe.decode(ids, MULTI).select(
+    """Token ids of each text, and digests of the ids and of the text they decode to.
+
+    Stored in between: the tasks of encode and decode never stand side by side, and get few rows at a time.
+    """
+    ids = stored(bpe.encode(docs, MULTI, public_tokenizers.PATTERN))
+    found = bpe.decode(ids, MULTI).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    return stored(found)
 
 
 STAGES = [

@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from ectolog.llm.rows import id_and_text, pieces, releasing
 
 #: Text of one block; memory in a task is a small multiple of it.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Ranks that share one list of waiting positions.
 RANKS_PER_BUCKET = 64
+#: Positions that are ranked at a time before the first merge.
+RANKED_AT_ONCE = 1 << 17
 
 
 class Vocabulary:
@@ -177,8 +179,8 @@ class Replay:
     def run(self) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces one after the other, and where each piece begins."""
         self.order: list[int] = []
-        if self.n:
-            self.note(np.arange(self.n, dtype=np.int32))
+        for a in range(0, self.n, RANKED_AT_ONCE):
+            self.note(np.arange(a, min(self.n, a + RANKED_AT_ONCE), dtype=np.int32))
         while self.order:
             bucket = self.order[0]
             here = self.waiting[bucket]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ectolog.llm import bpe, decontaminate, exact, licences, line_rules, quality, repair, secret_scan, simhash, substrings, toxicity, warc, whitening
+from ectolog.llm.rows import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,13 +59,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), MULTI, public_tokenizers.PATTERN)
-    return bpe.decode(ids, MULTI).select(
+    # Stored in between: the tasks of encode and decode never stand side by side, and get few rows at a time.
+    ids = stored(bpe.encode(table(spark, sf_dir, "documents"), MULTI, public_tokenizers.PATTERN))
+    found = bpe.decode(ids, MULTI).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    return stored(found)
 
 
 @query

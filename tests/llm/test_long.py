@@ -2,6 +2,7 @@
 
 import base64
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -24,3 +25,15 @@ def test_long_words_before_a_tab():
     assert found == [plain.encode_ordinary(t) for t in texts]
     for text in ("x" * 5000, "abababa" * 700, "internationalization", "a"):
         assert bpe.encode_one(v, text.encode()).tolist() == plain.encode_ordinary(text)
+
+
+def test_memory_of_a_replay_is_a_small_multiple_of_its_words():
+    v = bpe.Vocabulary(registry.MULTI)
+    words = [f" {i:x}".encode() for i in range(150_000)]
+    replay = bpe.Replay(v, words)
+    size = replay.n
+    tracemalloc.start()
+    replay.run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * size

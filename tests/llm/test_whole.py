@@ -2,10 +2,13 @@
 
 import random
 import string
+import uuid
 
 import public_tokenizers
+import pytest
 
-from ectolog.llm import decontaminate, registry, secret_scan, warc
+import corpus_pipeline
+from ectolog.llm import bpe, decontaminate, registry, rows, secret_scan, warc
 
 
 def test_decontamination_keeps_clean_rows(spark, make):
@@ -34,3 +37,25 @@ def test_warc_head_without_end_tag():
     assert warc.plain_text(page) == "One\ntwo"
     assert warc.plain_text("<head><title>T</title><script>x</script><p>One</p>two") == "One\ntwo"
     assert warc.plain_text("<head><title>T</title><link rel=x></head><title-bar>One</title-bar>") == "One"
+
+
+@pytest.mark.parametrize("name", ["pipeline", "op5_bpe"])
+def test_token_tasks_get_few_rows_at_a_time(spark, make, monkeypatch, tmp_path, name):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def noted(batch, most_bytes):
+        (seen / f"{batch.num_rows}-{uuid.uuid4().hex}").touch()
+        yield batch
+
+    monkeypatch.setattr(rows, "TEXTS_AT_A_TIME", 7)
+    monkeypatch.setattr(bpe, "pieces", noted)
+    docs = make([(i, f"text number {i}") for i in range(90)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    if name == "pipeline":
+        found = corpus_pipeline.token_stage(spark, docs, "")
+    else:
+        found = registry.op5_bpe(spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in found.collect()) == list(range(90))
+    sizes = [int(p.name.split("-")[0]) for p in seen.iterdir()]
+    assert sum(sizes) == 180 and max(sizes) <= 7
