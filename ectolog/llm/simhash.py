@@ -25,6 +25,7 @@ results; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +46,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles whose bits are counted at once, and nodes whose keys are listed at once.
 SHINGLES_AT_ONCE = 1 << 16
 NODES_AT_ONCE = 1000
+#: Edges that a task keeps of a star step; there are at least as many tasks as cores.
+EDGES_OF_A_TASK = 1_000_000
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -203,28 +206,37 @@ def links(nodes: DataFrame) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour and no other, or only larger ones."""
+    a, b = F.col("a").alias("node"), F.col("b").alias("node")
+    ends = edges.select(F.inline(F.array(F.struct(a, F.lit(1).alias("up")), F.struct(b, F.lit(0).alias("up")))))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return nodes.where("up > 0 AND n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` of links ``a``, ``b``: the smallest node each can reach.
 
     Alternating star steps: every node's larger neighbours move to the smallest
-    node it knows, then its smaller ones do, until nothing moves. The smallest
+    node it knows, then its smaller ones do, until all are stars. The smallest
     neighbour is an aggregate, and no step collects a neighbourhood.
     """
-    edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    while True:
-        both = edges.union(edges.select(F.col("b"), F.col("a")))
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = settle(edges.where("a <> b"))
+    # No step makes more edges than it gets.
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(edges.count() / EDGES_OF_A_TASK))
+    link = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    while not _are_stars(edges):
+        both = edges.select(F.inline(F.array(link("a", "b"), link("b", "a"))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # Large star: larger neighbours of a node go to its smallest.
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = settle(large.where("a <> b").distinct())
+        larger = edges.select(F.col("b").alias("a"), F.col("a").alias("larger"))
+        large = larger.join(least, "a").select(F.col("larger").alias("a"), F.col("m").alias("b"))
+        large = settle(large.distinct().coalesce(tasks))
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.union(least.select("a", F.col("m").alias("b")))
-        small = settle(small.where("a <> b").distinct())
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
-            break
-        edges = small
+        small = large.join(least, "a").select(F.inline(F.array(link("b", "m"), link("a", "m"))))
+        edges = settle(small.where("a <> b").distinct().coalesce(tasks))
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         roots.select("b", "b")

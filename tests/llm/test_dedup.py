@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ectolog.llm import exact, fm_index, simhash, substrings
+from ectolog.session import settle
 
 EDGES = [
     (5, None),
@@ -224,3 +225,31 @@ def test_minimizers_are_dealt_out_once(spark, documents):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("MapInArrow") == 1 and plan.count("ReusedExchange") == 1
+
+
+def test_star_steps_end_at_stars_and_have_few_tasks(spark, monkeypatch):
+    parts = []
+
+    def noted(df):
+        out = settle(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(simhash, "settle", noted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stars = [(k, k % 3) for k in range(3, 60)]
+        edges = spark.createDataFrame([*stars, (7, 7)], "a long, b long")
+        found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+        assert found == {k: k % 3 for k in range(60)} and len(parts) == 1
+        # A chain, a pair given both ways and one that hangs on itself.
+        edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(90, 80), (80, 90), (99, 99)], "a long, b long")
+        rows = simhash.components(edges).collect()
+        assert sorted(map(tuple, rows)) == [(k, 0) for k in range(41)] + [(80, 80), (90, 80)]
+        assert len(parts) > 3 and max(parts[2:]) <= spark.sparkContext.defaultParallelism
+        assert simhash.components(edges.where("a > 99")).collect() == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
